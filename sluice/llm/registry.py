@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import exact, langid, mixing, packing, quality, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_streaming_dedup": exact.op2_streaming_dedup,
     "op3_simhash_bktree": simhash.op3_simhash_bktree,
+    "op4_token_cache": tokencount.op4_token_cache,
+    "op5_subset_sum_mix": mixing.op5_subset_sum_mix,
+    "op6_isolation_forest": quality.op6_isolation_forest,
+    "op7_subword_softmax": langid.op7_subword_softmax,
+    "op10_nnls_packing": packing.op10_nnls_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_streaming_dedup": exact.OP2_SQL,
+}

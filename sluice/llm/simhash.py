@@ -204,11 +204,11 @@ def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> Da
 
 def near_dedup(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The documents, one of each SimHash component: the row with the least doc_id, null ids last."""
-    source = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "near")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    own = cut(source.select(key.alias("key"), simhash(F.col(text)).alias("fp")), "fingerprints")
-    stay = _grouped(own, radius)[1].select("key._row")
-    return source.join(stay, "_row", "left_semi").select(docs.columns)
+    source = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "near")
+    key = F.struct(F.col("doc.doc_id").isNull().alias("none"), "doc.doc_id", "row")
+    own = cut(source.select(key.alias("key"), simhash(F.col(f"doc.{text}")).alias("fp")), "fingerprints")
+    stay = _grouped(own, radius)[1].select("key.row")
+    return source.join(stay, "row", "left_semi").select("doc.*")
 
 
 def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
