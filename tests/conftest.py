@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     tmp = tempfile.mkdtemp(prefix="spark-")
     session = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
