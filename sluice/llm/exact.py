@@ -37,7 +37,7 @@ def ingest(spark: SparkSession, path: str, work: str, text: str = "text", digest
     shuffle, so a text with very many copies reaches its state as one row per task.
     """
     schema = spark.read.parquet(path).schema
-    arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    arrivals = _arrivals(spark, path, files_per_batch).schema(schema).parquet(_folder(spark, path)[0])
     rows = arrivals.select(
         "doc_id",
         F.length(text_or_empty(text)).alias("n_points"),
@@ -63,6 +63,19 @@ def ingest(spark: SparkSession, path: str, work: str, text: str = "text", digest
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
+def _folder(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """A folder to watch, and the name of the one file in it that is meant, if path is a file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return path, None
+    return at.getParent().toString(), at.getName()
+
+
+def _arrivals(spark: SparkSession, path: str, files_per_batch: int):
+    reader, name = spark.readStream.option("maxFilesPerTrigger", files_per_batch), _folder(spark, path)[1]
+    return reader if name is None else reader.option("pathGlobFilter", name)
+
+
 def _run(writer, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

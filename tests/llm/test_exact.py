@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import exact as E
+from tests.conftest import SF
 
 
 def brute(rows):
@@ -44,3 +45,10 @@ def test_stage_keeps_columns_and_one_row_each(spark):
     assert kept.columns == docs.columns
     assert sorted(len(r.text or "") for r in kept.collect()) == sorted(max(len(u or "") for _, u in ROWS if re.sub(r"\s", "", u or "") == n) for n in {re.sub(r"\s", "", t or "") for _, t in ROWS})
     assert E.exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_query_on_a_single_file(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = E.op2_streaming_dedup(spark, SF).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == sorted(brute(rows))
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
