@@ -261,10 +261,10 @@ def cast_fallback_counts(spark, sf):
 # keys
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) = 1")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC) = 1")
 def dedupe_last(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
-    return dedupe.dedupe(rows, ["l_orderkey"], ["l_shipdate", "l_linenumber"])
+    return dedupe.dedupe(rows, ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey"])
 
 
 @query("SELECT event_id, user_id, event_type, ts FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
@@ -361,13 +361,13 @@ def _bought(spark, sf):
     people = table(spark, sf, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     parts = table(spark, sf, "part").where("p_size < 40").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
     props = (Field("order", "l_orderkey", key=True), Field("line", "l_linenumber"), Field("shipped", "l_shipdate"))
-    return people, parts, shapes.to_edges(items, "o_custkey", "l_partkey", "PURCHASED IN", people, "id", parts, "id", props, ["l_linenumber"])
+    return people, parts, shapes.to_edges(items, "o_custkey", "l_partkey", "PURCHASED IN", people, "id", parts, "id", props, ["l_linenumber", "l_shipdate", "l_suppkey"])
 
 
 _EDGES = (
     "(SELECT o_custkey AS src, l_partkey AS dst, 'PURCHASED_IN' AS type, l_orderkey AS \"order\", l_linenumber AS line, l_shipdate AS shipped FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
     "WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 40) "
-    "QUALIFY row_number() OVER (PARTITION BY o_custkey, l_partkey, l_orderkey ORDER BY l_linenumber DESC) = 1)"
+    "QUALIFY row_number() OVER (PARTITION BY o_custkey, l_partkey, l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC, l_suppkey DESC) = 1)"
 )
 
 

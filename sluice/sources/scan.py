@@ -24,7 +24,8 @@ def read_text(spark: SparkSession, path: str, sep: str = ",", multiline: bool =
     _pos, the place of a row in the file order, for first-wins and last-wins rules.
     """
     df = spark.read.csv(path, header=True, sep=sep, escape='"', inferSchema=False, multiLine=multiline, enforceSchema=False)
-    if len(set(df.columns)) < len(df.columns):
+    header = spark.read.csv(path, header=False, sep=sep, escape='"', inferSchema=False).first() or ()
+    if len(set(header)) < len(header):  # Spark would number them
         raise SourceError(f"{path}: a column name occurs twice")
     out = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns]
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
