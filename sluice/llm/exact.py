@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, cut, shared_dir, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk. Its stores are many and small, so that no file space is taken in advance.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: str = "text") -> Column:
@@ -50,17 +54,16 @@ def ingest(spark: SparkSession, path: str, work: str, text: str = "text", digest
     def commit(changed: DataFrame, batch: int) -> None:
         changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{work}/groups/{batch:09d}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
     try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         ledger = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch * 100).parquet(f"{work}/ledger")
         state = ledger.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(RANK()).alias("stay"))
         _run(state.writeStream.outputMode("update").foreachBatch(commit), f"{work}/state-checkpoint")
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _folder(spark: SparkSession, path: str) -> tuple[str, str | None]:
