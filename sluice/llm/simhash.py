@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,28 +20,45 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 RADIUS = 3
 #: Nodes of one BK-tree at most; a larger shard is dealt as several trees.
 TREE_NODES = 4096
+#: Bits of a shard key below its slot, the number of the fingerprint among those of a text.
+SLOT = 56
+#: Fingerprints of a text that near_dedup compares. One joins less than half of the pairs that share 0.8 or more of their
+#: five-word shingles; each further one is another chance for those, hardly any for texts that are less alike.
+FINGERPRINTS = 8
 
 
-def fingerprint(text: str | None, width: int = 3, step: int = 1 << 16) -> int:
-    """64-bit SimHash of the word shingles, each repeat counted; 0 where there is no word."""
+def fingerprints(text: str | None, number: int = 1, width: int = 3, step: int = 1 << 16) -> list[int]:
+    """64-bit SimHashes of the word shingles, each repeat counted; 0 where there is no word.
+
+    The first is over the shingles' hashes, the others over the same hashes mixed anew by an invertible function.
+    """
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: lowers A-Z, splits at the six blanks
     if not words:
-        return 0
+        return [0] * number
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[: max(1, len(words) - width + 1)]
     ends = ends[-len(starts) :]
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((number, 64), np.int64)
     for k in range(0, len(starts), step):
-        hashes = [xxhash.xxh64_intdigest(joined[i:j], 42) for i, j in zip(starts[k : k + step].tolist(), ends[k : k + step].tolist())]
-        ones += np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
+        hashes = np.array([xxhash.xxh64_intdigest(joined[i:j], 42) for i, j in zip(starts[k : k + step].tolist(), ends[k : k + step].tolist())], np.uint64)
+        for n in range(number):
+            if n:
+                hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+                hashes = hashes ^ (hashes >> np.uint64(32))
+            ones[n] += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(bits.tobytes(), "big") for bits in np.packbits(2 * ones > len(starts), axis=1)]
+
+
+def simhash(text: Column, number: int = 1) -> Column:
+    """array<long> of a text's fingerprints."""
 
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(fingerprints(t, number), np.uint64).view(np.int64) for t in texts], dtype=object)
 
-@F.pandas_udf(T.LongType())
-def simhash(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+    return run(text)
 
 
 class BKTree:
@@ -108,8 +125,8 @@ def cell_links(left: list[int], right: list[int] | None, radius: int) -> list[tu
     return out
 
 
-def _runs(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of equal (cell, p, q) of sorted batches, a run may cross batches: p, q, parts, fingerprints."""
+def _runs(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Runs of equal (cell, p, q) of sorted batches, a run may cross batches: cell, p, q, parts, fingerprints."""
     rest = None
     for batch in batches:
         rows = batch[["cell", "p", "q", "part", "fp"]].to_numpy(np.int64)
@@ -118,19 +135,20 @@ def _runs(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, int, np.ndarra
             continue
         starts = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
         for i, j in zip(starts[:-1], starts[1:]):
-            yield int(rows[i, 1]), int(rows[i, 2]), rows[i:j, 3], rows[i:j, 4]
+            yield *map(int, rows[i, :3]), rows[i:j, 3], rows[i:j, 4]
         rest = rows[starts[-1] :]
     if rest is not None and len(rest):
-        yield int(rest[0, 1]), int(rest[0, 2]), rest[:, 3], rest[:, 4]
+        yield *map(int, rest[0, :3]), rest[:, 3], rest[:, 4]
 
 
 def _search(radius: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple[int, int]] = []
-        for p, q, parts, fps in _runs(batches):
+        out: list[tuple[int, int, int]] = []
+        for cell, p, q, parts, fps in _runs(batches):
             values = fps.view(np.uint64)
             left = values[parts == p].tolist()
-            out += cell_links(left, None if p == q else values[parts == q].tolist(), radius)
+            found = cell_links(left, None if p == q else values[parts == q].tolist(), radius)
+            out += [(cell >> SLOT, a, b) for a, b in found]
             if len(out) > 50_000:
                 yield _frame(out)
                 out = []
@@ -139,24 +157,24 @@ def _search(radius: int):
     return run
 
 
-def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
-    return pd.DataFrame(np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+def _frame(links: list[tuple[int, int, int]]) -> pd.DataFrame:
+    return pd.DataFrame(np.array(links, np.uint64).reshape(-1, 3).view(np.int64), columns=["slot", "a", "b"])
 
 
 def _shards(kept: int):
-    """Keys of a fingerprint: one for each choice of `kept` blocks, of its number and these blocks' bits."""
+    """Keys of a fingerprint: one for each choice of `kept` blocks, of its slot, the choice's number and these blocks' bits."""
     bits = lambda s, w: F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1)
     keys = []
     for number, chosen in enumerate(combinations(BLOCKS, kept)):
         key = F.lit(number).cast("long")
         for start, width in chosen:
             key = F.shiftleft(key, width).bitwiseOR(bits(start, width))
-        keys.append(key)
+        keys.append(F.shiftleft(F.col("slot").cast("long"), SLOT).bitwiseOR(key))
     return F.array(*keys)
 
 
 def hamming_links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """Spanning links (a, b) of all pairs of the distinct fingerprints `fp` that differ in at most radius bits.
+    """Spanning links (slot, a, b) of all pairs of the distinct (slot, fp) with one slot that differ in at most radius bits.
 
     Two values that differ in r bits agree in at least 5 - r of 5 blocks, so each is filed in one shard for each
     choice of 5 - r blocks and only shards with two members or more are searched. A shard's members form a
@@ -165,9 +183,9 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_N
     tasks of their queries, as a broadcast of them would grow with the corpus. A cell emits the links of a
     spanning forest, not all of its pairs; they join the same fingerprints.
     """
-    if not 0 <= radius < len(BLOCKS):
-        raise ValueError(f"radius must be 0 to {len(BLOCKS) - 1}")
-    rows = fps.select("fp", F.explode(_shards(len(BLOCKS) - radius)).alias("cell"))
+    if not 0 < radius < len(BLOCKS):
+        raise ValueError(f"radius must be 1 to {len(BLOCKS) - 1}")
+    rows = fps.select(F.explode(_shards(len(BLOCKS) - radius)).alias("cell"), "fp")
     trees = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     trees = trees.select("cell", F.ceil(F.col("n") / tree_nodes).cast("int").alias("trees"))
     part = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
@@ -179,35 +197,41 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_N
     )
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cells.repartition(parts, "cell", "p", "q").sortWithinPartitions("cell", "p", "q")
-    return dealt.mapInPandas(_search(radius), "a long, b long")
-
-
-def _grouped(own: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """own (key, fp): each fingerprint's component root, and the least key of each root."""
-    distinct = own.groupBy("fp").agg(F.min("key").alias("key"))
-    roots = connected_components(hamming_links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "key", F.coalesce("root", "fp").alias("root"))
-    return rooted, rooted.groupBy("root").agg(F.min("key").alias("key"))
+    return dealt.mapInPandas(_search(radius), "slot long, a long, b long")
 
 
 def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id.
+    """One row per document: doc_id, fp (signed long), component_id, by one fingerprint.
 
     A null or blank text has fingerprint 0 and is linked like any other. Repeated rows and ids each give a row.
     component_id is the least non-null doc_id of the component, null if it has none.
     """
-    own = cut(docs.select(F.col("doc_id").alias("key"), simhash(F.col(text)).alias("fp")), "fingerprints")
-    rooted, least = _grouped(own, radius)
-    named = rooted.select("fp", "root").join(least.withColumnRenamed("key", "component_id"), "root").drop("root")
-    return own.withColumnRenamed("key", "doc_id").join(named, "fp")
+    own = cut(docs.select("doc_id", simhash(F.col(text))[0].alias("fp")), "fingerprints")
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = connected_components(hamming_links(distinct.select(F.lit(0).alias("slot"), "fp"), radius).select("a", "b"))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return own.join(rooted.select("fp", "root").join(least, "root").drop("root"), "fp")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents, one of each SimHash component: the row with the least doc_id, null ids last."""
+def near_dedup(docs: DataFrame, text: str = "text", radius: int = RADIUS, number: int = FINGERPRINTS) -> DataFrame:
+    """The documents, one of each group: the row with the least doc_id, null ids last.
+
+    Two documents are linked when any of their `number` fingerprints differ in at most radius bits; groups are what
+    links connect.
+    """
     source = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "near")
-    key = F.struct(F.col("doc.doc_id").isNull().alias("none"), "doc.doc_id", "row")
-    own = cut(source.select(key.alias("key"), simhash(F.col(f"doc.{text}")).alias("fp")), "fingerprints")
-    stay = _grouped(own, radius)[1].select("key.row")
+    rank = F.struct(F.col("doc.doc_id").isNull().alias("none"), "doc.doc_id", "row")
+    own = cut(source.select("row", rank.alias("rank"), simhash(F.col(f"doc.{text}"), number).alias("fps")), "fingerprints")
+    values = own.select("row", F.posexplode("fps").alias("slot", "fp"))
+    first = cut(values.groupBy("slot", "fp").agg(F.min("row").alias("first")), "values")  # one row stands for all with a value
+    same = values.join(first, ["slot", "fp"]).select(F.col("row").alias("a"), F.col("first").alias("b")).where("a <> b")
+    links = hamming_links(first.select("slot", "fp"), radius)
+    at = lambda end: first.select("slot", F.col("fp").alias(end), F.col("first").alias(f"row_{end}"))
+    near = links.join(at("a"), ["slot", "a"]).join(at("b"), ["slot", "b"]).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    roots = connected_components(same.union(near))
+    rooted = own.select("row", "rank").join(roots, own.row == roots.node, "left").select("rank", F.coalesce("root", "row").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("rank").alias("rank")).select("rank.row")
     return source.join(stay, "row", "left_semi").select("doc.*")
 
 

@@ -8,7 +8,7 @@ from tests.llm.test_packing import _tokenizer
 from tests.llm.test_quality import brute as counts
 from tests.llm.test_simhash import brute as near
 
-from sluice.llm import mixing
+from sluice.llm import mixing, simhash
 
 
 def test_stages_take_effect_on_their_own_input(spark):
@@ -38,7 +38,7 @@ def test_stages_take_effect_on_their_own_input(spark):
     assert sorted(r.doc_id for r in after) == sorted(i for _, i in best.values())
 
     before, after = kept["near_dedup"]
-    groups = near([(r.doc_id, r.text) for r in before])
+    groups = near([(r.doc_id, r.text) for r in before], simhash.FINGERPRINTS)
     assert sorted(r.doc_id for r in after) == sorted({g for _, g in groups.values()})
 
     before, after = kept["mix_sources"]

@@ -7,14 +7,16 @@ from sluice.llm import simhash as S
 from tests.conftest import SF
 
 
-def brute(texts):
-    """fingerprint and component of each (id, text), all pairs."""
-    fps = {}
+def brute(texts, number=1):
+    """fingerprint and component of each (id, text), all pairs; of several fingerprints any may be close."""
+    fps, more = {}, {}
     for i, t in texts:
         words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
         shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
         h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
         fps[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        more[i] = S.fingerprints(t, number)
+        assert more[i][0] == fps[i]
     part = {i: i for i in fps}
     ids = sorted(fps)
     changed = True
@@ -22,7 +24,7 @@ def brute(texts):
         changed = False
         for x in ids:
             for y in ids:
-                if (fps[x] ^ fps[y]).bit_count() <= 3 and part[x] != part[y]:
+                if part[x] != part[y] and any((a ^ b).bit_count() <= 3 for a, b in zip(more[x], more[y])):
                     part[x] = part[y] = min(part[x], part[y])
                     changed = True
     return {i: (f"{fps[i]:016x}", part[i]) for i in ids}
@@ -44,7 +46,9 @@ def test_links_join_all_close_values(spark, tree_nodes):
     base = [rng.getrandbits(64) for _ in range(30)]
     values = list({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(3))) & (1 << 64) - 1 for b in base for _ in range(12)})
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = S.hamming_links(spark.createDataFrame([(v,) for v in signed], "fp long"), tree_nodes=tree_nodes).collect()
+    links = S.hamming_links(spark.createDataFrame([(k, v) for v in signed for k in (0, 5)], "slot int, fp long"), tree_nodes=tree_nodes).collect()
+    assert sorted(r[1:] for r in links if r[0] == 0) == sorted(r[1:] for r in links if r[0] == 5)
+    links = [r[1:] for r in links if r[0] == 5]
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in links)
     seen = S.Links()
     for a, b in links:
