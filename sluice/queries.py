@@ -472,7 +472,7 @@ def stream_route(spark, sf):
 def _keyed(spark, sf, rule):
     stream = table_stream(spark, f"{sf}/events.parquet").select("user_id", "event_id", "event_type", "ts").where("user_id is not null")
     store, work = Store(spark, scratch(spark)), scratch(spark)
-    run_batches(stream, lambda batch, _: store.replace("users", rule(store.stored("users"), batch, ["user_id"], ["ts", "event_id"])), f"{work}/checkpoint")
+    run_batches(stream, lambda batch, _: rule(store, "users", batch, ["user_id"], ["ts", "event_id"]), f"{work}/checkpoint")
     return store.read("users")
 
 

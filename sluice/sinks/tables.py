@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import dedupe
 from ..operators.filters import PARTITION
+from . import files
 
 Writer = Callable[[DataFrame, "Store", str, Sequence[str]], None]
 _WRITERS: dict[str, Writer] = {}
@@ -20,60 +24,77 @@ class MissingTarget(FileNotFoundError):
 
 
 class Store:
-    """Targets under one folder. Versions are whole folders: a load writes the next one and then points to it, so a failed or
-    repeated load never leaves a half-written target, and a task may be run again."""
+    """Targets under one folder, each a list of immutable parts.
+
+    A load writes its own rows as a new part and then publishes a version that lists it, so the work of a load is that
+    of its rows and not of all stored ones, a failed load leaves no trace, and of two writers of a version one fails.
+    Where a target is upserted, a part's rows hide those of earlier parts with the same keys when it is read;
+    compact() makes one part of all.
+    """
 
     def __init__(self, spark: SparkSession, root: str, create: bool = True, rows_per_file: int | None = None) -> None:
         self.spark, self.root, self.create, self.rows_per_file = spark, root.rstrip("/"), create, rows_per_file
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _versions(self, name: str) -> list[int]:
-        fs, p = self._fs(f"{self.root}/{name}")
-        if not fs.exists(p):
-            return []
-        found = [s.getPath() for s in fs.listStatus(p)]
-        done = [q for q in found if q.getName().startswith("v") and fs.exists(self._fs(f"{q.toString()}/_SUCCESS")[1])]
-        return sorted(int(q.getName()[1:]) for q in done)
+    def _latest(self, name: str) -> tuple[int, dict]:
+        """The last version: its number, and its parts and upsert keys."""
+        versions = [n for n in files.names(self.spark, f"{self.root}/{name}") if n.startswith("v")]
+        if not versions:
+            return 0, {"parts": [], "keys": []}
+        return int(versions[-1][1:]), json.loads(files.read_text(self.spark, f"{self.root}/{name}/{versions[-1]}"))
 
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return bool(self._latest(name)[0])
 
     def read(self, name: str) -> DataFrame:
         """The stored rows, with _partition as a column that filters prune folders by."""
-        versions = self._versions(name)
-        if not versions:
+        version, now = self._latest(name)
+        if not version:
             raise MissingTarget(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/v{versions[-1]:06d}")
+        parts = [self.spark.read.schema(StructType.fromJson(p["schema"])).parquet(f"{self.root}/{name}/{p['folder']}") for p in now["parts"]]
+        if len(parts) == 1:
+            return parts[0]
+        if not now["keys"]:
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (p.withColumn("_load", F.lit(k)) for k, p in enumerate(parts)))
+        return dedupe.dedupe(rows, now["keys"], ["_load"], drop_blank=False).drop("_load")
 
     def stored(self, name: str) -> DataFrame | None:
-        try:
-            return self.read(name)
-        except (MissingTarget, AnalysisException):
-            return None
+        return self.read(name) if self.exists(name) else None
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Write the next version; with _partition, a folder for each of its values, its rows brought together first."""
-        versions = self._versions(name)
-        if not versions and not self.create:
+    def _put(self, name: str, rows: DataFrame, keep: bool, keys: Sequence[str] = ()) -> None:
+        version, now = self._latest(name)
+        if not version and not self.create:
             raise MissingTarget(name)
-        target = f"{self.root}/{name}/v{(versions[-1] if versions else 0) + 1:06d}"
-        writer = rows.write.mode("overwrite")
+        part = f"part-{uuid.uuid4().hex}"
+        if PARTITION in rows.columns:
+            rows = rows.hint("rebalance", PARTITION)  # rows of a partition together, a hot one in several tasks
+        writer = rows.write.partitionBy(PARTITION) if PARTITION in rows.columns else rows.write
         if self.rows_per_file:
             writer = writer.option("maxRecordsPerFile", self.rows_per_file)
-        if PARTITION in rows.columns:
-            rows = rows.hint("rebalance", PARTITION)
-            writer = rows.write.mode("overwrite").partitionBy(PARTITION)
-            if self.rows_per_file:
-                writer = writer.option("maxRecordsPerFile", self.rows_per_file)
-        writer.parquet(target)
+        writer.parquet(f"{self.root}/{name}/{part}")
+        listed = {"folder": part, "schema": rows.schema.jsonValue()}  # a part without rows has no file to tell its columns
+        parts = [*now["parts"], listed] if keep else [listed]
+        files.publish(self.spark, f"{self.root}/{name}/v{version + 1:08d}", json.dumps({"parts": parts, "keys": list(keys)}))
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """These rows are all."""
+        self._put(name, rows, False)
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """These rows beside the stored ones."""
+        self._put(name, rows, True, self._latest(name)[1]["keys"])
+
+    def upsert(self, name: str, rows: DataFrame, keys: Sequence[str]) -> None:
+        """These rows, one for each key, instead of the stored ones with the same keys."""
+        self._put(name, rows, True, keys)
+
+    def compact(self, name: str) -> None:
+        """One part of all; readers of earlier versions keep theirs."""
+        self._put(name, self.read(name), False, self._latest(name)[1]["keys"])
 
     def clean(self, name: str) -> None:
         """Forget all that a target has stored."""
-        fs, p = self._fs(f"{self.root}/{name}")
-        fs.delete(p, True)
+        files.remove(self.spark, f"{self.root}/{name}")
 
     def ordered(self, name: str, *columns: str) -> DataFrame:
         """Read-back in the order of the given columns, of the first column if none is given."""
@@ -101,25 +122,27 @@ def _scoped(df: DataFrame, keys: Sequence[str]) -> list[str]:
 
 
 def _relational(df: DataFrame, store: Store, name: str, keys: Sequence[str]) -> None:
-    old = store.stored(name)
+    old = store.stored(name) if keys else None
     if old is not None:
-        df = dedupe.insert_if_absent(df, old, _scoped(df, keys)) if keys else old.unionByName(df)
-    store.replace(name, df)
+        scoped = _scoped(df, keys)
+        df = df.join(old.select(*scoped), scoped, "left_anti").select(*df.columns)
+    store.append(name, df)
 
 
 def _document(df: DataFrame, store: Store, name: str, keys: Sequence[str]) -> None:
-    old = store.stored(name)
-    store.replace(name, df if old is None else old.unionByName(df))
+    store.append(name, df)
 
 
 def _upserted(df: DataFrame, store: Store, name: str, keys: Sequence[str]) -> None:
-    old = store.stored(name)
-    store.replace(name, df if old is None else dedupe.upsert(old, df, _scoped(df, keys)))
+    store.upsert(name, df, _scoped(df, keys))
 
 
 def _merged(df: DataFrame, store: Store, name: str, keys: Sequence[str]) -> None:
-    old = store.stored(name)
-    store.replace(name, df if old is None else dedupe.merge_properties(old, df, _scoped(df, keys)))
+    """Only the nodes that the load touches are merged and written."""
+    old, scoped = store.stored(name), _scoped(df, keys)
+    if old is not None:
+        df = dedupe.merge_properties(old.join(df.select(*scoped), scoped, "left_semi"), df, scoped)
+    store.upsert(name, df, scoped)
 
 
 register_sink("relational", _relational)

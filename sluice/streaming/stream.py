@@ -51,7 +51,6 @@ class EntityStream:
 
     def __init__(self, store: Store, entities: Sequence[Entity], kinds: dict[str, str]) -> None:
         self.store, self.entities, self.kinds = store, list(entities), kinds
-        self.rows_written: dict[str, int] = {}
         self._before: dict[str, DataFrame | None] = {}
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
@@ -66,18 +65,18 @@ class EntityStream:
             batch.unpersist()
 
     def _store(self, e: Entity, shaped: DataFrame, keys: list[str]) -> None:
-        old = self.store.stored(e.name)
+        """A batch writes its own rows only; what they hide is settled when the target is read."""
         scoped = [*([PARTITION] if PARTITION in shaped.columns else []), *keys]
-        before = self._before.setdefault(e.name, old)
+        before = self._before.setdefault(e.name, self.store.stored(e.name))
         if e.model == "relational" and keys:
             if before is not None:
                 shaped = shaped.join(before.select(*scoped), scoped, "left_anti").select(*shaped.columns)
-            self.store.replace(e.name, shaped if old is None else dedupe.upsert(old, shaped, scoped))
+            self.store.upsert(e.name, shaped, scoped)
         elif e.model == "graph":
-            self.store.replace(e.name, shaped if old is None else dedupe.insert_if_absent(shaped, old, scoped))
+            old = self.store.stored(e.name)
+            self.store.upsert(e.name, shaped if old is None else shaped.join(old.select(*scoped), scoped, "left_anti").select(*shaped.columns), scoped)
         else:
             write(shaped, self.store, e.name, e.model, keys)
-        self.rows_written[e.name] = self.store.read(e.name).count()
 
 
 def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -89,12 +88,18 @@ def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Da
     return file_stream(spark, path, schema, files_per_batch)
 
 
-def first_wins(stored: DataFrame | None, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The stored rows and the first new row of each key that is not stored."""
+def rows_stored(loader: EntityStream) -> dict[str, int]:
+    """Rows of each entity's target."""
+    return {e.name: loader.store.read(e.name).count() for e in loader.entities if loader.store.exists(e.name)}
+
+
+def first_wins(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> None:
+    """Store the first new row of each key that is not stored."""
     fresh = dedupe.dedupe(batch, keys, order, keep=dedupe.FIRST, drop_blank=False)
-    return fresh if stored is None else dedupe.insert_if_absent(fresh, stored, keys)
+    old = store.stored(name)
+    store.append(name, fresh if old is None else fresh.join(old.select(*keys), list(keys), "left_anti").select(*fresh.columns))
 
 
-def last_wins(stored: DataFrame | None, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key over the stored rows and the batch."""
-    return dedupe.dedupe(batch if stored is None else stored.unionByName(batch), keys, order, drop_blank=False)
+def last_wins(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> None:
+    """Store the last row of each key of the batch; it hides the stored one."""
+    store.upsert(name, dedupe.dedupe(batch, keys, order, drop_blank=False), keys)
