@@ -137,6 +137,46 @@ def check_references(references: Sequence[Reference], bound: dict[str, Bound]) -
                 raise MappingError(f"{r.name}: {entity} has no column {column}")
 
 
+@dataclass(frozen=True)
+class Edge:
+    """A relation between two graph entities, drawn from the rows of the first, which carry both keys.
+
+    Properties marked as key tell edges with the same ends apart.
+    """
+
+    type: str
+    start: str
+    end: str
+    properties: tuple[Field, ...] = ()
+
+
+def key_field(b: Bound) -> Field:
+    (own,) = [f for _, f in leaves(b.fields) if f.key]
+    return own
+
+
+def edge_rows(edge: Edge, bound: dict[str, Bound]) -> DataFrame:
+    """(src, dst, type, properties) of an edge; both ends must be nodes."""
+    if missing := [n for n in (edge.start, edge.end) if n not in bound]:
+        raise MappingError(f"{edge.type}: no entity {missing}")
+    a, b = bound[edge.start], bound[edge.end]
+    first, second = key_field(a), key_field(b)
+    ends = [source_column(f, a.typed.columns) for f in (first, second)]
+    return shapes.to_edges(a.rows(), *ends, edge.type, a.shaped(), first.name, b.shaped(), second.name, edge.properties, a.entity.order)
+
+
+def relations_from(config: dict) -> tuple[list[Reference], list[Edge]]:
+    """References and edges of {model: {"relationships": {name: {from, to, foreign_key, references_key} or {from, to, type, columns}}}}."""
+    references, edges = [], []
+    for block in config.values():
+        for name, r in block.get("relationships", {}).items():
+            if "foreign_key" in r:
+                references.append(Reference(r["from"], r["to"], r["foreign_key"], r.get("references_key"), name))
+            else:
+                edges.append(Edge(r.get("type", name), r["from"], r["to"], flat(fields_from(r.get("columns", {})))))
+    return references, edges
+
+
 def entities_from(config: dict) -> list[Entity]:
     """Entities of {model: {"entities": {name: {source, columns, mode, csv_columns, filters, partition, cluster}}}}."""
     out = []

@@ -12,6 +12,7 @@ from ..functions.kinds import STRING
 from ..operators import dedupe, shapes
 from ..operators.filters import PARTITION, partitioned
 from ..operators.filters import apply_filters as filtered
+from ..operators.mapping import Field
 from ..plans.entity import Entity
 from ..sinks.tables import Store, write
 from ..sources.scan import POSITION
@@ -79,6 +80,22 @@ class EntityStream:
             write(shaped, self.store, e.name, e.model, keys)
 
 
+class EdgeStream:
+    """Loads edges from a stream of text rows, after the streams of their nodes have ended.
+
+    Only rows whose both ends are stored nodes make an edge; of the same ends and merge keys the later row wins.
+    """
+
+    def __init__(self, store: Store, name: str, ends: tuple[str, str], nodes: tuple[tuple[str, str], tuple[str, str]], kinds: dict[str, str], properties: Sequence[Field] = (), order: Sequence[str] = ()) -> None:
+        self.store, self.name, self.ends, self.nodes, self.kinds, self.properties, self.order = store, name, ends, nodes, kinds, properties, order
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        typed = batch.select(*(cast_column(F.col(f"`{c}`"), self.kinds.get(c, STRING)).alias(c) for c in batch.columns))
+        (start, start_key), (end, end_key) = self.nodes
+        edges = shapes.to_edges(typed, *self.ends, self.name, self.store.read(start), start_key, self.store.read(end), end_key, self.properties, self.order)
+        self.store.upsert(self.name, edges, ["src", "dst", *(f.name for f in self.properties if f.key)])
+
+
 def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A stream over a Parquet folder, or over one Parquet file of a folder."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

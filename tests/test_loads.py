@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from sluice.operators.filters import Filter
 from sluice.operators.mapping import Field, MappingError
-from sluice.plans.entity import Binder, Entity, Reference, check_references, entities_from, sample_kinds
+from sluice.plans.entity import Binder, Edge, Entity, Reference, check_references, edge_rows, entities_from, relations_from, sample_kinds
 from sluice.plans.reports import Metrics, empty_ones, medians, overhead, plan_counts
 from sluice.sinks import files
 from sluice.sinks.tables import MissingTarget, Store, preview, register_sink, write
 from sluice.sources.scan import load_sources
-from sluice.streaming.stream import EntityStream, file_stream, rows_stored, run_batches
+from sluice.streaming.stream import EdgeStream, EntityStream, file_stream, rows_stored, run_batches
 
 
 @pytest.fixture
@@ -150,3 +150,39 @@ def test_metrics_and_reports(spark):
     other = runs.where("size = 'b'")
     assert rows(overhead(runs, other, ["size"], "rep")) == [("a", 2.0, None, None)]
     assert overhead(runs, runs, ["size"], "rep").first().overhead_pct == 0
+
+
+GRAPH = {
+    "graph": {
+        "entities": {
+            "people": {"columns": {"person_id": {"is_key": True}}},
+            "things": {"columns": {"thing_id": {"is_key": True}, "label": {}}},
+        },
+        "relationships": {"owns": {"from": "people", "to": "things", "type": "OWNS", "columns": {"weight": {}}}},
+    },
+    "relational": {"relationships": {"r": {"from": "a", "to": "b", "foreign_key": "k"}}},
+}
+
+
+def test_graph_as_batch_and_as_stream(spark, tmp_path):
+    people = spark.createDataFrame([("p1", "t1", "1"), ("p2", "t9", "2"), ("p1", "t1", "3"), ("p3", "", "4")], "person_id string, thing_id string, weight string")
+    things = spark.createDataFrame([("t1", "x"), ("t2", "y")], "thing_id string, label string")
+    references, (owns,) = relations_from(GRAPH)
+    assert references == [Reference("a", "b", "k", None, "r")] and owns == Edge("OWNS", "people", "things", (Field("weight", "weight", False, None, "weight"),))
+    from dataclasses import replace
+
+    binder = Binder({"people": people, "things": things})
+    entities = {e.name: replace(e, order=("weight",) if e.name == "people" else ("label",)) for e in entities_from(GRAPH)}
+    bound = {n: binder.bind(e) for n, e in entities.items()}
+    want = [("p1", "t1", "OWNS", 3)]
+    assert rows(edge_rows(owns, bound)) == want
+    with pytest.raises(MappingError):
+        edge_rows(replace(owns, end="gone"), bound)
+
+    store = Store(spark, str(tmp_path / "s"))
+    for name, df in (("people", people), ("things", things)):
+        df.write.parquet(str(tmp_path / name))
+        run_batches(file_stream(spark, str(tmp_path / name), df.schema), EntityStream(store, [entities[name]], bound[name].kinds), str(tmp_path / f"c-{name}"))
+    load = EdgeStream(store, "OWNS", ("person_id", "thing_id"), (("people", "person_id"), ("things", "thing_id")), bound["people"].kinds, owns.properties, ["weight"])
+    run_batches(file_stream(spark, str(tmp_path / "people"), people.schema, 100), load, str(tmp_path / "c-owns"))
+    assert rows(store.read("OWNS")) == want
