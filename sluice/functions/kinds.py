@@ -16,11 +16,23 @@ KINDS = (EMPTY, BOOLEAN, INTEGER, FLOAT, DATETIME, STRING)
 DATETIME_SHARE = 0.85
 
 NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
-#: Free date forms tried in this order after ISO; day-first only where month-first fails.
-DATE_FORMATS = (
-    "M/d/yyyy", "d/M/yyyy", "M/d/yyyy HH:mm:ss", "d/M/yyyy HH:mm:ss", "M-d-yyyy", "d-M-yyyy", "yyyy/M/d", "yyyy/M/d HH:mm:ss", "yyyyMMdd'T'HHmmss",
-    "MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-M-d",
-)
+#: Free date forms after ISO: what a text must look like, and the formats then tried in order, day-first only where
+#: month-first fails. Texts of another look, most of all texts, are never parsed.
+DATE_FORMS = (
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", ("M/d/yyyy", "d/M/yyyy")),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}$", ("M/d/yyyy HH:mm:ss", "d/M/yyyy HH:mm:ss")),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", ("M-d-yyyy", "d-M-yyyy")),
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", ("yyyy/M/d",)),
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{2}:[0-9]{2}:[0-9]{2}$", ("yyyy/M/d HH:mm:ss",)),
+    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", ("yyyy-M-d",)),
+    (r"^[0-9]{8}T[0-9]{6}$", ("yyyyMMdd'T'HHmmss",)),
+    (r"^[A-Za-z]{3} [0-9]{1,2} [0-9]{4}$", ("MMM d yyyy",)),
+    (r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$", ("MMM d, yyyy",)),
+    (r"^[A-Za-z]{4,9} [0-9]{1,2} [0-9]{4}$", ("MMMM d yyyy",)),
+    (r"^[A-Za-z]{4,9} [0-9]{1,2}, [0-9]{4}$", ("MMMM d, yyyy",)),
+    (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", ("d MMM yyyy",)),
+    (r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}$", ("d MMMM yyyy",)),
+)
 _ISO = r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?\s*(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)?)?\s*$"
 
 
@@ -30,11 +42,10 @@ def as_number(c: Column) -> Column:
 
 
 def as_datetime(c: Column) -> Column:
-    """Timestamp, or null: ISO forms first, then DATE_FORMATS. Forms without a zone are read in the session's."""
+    """Timestamp, or null: ISO forms first, then DATE_FORMS. Forms without a zone are read in the session's."""
     text = F.trim(c)
     iso = F.when(c.rlike(_ISO), text.try_cast("timestamp"))
-    free = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]
-    return F.coalesce(iso, F.when(text.rlike(r"[0-9]") & ~c.rlike(_ISO), F.coalesce(*free)))
+    return F.coalesce(iso, *(F.when(text.rlike(look), F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))) for look, formats in DATE_FORMS))
 
 
 def is_boolean(c: Column) -> Column:
