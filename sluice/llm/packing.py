@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_or_empty
@@ -163,21 +163,15 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
         histogram[length] = n
     rows = intervals(plan(histogram, window))
     places = spark.createDataFrame(pd.DataFrame(rows, columns=["length", "low", "high", "first", "offset"]).astype("int64"), "length long, low long, high long, first long, offset long")
-    before = F.sum("n").over(_window(["length"], ["_salt"]).rowsBetween(-(1 << 31), -1))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     shifts = counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_shift"))
-    rank = F.row_number().over(_window(["length", "_salt"], ["doc_id", "start", "ids_crc32", "doc_tokens"])) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
     ranked = salted.withColumn("_rank", rank).join(shifts, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_shift"))
     # the plan has at most a few rows for each of `window` lengths, whatever the input: it may be broadcast
     placed = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high")))
     return placed.select(*(ranked[c] for c in pieces.columns), (F.col("first") + F.col("_rank") - F.col("low")).alias("sequence_id"), "offset")
 
 
-def _window(keys: list[str], order: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(*order)
-
-
 def packed(docs: DataFrame, path: str, text: str = "text", window: int = WINDOW) -> DataFrame:
     """Tokenize and pack; pieces with their ids. The pieces are written once, as two passes read them."""
     return pack(cut(tokenize(docs, path, text, window), "pieces"), window)

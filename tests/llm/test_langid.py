@@ -3,7 +3,6 @@ import zlib
 import numpy as np
 
 from sluice.llm import langid as L
-from tests.conftest import SF
 
 
 def test_held_out_accuracy(spark):
