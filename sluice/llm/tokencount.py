@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_or_empty
+from .common import cut, shared_dir, table, text_or_empty
 from .tokens import batches, encoder, space_chunks, version
 
 LIMIT = 512
@@ -41,17 +41,19 @@ def count_tokens(docs: DataFrame, cache: str, path: str, text: str = "text", lim
 
     Content is normalised only as far as counts allow: null to empty, UTF-8. One text of each digest is kept before
     the shuffle, so a text with very many copies moves once per task; digests that the cache lacks are encoded and
-    appended to it; counts are joined back by digest.
+    appended to it. Counts are joined back by digest to a table without texts, where Spark splits a digest that very
+    many rows share.
     """
     spark, tokenizer = docs.sparkSession, version(path)
     content = text_or_empty(text)
-    keyed = docs.select("doc_id", F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("text"))
-    misses = keyed.select("digest", "text").dropDuplicates(["digest"])
+    digest = F.unhex(F.sha2(content, 256)).alias("digest")
+    keyed = cut(docs.select("doc_id", F.octet_length(content).cast("long").alias("n_bytes"), digest), "digests")
+    misses = docs.select(digest, content.alias("text")).dropDuplicates(["digest"])
     if (stored := _stored(spark, cache, tokenizer)) is not None:
         misses = misses.join(stored, "digest", "left_anti")
     misses.mapInPandas(_encode(path), "digest binary, n_tokens long").write.mode("append").parquet(f"{cache}/tokenizer={tokenizer}")
-    counts = _stored(spark, cache, tokenizer)
-    return keyed.drop("text").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = cut(keyed.select("digest").distinct().join(_stored(spark, cache, tokenizer), "digest"), "counts")
+    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op4_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
