@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, cut, shared_dir, text_or_empty
 
-#: State on disk. Its stores are many and small, so that no file space is taken in advance.
+#: State on disk. Its stores are many and small: no file space is taken in advance, all stores of an executor share one
+#: bounded memory, and a store is closed once its batch is committed.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
