@@ -7,11 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jaccard
 from .common import cut, table
 from .components import connected_components
 
@@ -22,8 +22,7 @@ RADIUS = 3
 TREE_NODES = 4096
 #: Bits of a shard key below its slot, the number of the fingerprint among those of a text.
 SLOT = 56
-#: Fingerprints of a text that near_dedup compares. One joins less than half of the pairs that share 0.8 or more of their
-#: five-word shingles; each further one is another chance for those, hardly any for texts that are less alike.
+#: Fingerprints by any of which near_dedup linked texts before it computed their similarity; tests still name it.
 FINGERPRINTS = 8
 
 
@@ -32,23 +31,15 @@ def fingerprints(text: str | None, number: int = 1, width: int = 3, step: int =
 
     The first is over the shingles' hashes, the others over the same hashes mixed anew by an invertible function.
     """
-    words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: lowers A-Z, splits at the six blanks
-    if not words:
-        return [0] * number
-    joined = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    starts = (ends - size)[: max(1, len(words) - width + 1)]
-    ends = ends[-len(starts) :]
-    ones = np.zeros((number, 64), np.int64)
-    for k in range(0, len(starts), step):
-        hashes = np.array([xxhash.xxh64_intdigest(joined[i:j], 42) for i, j in zip(starts[k : k + step].tolist(), ends[k : k + step].tolist())], np.uint64)
+    ones, total = np.zeros((number, 64), np.int64), 0
+    for hashes in jaccard.shingle_hashes(text, width, step):
+        total += len(hashes)
         for n in range(number):
             if n:
                 hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
                 hashes = hashes ^ (hashes >> np.uint64(32))
             ones[n] += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return [int.from_bytes(bits.tobytes(), "big") for bits in np.packbits(2 * ones > len(starts), axis=1)]
+    return [int.from_bytes(bits.tobytes(), "big") for bits in np.packbits(2 * ones > total, axis=1)]
 
 
 def simhash(text: Column, number: int = 1) -> Column:
@@ -214,22 +205,23 @@ def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> Da
     return own.join(rooted.select("fp", "root").join(least, "root").drop("root"), "fp")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", radius: int = RADIUS, number: int = FINGERPRINTS) -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The documents, one of each group: the row with the least doc_id, null ids last.
 
-    Two documents are linked when any of their `number` fingerprints differ in at most radius bits; groups are what
-    links connect.
+    Two documents are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more; groups are
+    what links connect. Candidates are what the BK-trees link by fingerprints of these shingles, and rows that share a
+    MinHash band (jaccard.BANDS); only pairs whose similarity is computed and reaches 0.8 are linked.
     """
     source = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "near")
     rank = F.struct(F.col("doc.doc_id").isNull().alias("none"), "doc.doc_id", "row")
-    own = cut(source.select("row", rank.alias("rank"), simhash(F.col(f"doc.{text}"), number).alias("fps")), "fingerprints")
-    values = own.select("row", F.posexplode("fps").alias("slot", "fp"))
-    first = cut(values.groupBy("slot", "fp").agg(F.min("row").alias("first")), "values")  # one row stands for all with a value
-    same = values.join(first, ["slot", "fp"]).select(F.col("row").alias("a"), F.col("first").alias("b")).where("a <> b")
-    links = hamming_links(first.select("slot", "fp"), radius)
-    at = lambda end: first.select("slot", F.col("fp").alias(end), F.col("first").alias(f"row_{end}"))
-    near = links.join(at("a"), ["slot", "a"]).join(at("b"), ["slot", "b"]).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
-    roots = connected_components(same.union(near))
+    own = cut(source.select("row", rank.alias("rank"), jaccard.sketch(F.col(f"doc.{text}")).alias("s")).select("row", "rank", "s.*"), "sketches")
+    first = cut(own.groupBy("fp").agg(F.min("row").alias("first")), "values")  # one row stands for all with a value
+    same = own.join(first, "fp").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    links = hamming_links(first.select(F.lit(0).alias("slot"), "fp"), radius)
+    at = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"row_{end}"))
+    near = links.join(at("a"), "a").join(at("b"), "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    linked = jaccard.similar(source.select("row", F.col(f"doc.{text}").alias("text")), own, same.union(near))
+    roots = connected_components(linked)
     rooted = own.select("row", "rank").join(roots, own.row == roots.node, "left").select("rank", F.coalesce("root", "row").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("rank").alias("rank")).select("rank.row")
     return source.join(stay, "row", "left_semi").select("doc.*")
