@@ -51,14 +51,20 @@ def cast_column(c: Column, kind: str, wide: bool = False) -> Column:
 def cast_frame(df: DataFrame, kinds: dict[str, str], wide: set[str] | frozenset[str] = frozenset(), rescue: bool = True) -> DataFrame:
     """Each column by its kind. With rescue, _rescued maps the columns whose text did not fit a number or date to that text."""
     typed = [cast_column(F.col(f"`{n}`"), kinds.get(n, STRING), n in wide).alias(n) for n in df.columns if n != RESCUED]
-    fallible = [n for n in df.columns if kinds.get(n) in (INTEGER, FLOAT, DATETIME)]
     if rescue:
-        entries = [F.when(misfit(F.col(f"`{n}`"), kinds[n], n in wide), F.struct(F.lit(n), F.col(f"`{n}`").cast("string"))) for n in fallible]
-        found = F.filter(F.array(*entries), lambda e: e.isNotNull()) if entries else None
-        typed.append((F.map_from_entries(found) if entries else F.lit(None).cast("map<string,string>")).alias(RESCUED))
+        typed.append(rescued(df.columns, kinds, wide).alias(RESCUED))
     return df.select(*typed)
 
 
+def rescued(names: list[str], kinds: dict[str, str], wide: set[str] | frozenset[str] = frozenset()) -> Column:
+    """Map of the columns whose text did not fit a number or date to that text."""
+    fallible = [n for n in names if kinds.get(n) in (INTEGER, FLOAT, DATETIME)]
+    entries = [F.when(misfit(F.col(f"`{n}`"), kinds[n], n in wide), F.struct(F.lit(n), F.col(f"`{n}`").cast("string"))) for n in fallible]
+    if not entries:
+        return F.lit(None).cast("map<string,string>")
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+
+
 def misfit(c: Column, kind: str, wide: bool = False) -> Column:
     """A value that its kind cannot hold."""
     return ~is_blank(c.cast("string")) & cast_column(c, kind, wide).isNull()

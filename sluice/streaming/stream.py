@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.casts import cast_column
+from ..functions.casts import RESCUED, cast_column, rescued
 from ..functions.kinds import STRING
 from ..operators import dedupe, shapes
 from ..operators.filters import PARTITION, partitioned
@@ -29,6 +29,13 @@ def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int =
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).options(**options).load(folder)
 
 
+def store_rescued(store: Store, name: str, batch: DataFrame, kinds: dict[str, str]) -> None:
+    """Append the text rows that have cells their kinds cannot hold, null keys too, to <name>_rescued."""
+    lost = batch.withColumn(RESCUED, rescued(batch.columns, kinds)).where(F.size(RESCUED) > 0)
+    if not lost.isEmpty():
+        store.append(f"{name}{RESCUED}", lost)
+
+
 def _shape(e: Entity, rows: DataFrame) -> tuple[DataFrame, list[str]]:
     keys = [f.name for f in e.columns if getattr(f, "key", False)]
     if e.model == "relational":
@@ -47,7 +54,8 @@ class EntityStream:
 
     Across batches the rules are those of one batch over all rows: relational and key-value rows and wide rows take the
     last row of a key, nodes the first. A load is one run of the stream: of rows of the same load a later one wins in a
-    relational target, but rows that were stored before the load stay.
+    relational target, but rows that were stored before the load stay. Rows with cells that do not fit the bound kinds
+    are also kept as text in <entity>_rescued.
     """
 
     def __init__(self, store: Store, entities: Sequence[Entity], kinds: dict[str, str]) -> None:
@@ -62,6 +70,7 @@ class EntityStream:
                 typed = batch.select(*place, *(cast_column(F.col(f"`{c}`"), self.kinds.get(c, STRING)).alias(c) for c in batch.columns if c not in place))
                 rows = partitioned(filtered(typed, list(e.filters), self.kinds), list(e.filters), e.name)
                 self._store(e, *_shape(e, rows))
+                store_rescued(self.store, e.name, batch, self.kinds)
         finally:
             batch.unpersist()
 
@@ -94,6 +103,7 @@ class EdgeStream:
         (start, start_key), (end, end_key) = self.nodes
         edges = shapes.to_edges(typed, *self.ends, self.name, self.store.read(start), start_key, self.store.read(end), end_key, self.properties, self.order)
         self.store.upsert(self.name, edges, ["src", "dst", *(f.name for f in self.properties if f.key)])
+        store_rescued(self.store, self.name, batch, self.kinds)
 
 
 def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
