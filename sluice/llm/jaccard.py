@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,11 +21,20 @@ WIDTH = 5
 LEAST = (4, 5)
 #: Bands and minima in each. A pair of similarity s shares one with chance 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8.
 BANDS, ROWS = 20, 5
-#: Pairs of one row that a task compares in a run.
-RUN_PAIRS = 1024
-
-_FACTORS = np.array([xxhash.xxh64_intdigest(str(i), 1) | 1 for i in range(BANDS * ROWS)], np.uint64)[:, None]
-_SHIFTS = np.array([xxhash.xxh64_intdigest(str(i), 2) for i in range(BANDS * ROWS)], np.uint64)[:, None]
+#: Minima of a text, the first for its bands; the last bit of each goes to its sketch of BITS / 64 longs.
+BITS = 320
+#: Bits in which the sketches of a pair at 0.8 differ are (1 - 0.8) / 2 of BITS on average, 32, with a deviation of
+#: 5.4. A pair that differs in more than this, six deviations above, is not compared.
+FAR = 64
+#: Rows of a band that all its rows are compared with first.
+LEADERS = 16
+#: Rows that are compared with others together, and shingles of theirs: more of either become several cells.
+HEADS, HEAD_SHINGLES = 64, 1 << 20
+#: Rows that one cell's heads are compared with in a run.
+RUN_ROWS = 4096
+
+_FACTORS = np.array([xxhash.xxh32_intdigest(str(i), 1) | 1 for i in range(BITS)], np.uint32)[:, None]
+_SHIFTS = np.array([xxhash.xxh32_intdigest(str(i), 2) for i in range(BITS)], np.uint32)[:, None]
 
 
 def shingle_hashes(text: str | None, width: int, step: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -56,14 +66,24 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
 
 
-def bands(shingles: np.ndarray, step: int = 2048) -> np.ndarray:
-    """A key for each band, equal where all minima of the band are."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    mixed = (shingles ^ (shingles >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    for k in range(0, len(mixed), step):
-        least = np.minimum(least, (mixed[k : k + step] * _FACTORS + _SHIFTS).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+def minima(shingles: np.ndarray, step: int = 1024) -> np.ndarray:
+    """The least value of each of BITS hash functions over a set."""
+    least = np.full(BITS, np.iinfo(np.uint32).max, np.uint32)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(high), step):
+        least = np.minimum(least, (high[k : k + step] * _FACTORS + _SHIFTS).min(axis=1))
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A key for each band of the minima, equal where all minima of the band are."""
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))], np.uint64)
+
+
+def bits(least: np.ndarray) -> np.ndarray:
+    """The sketch: one bit of each of the minima, mixed before, as the least of many values is mostly small."""
+    mixed = least * np.uint32(0x9E3779B1)
+    return np.packbits((mixed ^ (mixed >> np.uint32(16))) & np.uint32(1)).view(">i8").astype(np.int64)
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -76,73 +96,99 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def sketch(text: Column) -> Column:
-    """struct of a text's fingerprint over five-word shingles, the size of its set and its band keys."""
+    """struct of a text's fingerprint over five-word shingles, the size of its set, its band keys and its bits in longs b0, b1, ..."""
+    out = T.StructType().add("fp", T.LongType()).add("size", T.IntegerType()).add("bands", T.ArrayType(T.LongType()))
 
-    @F.pandas_udf(T.StructType().add("fp", T.LongType()).add("size", T.IntegerType()).add("bands", T.ArrayType(T.LongType())))
+    @F.pandas_udf(reduce(lambda t, k: t.add(f"b{k}", T.LongType()), range(BITS // 64), out))
     def run(texts: pd.Series) -> pd.DataFrame:
-        fps, sizes, keys = [], [], []
+        fps, sizes, keys, sketches = [], [], [], []
         for t in texts:
             parts = list(shingle_hashes(t, WIDTH))
             own = np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
+            least = minima(own)
             fps.append(fold(parts))
             sizes.append(len(own))
-            keys.append(bands(own).view(np.int64))
-        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "size": np.array(sizes, np.int32), "bands": keys})
+            keys.append(bands(least).view(np.int64))
+            sketches.append(bits(least))
+        found = {"fp": np.array(fps, np.uint64).view(np.int64), "size": np.array(sizes, np.int32), "bands": keys}
+        return pd.DataFrame(found | {f"b{k}": column for k, column in enumerate(np.array(sketches, np.int64).reshape(-1, BITS // 64).T)})
 
     return run(text)
 
 
 def _compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows (a, part, b, text), a run's first with null b and a's text: the pairs (a, b) that are alike."""
-    own = None
+    """Rows (c, part, run, row, heads, text) sorted by cell: a cell's heads, with null heads, and then rows to compare with those listed."""
+    cell, own = None, {}
     for batch in batches:
         out = []
-        for a, b, text in zip(batch["a"].tolist(), batch["b"], batch["text"]):
-            if pd.isna(b):
-                own = shingle_set(text)
-            elif alike(own, shingle_set(text)):
-                out.append((a, int(b)))
+        for c, part, run, row, heads, text in zip(*(batch[n] for n in ("c", "part", "run", "row", "heads", "text"))):
+            if (c, part, run) != cell:
+                cell, own = (c, part, run), {}
+            shingles = shingle_set(text)
+            if heads is None:
+                own[row] = shingles
+            else:
+                out += [(a, row) for a in heads if alike(own[a], shingles)]
         yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
-def confirm(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows whose texts are alike. texts: (row, text).
+def confirm(texts: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows whose texts are alike. texts: (row, text); sizes: (row, size); pairs: (a, b, band), each once.
 
-    A row's pairs are dealt into runs of about RUN_PAIRS; each run has one copy of that row's text, so a row with many
-    pairs is split.
+    The first rows of pairs, the heads, are put into cells by the least band that they were found in, so that heads with
+    the same partners meet; a cell has about HEADS of them. Each partner's text goes to a cell once, however many of its
+    heads it is compared with. A cell with very many partners is split into runs, each with all its heads.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN_PAIRS).cast("int").alias("runs"))
-    dealt = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), "runs").cast("int").alias("part"), "b")
-    heads = dealt.select("a", "part").distinct()
-    rows = texts.join(dealt, texts.row == dealt.b).select("a", "part", "b", "text")
-    rows = rows.union(texts.join(heads, texts.row == heads.a).select("a", "part", F.lit(None).cast("long"), "text"))
-    sorted_rows = rows.repartition(parts, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return sorted_rows.mapInPandas(_compare, "a long, b long")
+    heads = pairs.groupBy(F.col("a").alias("row")).agg(F.min("band").alias("c")).select("row", F.coalesce("c", F.xxhash64("row")).alias("c")).join(sizes, "row")
+    fit = F.ceil(F.greatest(F.count(F.lit(1)) / HEADS, F.sum("size") / HEAD_SHINGLES)).cast("int")
+    dealt = cut(heads.join(heads.groupBy("c").agg(fit.alias("parts")), "c").select("row", "c", F.pmod(F.xxhash64("row"), "parts").cast("int").alias("part")), "heads")
+    met = pairs.join(dealt, pairs.a == dealt.row).groupBy("c", "part", "b").agg(F.collect_list("a").alias("heads"))
+    met = cut(met.withColumnRenamed("b", "row"), "cells")
+    runs = met.groupBy("c", "part").agg(F.ceil(F.count(F.lit(1)) / RUN_ROWS).cast("int").alias("runs"))
+    columns = ("c", "part", "run", "row", "heads", "text")
+    rows = met.join(runs, ["c", "part"]).withColumn("run", F.pmod(F.xxhash64("row"), "runs").cast("int")).join(texts, "row").select(*columns)
+    first = dealt.join(runs, ["c", "part"]).withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).withColumn("heads", F.lit(None).cast("array<bigint>"))
+    every = rows.union(first.join(texts, "row").select(*columns))
+    placed = every.repartition(parts, "c", "part", "run").sortWithinPartitions("c", "part", "run", F.col("heads").isNotNull())
+    return placed.mapInPandas(_compare, "a long, b long")
+
+
+def _may_be_alike(a: str, b: str) -> Column:
+    """Whether two rows (struct<row, size, b0, ...>) can reach the threshold by their sizes, and do not miss it by far in their sketches."""
+    over, under = LEAST
+    far = reduce(Column.__add__, (F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(BITS // 64)))
+    sizes = [F.col(f"{x}.size") for x in (a, b)]
+    return (F.col(f"{a}.row") != F.col(f"{b}.row")) & (under * F.least(*sizes) >= over * F.greatest(*sizes)) & (far <= FAR)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """(a, b, band) with a below b, each pair once."""
+    return pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("band").alias("band"))
 
 
 def similar(texts: DataFrame, sketches: DataFrame, more: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows with a similarity of 0.8 or more that connect all candidate pairs which reach it.
 
-    texts: (row, text); sketches: (row, size, bands); more: (a, b), further candidates. Candidates are all pairs that
-    share a band. Each band's rows are first compared with its least row only; after that only those pairs of a band
-    that are not connected yet, so a large group of copies costs no square.
+    texts: (row, text); sketches: (row, size, bands, b0, ...); more: (a, b), further candidates. Candidates are all pairs
+    that share a band. Each band's rows are first compared with its LEADERS least rows only; after that only those
+    pairs of a band that are not connected yet, so a large group of copies costs no square. Pairs whose sketches are
+    far apart are not compared.
     """
-    rows = sketches.select("row", "size", F.explode("bands").alias("band"))
-    least = rows.groupBy("band").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = cut(rows.join(least, "band"), "bands")
-    tested = _ordered(shared.select(F.col("row").alias("a"), F.col("first").alias("b")).union(more.select("a", "b")))
-    found = cut(confirm(texts, cut(tested, "stars")), "alike")
+    keys = sketches.select("row", F.explode("bands").alias("band"))
+    several = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    own = sketches.select("row", F.struct("row", "size", *(f"b{k}" for k in range(BITS // 64))).alias("x"))
+    shared = cut(keys.join(several, "band").join(own, "row").select("band", "x"), "bands")
+    rank = F.row_number().over(Window.partitionBy("band").orderBy("x.row"))
+    leaders = shared.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("band", F.col("x").alias("y"))
+    ends = (F.col("x.row").alias("a"), F.col("y.row").alias("b"), "band")
+    stars = shared.join(leaders, "band").where(_may_be_alike("x", "y")).select(*ends).unionByName(more.withColumn("band", F.lit(None).cast("long")))
+    sizes = sketches.select("row", "size")
+    found = cut(confirm(texts, sizes, cut(_ordered(stars), "stars")), "alike")
     roots = connected_components(found)
-    rooted = shared.join(roots, shared.row == roots.node, "left").select("band", "row", "size", "first", F.coalesce("root", "row").alias("root"))
-    rooted = cut(rooted, "rooted")
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    left = rooted.join(mixed, "band").where("row <> first").select("band", F.col("row").alias("a"), F.col("size").alias("m"), F.col("root").alias("r"))
-    right = left.toDF("band", "b", "n", "q")
-    over, under = LEAST
-    rest = left.join(right, "band").where(f"a < b and r <> q and {under} * least(m, n) >= {over} * greatest(m, n)").select("a", "b").distinct()
-    return found.union(confirm(texts, cut(rest, "rest")))
+    rooted = cut(shared.join(roots, F.col("x.row") == roots.node, "left").select("band", "x", F.coalesce("root", "x.row").alias("root")), "rooted")
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo <> hi and n > {LEADERS + 1}").select("band")
+    left = rooted.join(mixed, "band")
+    right = left.select("band", F.col("x").alias("y"), F.col("root").alias("other"))
+    rest = left.join(right, "band").where("x.row < y.row and root <> other").where(_may_be_alike("x", "y")).select(*ends)
+    return found.union(confirm(texts, sizes, cut(_ordered(rest), "rest")))

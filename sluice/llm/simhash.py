@@ -22,8 +22,6 @@ RADIUS = 3
 TREE_NODES = 4096
 #: Bits of a shard key below its slot, the number of the fingerprint among those of a text.
 SLOT = 56
-#: Fingerprints by any of which near_dedup linked texts before it computed their similarity; tests still name it.
-FINGERPRINTS = 8
 
 
 def fingerprints(text: str | None, number: int = 1, width: int = 3, step: int = 1 << 16) -> list[int]:
@@ -224,7 +222,8 @@ def near_dedup(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> Dat
     roots = connected_components(linked)
     rooted = own.select("row", "rank").join(roots, own.row == roots.node, "left").select("rank", F.coalesce("root", "row").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("rank").alias("rank")).select("rank.row")
-    return source.join(stay, "row", "left_semi").select("doc.*")
+    gone = cut(own.select("row").join(stay, "row", "left_anti"), "gone")  # written, so that Spark knows its size: texts move only if it is large
+    return source.join(gone, "row", "left_anti").select("doc.*")
 
 
 def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

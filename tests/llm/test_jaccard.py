@@ -1,11 +1,14 @@
 import random
+import re
+from collections import Counter
 
 from sluice.llm import jaccard as J
 from sluice.llm import simhash
 
 
 def shingles(text):
-    words = (text or "").lower().split()
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", words) if w]
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
 
 
@@ -36,7 +39,12 @@ def kept_by_brute_force(rows):
             x = part[x]
         return x
 
-    pairs = [(x, y) for x in sets for y in sets if x < y and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])]
+    of = {}
+    for i, own in sets.items():
+        for shingle in own:
+            of.setdefault(shingle, []).append(i)
+    shared = Counter((x, y) for ids in of.values() for x in ids for y in ids if x < y)
+    pairs = [(x, y) for (x, y), n in shared.items() if 5 * n >= 4 * (len(sets[x]) + len(sets[y]) - n)]
     for x, y in pairs:
         part[max(root(x), root(y))] = min(root(x), root(y))
     return sorted(i for i in part if root(i) == i), pairs
@@ -50,9 +58,19 @@ def test_stage_keeps_what_brute_force_similarity_keeps(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == want
 
 
+def test_recall_and_precision_on_the_documents(spark):
+    """Of the pairs at 0.8 or more, 0.9 or more end in one group, and groups join nothing else than brute force does."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want, pairs = kept_by_brute_force(rows)
+    kept = {r.doc_id for r in simhash.near_dedup(docs).collect()}
+    assert len(pairs) > 30 and kept >= set(want)
+    assert len(rows) - len(kept) >= 0.9 * (len(rows) - len(want))
+
+
 def test_bands_find_pairs_close_to_the_threshold():
     rows, close, found = dict(made(4, 400, 2)), 0, 0
-    keys = {i: set(J.bands(J.shingle_set(t)).tolist()) for i, t in rows.items()}
+    keys = {i: set(J.bands(J.minima(J.shingle_set(t))).tolist()) for i, t in rows.items()}
     sets = {i: shingles(t) for i, t in rows.items()}
     of = {}
     for i, t in rows.items():
@@ -75,13 +93,33 @@ def test_pairs_of_one_band_that_its_least_row_is_not_alike_to(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == [0, 1, 3, 5]
 
 
-def test_runs_of_one_row_are_split(spark, monkeypatch):
-    monkeypatch.setattr(J, "RUN_PAIRS", 3)
+def test_cells_and_runs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(J, "HEADS", 3)
+    monkeypatch.setattr(J, "RUN_ROWS", 2)
     rows = made(6, 2, 12)
     want, pairs = kept_by_brute_force(rows)
     texts = spark.createDataFrame(rows, "row long, text string")
-    every = spark.createDataFrame([(x, y) for x, _ in rows for y, _ in rows if x < y], "a long, b long")
-    assert sorted(tuple(r) for r in J.confirm(texts, every).collect()) == sorted(pairs)
+    every = spark.createDataFrame([(x, y, band) for x, _ in rows for y, _ in rows if x < y for band in [x % 2 or None]], "a long, b long, band long")
+    sizes = spark.createDataFrame([(i, len(shingles(t))) for i, t in rows], "row long, size int")
+    assert sorted(tuple(r) for r in J.confirm(texts, sizes, every).collect()) == sorted(pairs)
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    """Of pairs at 0.8 to 0.84 none is too far apart in its sketches; most pairs below 0.5 are."""
+    rows = dict(made(9, 300, 3))
+    sets = {i: shingles(t) for i, t in rows.items()}
+    sketches = {i: J.bits(J.minima(J.shingle_set(t))).view("uint64").tolist() for i, t in rows.items()}
+    of = {}
+    for i, t in rows.items():
+        of.setdefault(t.split()[0], []).append(i)
+    far = lambda x, y: sum((a ^ b).bit_count() for a, b in zip(sketches[x], sketches[y]))
+    alike = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    pairs = [(x, y) for g in of.values() for x in g for y in g if x < y]
+    close = [far(x, y) for x, y in pairs if 0.8 <= alike(x, y) < 0.84]
+    assert len(close) > 50 and max(close) <= J.FAR and 25 < sum(close) / len(close) < 35
+    rng = random.Random(1)
+    ids = list(rows)
+    assert sum(far(*rng.sample(ids, 2)) > J.FAR for _ in range(500)) > 490
 
 
 def test_similarity_counts_at_the_threshold():
