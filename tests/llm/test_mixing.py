@@ -36,6 +36,38 @@ def test_fit_meets_the_budget():
         assert abs(taken - target) <= max(counts) and (len(counts) < 50 or abs(taken - target) <= 2)
 
 
+def goals(sizes):
+    """Targets by water-filling: one level for all, each source's target the lesser of level times weight and three times its size."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
+    low, high = 0.0, 3.0 * sum(sizes.values()) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        given = sum(min(level * weight[s], 3 * sizes[s]) for s in order)
+        low, high = (level, high) if given < sum(sizes.values()) else (low, level)
+    return {s: min(high * weight[s], 3 * sizes[s]) for s in order}
+
+
+def test_fit_with_a_very_long_document_and_with_no_small_ones():
+    rng = random.Random(7)
+    counts = {rng.randrange(1, 3000): rng.randrange(1, 2000) for _ in range(900)} | {3_000_000: 2, 1_000_003: 1}
+    total = sum(n * c for n, c in counts.items())
+    for share in (0.001, 0.3, 0.77, 0.999, 2.5):
+        passes, more = M.fit(list(counts), list(counts.values()), share * total)
+        assert abs(passes * total + sum(n * c for n, c in more.items()) - share * total) <= 1
+    coarse = {70_000 * k: 3 for k in range(1, 200)}
+    total = sum(n * c for n, c in coarse.items())
+    passes, more = M.fit(list(coarse), list(coarse.values()), 0.4 * total)
+    assert passes == 0 and 0 <= 0.4 * total - sum(n * c for n, c in more.items()) < 70_001
+
+
+def test_ranks_do_not_depend_on_the_number_of_salts(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(tuple, M.mixture(docs).collect()))
+    monkeypatch.setattr(M, "SALTS", 333)
+    assert sorted(map(tuple, M.mixture(docs).collect())) == want
+
+
 def test_query(spark):
     import re
 
@@ -48,7 +80,7 @@ def test_query(spark):
         s = docs[r.doc_id].source
         assert r.size == size[r.doc_id] and r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0)
         sums[s], took[s], goal[s] = sums.get(s, 0) + r.size, took.get(s, 0) + r.taken, r.target
-    assert goal == M.targets(list(sums.items()))
+    assert goal.keys() == sums.keys() and all(abs(goal[s] - g) < 1e-6 * max(1, g) for s, g in goals(sums).items())
     assert all(abs(took[s] - goal[s]) <= max(50, 0.01 * goal[s]) for s in goal)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, M.op5_subset_sum_mix(spark, SF).collect()))
 
@@ -59,4 +91,6 @@ def test_edges(spark):
     rows = M.mixture(docs).collect()
     assert len(rows) == 5 and {r.source_size for r in rows} == {4, 0, 100_000}
     assert M.mix(docs.drop("_size")).columns == docs.columns[:-1]
+    dotted = docs.withColumnsRenamed({"_size": "a.b", "n_chars": "doc"})
+    assert M.mix(dotted).columns == dotted.columns
     assert M.mixture(docs.limit(0)).count() == 0
