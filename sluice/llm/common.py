@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors see, under spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is set in its place.
+    Only where that setting is absent and all runs in this process (tests on one machine) a temporary folder is set in
+    its place; on a cluster its absence is an error, as executors do not see each other's folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)

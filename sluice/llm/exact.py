@@ -115,7 +115,7 @@ def exact_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     docs.write.option("compression", "zstd").parquet(f"{work}/landing")
     ingest(spark, f"{work}/landing", work, text)
     kept = verdicts(spark, f"{work}/landing", work, text).where("kept").select("file", "row")
-    rows = spark.read.schema(docs.schema).parquet(f"{work}/landing").select(F.struct(*docs.columns).alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = spark.read.schema(docs.schema).parquet(f"{work}/landing").select(F.struct("*").alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     return rows.join(kept, ["file", "row"], "left_semi").select("doc.*")
 
 

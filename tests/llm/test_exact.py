@@ -45,6 +45,8 @@ def test_stage_keeps_columns_and_one_row_each(spark):
     assert kept.columns == docs.columns
     assert sorted(len(r.text or "") for r in kept.collect()) == sorted(max(len(u or "") for _, u in ROWS if re.sub(r"\s", "", u or "") == n) for n in {re.sub(r"\s", "", t or "") for _, t in ROWS})
     assert E.exact_dedup(docs.limit(0)).count() == 0
+    dotted = docs.withColumnsRenamed({"file": "a.b", "row": "doc"})
+    assert E.exact_dedup(dotted).columns == dotted.columns and E.exact_dedup(dotted).count() == kept.count()
 
 
 def test_query_on_a_single_file(spark):
