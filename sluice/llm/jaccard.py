@@ -27,11 +27,13 @@ BITS = 320
 #: 5.4. A pair that differs in more than this, six deviations above, is not compared.
 FAR = 64
 #: Rows of a band that all its rows are compared with first.
-LEADERS = 16
+LEADERS = 4
 #: Rows that are compared with others together, and shingles of theirs: more of either become several cells.
 HEADS, HEAD_SHINGLES = 64, 1 << 20
 #: Rows that one cell's heads are compared with in a run.
 RUN_ROWS = 4096
+#: Rows, and shingles of theirs, of a block of a band's rows: a band of more is dealt as several blocks.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
 
 _FACTORS = np.array([xxhash.xxh32_intdigest(str(i), 1) | 1 for i in range(BITS)], np.uint32)[:, None]
 _SHIFTS = np.array([xxhash.xxh32_intdigest(str(i), 2) for i in range(BITS)], np.uint32)[:, None]
@@ -140,20 +142,70 @@ def confirm(texts: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
     heads it is compared with. A cell with very many partners is split into runs, each with all its heads.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heads = pairs.groupBy(F.col("a").alias("row")).agg(F.min("band").alias("c")).select("row", F.coalesce("c", F.xxhash64("row")).alias("c")).join(sizes, "row")
+    heads = pairs.groupBy(F.col("a").alias("row")).agg(F.min("band").alias("c")).select("row", F.coalesce("c", F.xxhash64("row")).alias("c")).join(sizes.hint("merge"), "row")
     fit = F.ceil(F.greatest(F.count(F.lit(1)) / HEADS, F.sum("size") / HEAD_SHINGLES)).cast("int")
     dealt = cut(heads.join(heads.groupBy("c").agg(fit.alias("parts")), "c").select("row", "c", F.pmod(F.xxhash64("row"), "parts").cast("int").alias("part")), "heads")
     met = pairs.join(dealt, pairs.a == dealt.row).groupBy("c", "part", "b").agg(F.collect_list("a").alias("heads"))
     met = cut(met.withColumnRenamed("b", "row"), "cells")
     runs = met.groupBy("c", "part").agg(F.ceil(F.count(F.lit(1)) / RUN_ROWS).cast("int").alias("runs"))
-    columns = ("c", "part", "run", "row", "heads", "text")
-    rows = met.join(runs, ["c", "part"]).withColumn("run", F.pmod(F.xxhash64("row"), "runs").cast("int")).join(texts, "row").select(*columns)
+    columns = ("c", "part", "run", "row", "heads")
+    rows = met.join(runs, ["c", "part"]).withColumn("run", F.pmod(F.xxhash64("row"), "runs").cast("int")).select(*columns)
     first = dealt.join(runs, ["c", "part"]).withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).withColumn("heads", F.lit(None).cast("array<bigint>"))
-    every = rows.union(first.join(texts, "row").select(*columns))
+    every = rows.union(first.select(*columns)).join(texts.hint("merge"), "row")
     placed = every.repartition(parts, "c", "part", "run").sortWithinPartitions("c", "part", "run", F.col("heads").isNotNull())
     return placed.mapInPandas(_compare, "a long, b long")
 
 
+def _cells(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, int, int, pd.DataFrame]]:
+    """Cells (band, p, q) of sorted batches, each whole: a cell may cross batches."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if len(rest):
+            cell = rest[["band", "p", "q"]].to_numpy(np.int64)
+            starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
+            for i, j in zip(starts[:-1], starts[1:]):
+                yield *map(int, cell[i]), rest.iloc[i:j]
+            rest = rest.iloc[starts[-1] :]
+    if rest is not None and len(rest):
+        yield *(int(rest[n].iloc[0]) for n in ("band", "p", "q")), rest
+
+
+def block_links(band: int, own: pd.DataFrame, p: int, q: int) -> Iterator[tuple[int, int]]:
+    """Links between the rows of part p and those of part q (within one part if they are the same) of one band.
+
+    Two rows are compared if they are not connected yet, neither by their roots nor by links found here, if their sizes
+    and sketches allow it, and if this is the first band that they share: in any earlier one they are compared as well.
+    """
+    over, under = LEAST
+    row, size, part = (own[n].to_numpy(np.int64) for n in ("row", "size", "part"))
+    bit = own[[f"b{k}" for k in range(BITS // 64)]].to_numpy(np.int64).view(np.uint64)
+    keys = np.stack(own["bands"].to_numpy()).astype(np.int64)
+    place = int(np.argmax(keys[0] == band)) if (keys[0] == band).any() else 0
+    names, root = np.unique(own["root"].to_numpy(np.int64), return_inverse=True)
+    sets: dict[int, np.ndarray] = {}
+
+    def of(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingle_set(own["text"].iloc[k])
+        return sets[k]
+
+    right = np.flatnonzero(part == q)
+    for x in np.flatnonzero(part == p):
+        ys = right[right > x] if p == q else right
+        ys = ys[(root[ys] != root[x]) & (under * np.minimum(size[ys], size[x]) >= over * np.maximum(size[ys], size[x]))]
+        ys = ys[(np.bitwise_count(bit[ys] ^ bit[x]).sum(axis=1) <= FAR) & ~(keys[ys, :place] == keys[x, :place]).any(axis=1)]
+        for y in ys:
+            if root[y] != root[x] and alike(of(x), of(y)):
+                root[root == root[y]] = root[x]
+                yield int(row[x]), int(row[y])
+
+
+def _search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for band, p, q, own in _cells(batches):
+        yield pd.DataFrame(np.array(list(block_links(band, own, p, q)), np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
 def _may_be_alike(a: str, b: str) -> Column:
     """Whether two rows (struct<row, size, b0, ...>) can reach the threshold by their sizes, and do not miss it by far in their sketches."""
     over, under = LEAST
@@ -168,27 +220,34 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def similar(texts: DataFrame, sketches: DataFrame, more: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows with a similarity of 0.8 or more that connect all candidate pairs which reach it.
+    """Links (a, b) that connect all candidate pairs with a similarity of 0.8 or more, and no others.
 
     texts: (row, text); sketches: (row, size, bands, b0, ...); more: (a, b), further candidates. Candidates are all pairs
-    that share a band. Each band's rows are first compared with its LEADERS least rows only; after that only those
-    pairs of a band that are not connected yet, so a large group of copies costs no square. Pairs whose sketches are
-    far apart are not compared.
+    that share a band. Each band's rows are first compared with its LEADERS least rows only. The rows of bands that are
+    not connected then are dealt into blocks, and all pairs of blocks are met, each by its own task (_search): no pair is
+    written down that is not a link. Pairs whose sketches are far apart are not compared. Joins are all by shuffle, as
+    each side grows with the corpus; texts that share no band move in none.
     """
+    parts, more = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), more.where("a <> b")
+    attributes = ("size", *(f"b{k}" for k in range(BITS // 64)))
     keys = sketches.select("row", F.explode("bands").alias("band"))
     several = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    own = sketches.select("row", F.struct("row", "size", *(f"b{k}" for k in range(BITS // 64))).alias("x"))
-    shared = cut(keys.join(several, "band").join(own, "row").select("band", "x"), "bands")
+    own = sketches.select("row", F.struct("row", *attributes).alias("x"))
+    shared = cut(keys.join(several.hint("merge"), "band").join(own.hint("merge"), "row").select("band", "x"), "bands")
+    met = shared.select("x.row").union(more.select("a")).union(more.select("b")).distinct()
+    texts = cut(texts.join(cut(met, "met"), "row", "left_semi"), "texts")
     rank = F.row_number().over(Window.partitionBy("band").orderBy("x.row"))
     leaders = shared.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("band", F.col("x").alias("y"))
-    ends = (F.col("x.row").alias("a"), F.col("y.row").alias("b"), "band")
-    stars = shared.join(leaders, "band").where(_may_be_alike("x", "y")).select(*ends).unionByName(more.withColumn("band", F.lit(None).cast("long")))
-    sizes = sketches.select("row", "size")
-    found = cut(confirm(texts, sizes, cut(_ordered(stars), "stars")), "alike")
-    roots = connected_components(found)
-    rooted = cut(shared.join(roots, F.col("x.row") == roots.node, "left").select("band", "x", F.coalesce("root", "x.row").alias("root")), "rooted")
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo <> hi and n > {LEADERS + 1}").select("band")
-    left = rooted.join(mixed, "band")
-    right = left.select("band", F.col("x").alias("y"), F.col("root").alias("other"))
-    rest = left.join(right, "band").where("x.row < y.row and root <> other").where(_may_be_alike("x", "y")).select(*ends)
-    return found.union(confirm(texts, sizes, cut(_ordered(rest), "rest")))
+    stars = shared.join(leaders.hint("merge"), "band").where(_may_be_alike("x", "y")).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"), "band")
+    pairs = cut(_ordered(stars.unionByName(more.withColumn("band", F.lit(None).cast("long")))), "stars")
+    roots = connected_components(confirm(texts, sketches.select("row", "size"), pairs))
+    rooted = shared.select("band", "x.row", "x.size").join(roots, F.col("row") == roots.node, "left").select("band", "row", "size", F.coalesce("root", "row").alias("root"))
+    rooted = cut(rooted, "rooted")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), blocks.alias("blocks"))
+    mixed = mixed.where(f"lo <> hi and n > {LEADERS + 1}").select("band", "blocks")
+    open_ = rooted.drop("size").join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+    open_ = open_.join(sketches.select("row", "bands", *attributes).hint("merge"), "row").join(texts.hint("merge"), "row")
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+    cells = open_.select("band", "p", "q", "part", "row", "root", "bands", *attributes, "text").repartition(parts, "band", "p", "q").sortWithinPartitions("band", "p", "q")
+    return roots.toDF("a", "b").union(cells.mapInPandas(_search, "a long, b long"))

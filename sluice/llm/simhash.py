@@ -209,6 +209,10 @@ def near_dedup(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> Dat
     Two documents are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more; groups are
     what links connect. Candidates are what the BK-trees link by fingerprints of these shingles, and rows that share a
     MinHash band (jaccard.BANDS); only pairs whose similarity is computed and reaches 0.8 are linked.
+
+    A text of one to four words is one shingle; null, empty and blank texts are all alike. Of repeated rows one stays;
+    of rows that tie in doc_id, null ones too, the first in the table's order. Texts of any length count in whole; all
+    columns are kept, whatever their names. An empty table gives no rows.
     """
     source = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "near")
     rank = F.struct(F.col("doc.doc_id").isNull().alias("none"), "doc.doc_id", "row")

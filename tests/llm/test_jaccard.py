@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from sluice.llm import jaccard as J
 from sluice.llm import simhash
 
@@ -104,6 +106,17 @@ def test_cells_and_runs_are_split(spark, monkeypatch):
     assert sorted(tuple(r) for r in J.confirm(texts, sizes, every).collect()) == sorted(pairs)
 
 
+@pytest.mark.parametrize("block", [4096, 5])
+def test_blocks_of_a_band_meet(spark, monkeypatch, block):
+    """Leaders that are alike to nothing: all links come from the blocks."""
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "LEADERS", 0)
+    rows = made(8, 6, 9)
+    want, pairs = kept_by_brute_force(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(pairs) > 50 and sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == want
+
+
 def test_sketches_keep_pairs_at_the_threshold():
     """Of pairs at 0.8 to 0.84 none is too far apart in its sketches; most pairs below 0.5 are."""
     rows = dict(made(9, 300, 3))
