@@ -14,8 +14,8 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 import numpy as np  # noqa: E402
 import tokenizers  # noqa: E402
 
-#: Entries of a worker's memo; beyond it the memo starts anew.
-MEMO = 1_000_000
+#: Entries of a worker's memo, some 70 MB; beyond it the memo starts anew.
+MEMO = 200_000
 _ODD_BLANK = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
