@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
@@ -27,7 +27,7 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str =
     max_by instead. Rows with a null key are dropped, with drop_blank also those with a blank one.
     """
     df = _no_null_key(df, keys, drop_blank)
-    place = F.struct(*(F.col(f"`{o}`").alias(f"o{i}") for i, o in enumerate(order)))
+    place = F.struct(*(F.col(f"`{o}`").alias(f"o{i}") for i, o in enumerate(order))) if order else F.lit(0)
     whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
     if any("map<" in t for _, t in df.dtypes):
         pick = (F.max_by if keep == LAST else F.min_by)(whole, place)
@@ -69,7 +69,3 @@ def merge_properties(stored: DataFrame, new: DataFrame, keys: Sequence[str]) ->
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys with more than one row: empty where the key is unique."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-
-
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

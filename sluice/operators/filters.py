@@ -80,7 +80,8 @@ def apply_filters(df: DataFrame, filters: list[Filter], kinds: dict[str, str] |
     """All filters but splits; plain conditions, so that Spark can push them to the scan."""
     check_filters(filters, df.columns)
     for f in filters:
-        if f.operator in COMPARE and df.sparkSession.range(1).select(_literal(f.value, (kinds or {}).get(f.column, STRING)).isNull()).first()[0]:
+        one_row = df.sparkSession.sql("VALUES (1)")  # a local row: the literal is parsed on the driver, without a job
+        if f.operator in COMPARE and one_row.select(_literal(f.value, (kinds or {}).get(f.column, STRING)).isNull()).first()[0]:
             raise FilterError(f"{f.operator} on {f.column}: {f.value!r} is no value of the column's kind")
         if f.operator != "each":
             df = df.where(predicate(f, (kinds or {}).get(f.column, STRING)))

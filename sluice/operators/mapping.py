@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.casts import DECLARED
 from ..sources.scan import POSITION, SOURCE
@@ -149,8 +150,16 @@ def as_declared(df: DataFrame, fields: tuple[Field | Nested, ...]) -> DataFrame:
 
 
 def nan_as_null(df: DataFrame) -> DataFrame:
-    """Not-a-number as null, for documents, key-value payloads and node properties."""
-    return df.select(*(F.when(~F.isnan(F.col(f"`{n}`")), F.col(f"`{n}`")).alias(n) if t in ("double", "float") else F.col(f"`{n}`") for n, t in df.dtypes))
+    """Not-a-number as null, inside nested records too, for documents, key-value payloads and node properties."""
+
+    def clean(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, (T.DoubleType, T.FloatType)):
+            return F.when(~F.isnan(c), c)
+        if isinstance(t, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*(clean(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields)))
+        return c
+
+    return df.select(*(clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
 
 
 def effective(df: DataFrame, entity: str, fields: tuple[Field | Nested, ...], given: tuple[Field | Nested, ...], kinds: dict[str, str]) -> DataFrame:
@@ -161,7 +170,3 @@ def effective(df: DataFrame, entity: str, fields: tuple[Field | Nested, ...], gi
         for path, f in leaves(fields)
     ]
     return df.sparkSession.createDataFrame(rows, "entity string, column string, type string, origin string")
-
-
-def with_source(f: Field, source: str) -> Field:
-    return replace(f, source=source)

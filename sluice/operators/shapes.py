@@ -13,7 +13,9 @@ from . import dedupe
 from .filters import PARTITION
 from .mapping import Field, MappingError, Nested, as_declared, flat, key_names, keys_first, leaves, nan_as_null, project
 
-CARRIED = (PARTITION, POSITION)
+#: Where the row of a load stands among its rows, as one comparable value; only streams have it.
+PLACE = "_place"
+CARRIED = (PARTITION, POSITION, PLACE)
 
 
 def _one_key(fields: Sequence[Field | Nested]) -> str:
@@ -48,7 +50,7 @@ def to_keyvalue(df: DataFrame, fields: Sequence[Field], order: Sequence[str] = (
     rest = [F.col(f"`{f.name}`") for f in fields if f.name != key]
     value = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("{}")
     places = [F.col(f"`{o}`").alias(f"_o{i}") for i, o in enumerate(order)]
-    out = rows.select(F.col(f"`{key}`").cast("string").alias("key"), value.alias("value"), *(c for c in (PARTITION,) if c in rows.columns), *places)
+    out = rows.select(F.col(f"`{key}`").cast("string").alias("key"), value.alias("value"), *(c for c in (PARTITION, PLACE) if c in rows.columns), *places)
     return dedupe.dedupe(out, _by(out, ["key"]), [f"_o{i}" for i in range(len(places))], drop_blank=False).drop(*(f"_o{i}" for i in range(len(places))))
 
 
@@ -59,8 +61,9 @@ def to_wide(df: DataFrame, fields: Sequence[Field], partition: Sequence[str], cl
     rows = as_declared(project(df, flat(tuple(fields)), (*CARRIED, *order)), tuple(fields))
     names = keys_first([f.name for f in fields], list(partition), list(cluster))
     out = dedupe.dedupe(rows, _by(rows, [*partition, *cluster]), list(order), drop_blank=False)
-    out = out.select(*(F.col(f"`{n}`") for n in names), *(c for c in (PARTITION,) if c in out.columns))
-    return out.repartition(*(F.col(f"`{p}`") for p in partition)).sortWithinPartitions(*partition, *cluster)
+    out = out.select(*(F.col(f"`{n}`") for n in names), *(c for c in (PARTITION, PLACE) if c in out.columns))
+    place = [F.col(f"`{k}`") for k in (*partition, *cluster)]
+    return out.repartitionByRange(*place).sortWithinPartitions(*place)  # a hot partition key is split by its cluster keys
 
 
 def to_nodes(df: DataFrame, fields: Sequence[Field], order: Sequence[str] = (POSITION,)) -> DataFrame:
@@ -82,11 +85,11 @@ def to_edges(
     merge = [f.name for f in properties if f.key]
     places = [F.col(f"`{o}`").alias(f"_o{i}") for i, o in enumerate(order)]
     read = [F.col(f"`{f.source or f.name}`").alias(f.name) for f in properties]
-    rows = df.select(F.col(f"`{src}`").alias("src"), F.col(f"`{dst}`").alias("dst"), *read, *places).dropna(subset=["src", "dst"])
+    rows = df.select(F.col(f"`{src}`").alias("src"), F.col(f"`{dst}`").alias("dst"), *read, *places, *(c for c in (PLACE,) if c in df.columns)).dropna(subset=["src", "dst"])
     rows = rows.join(nodes_from.select(F.col(f"`{from_key}`").alias("src")), "src", "left_semi")
     rows = rows.join(nodes_to.select(F.col(f"`{to_key}`").alias("dst")), "dst", "left_semi")
     out = dedupe.dedupe(rows, ["src", "dst", *merge], [f"_o{i}" for i in range(len(places))], drop_blank=False)
-    return out.select("src", "dst", label(F.lit(kind)).alias("type"), *(f.name for f in properties))
+    return out.select("src", "dst", label(F.lit(kind)).alias("type"), *(f.name for f in properties), *(c for c in (PLACE,) if c in out.columns))
 
 
 def target_schema(df: DataFrame, fields: Sequence[Field | Nested]) -> list[tuple[str, str, bool]]:

@@ -42,7 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sluice-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
     return f"{base.rstrip('/')}/load-{uuid.uuid4().hex}"
 
 
@@ -459,20 +463,27 @@ def relational_loads(spark, sf):
     return store.read("orders")
 
 
-@query("SELECT 'events_' || event_type AS _partition, event_id AS id, user_id AS \"user\" FROM events WHERE user_id % 2 = 0")
+@query("SELECT 'events_' || event_type AS _partition, event_id AS id, user_id AS \"user\" FROM events")
 def stream_route(spark, sf):
     """A stream of text rows split by value into the partitions of one stored table."""
-    stream = as_text(table_stream(spark, f"{sf}/events.parquet").where("user_id % 2 = 0").select("event_id", "user_id", "event_type"))
+    stream = as_text(table_stream(spark, _several_files(spark, sf)).select("event_id", "user_id", "event_type"))
     entity = Entity("events", "document", (Field("id", "event_id"), Field("user", "user_id")), filters=(Filter("event_type", "each"),))
     store, work = Store(spark, scratch(spark)), scratch(spark)
     run_batches(stream, EntityStream(store, [entity], {"event_id": "integer", "user_id": "integer"}), f"{work}/checkpoint")
     return store.read("events").select("_partition", "id", "user")
 
 
+def _several_files(spark, sf):
+    """events as a folder of several files, so that a stream of it has several batches, in no order of time."""
+    path = scratch(spark)
+    table(spark, sf, "events").repartition(4, "event_id").write.parquet(path)
+    return path
+
+
 def _keyed(spark, sf, rule):
-    stream = table_stream(spark, f"{sf}/events.parquet").select("user_id", "event_id", "event_type", "ts").where("user_id is not null")
+    stream = table_stream(spark, _several_files(spark, sf)).select("user_id", "event_id", "event_type", "ts").where("user_id is not null")
     store, work = Store(spark, scratch(spark)), scratch(spark)
-    run_batches(stream, lambda batch, _: rule(store, "users", batch, ["user_id"], ["ts", "event_id"]), f"{work}/checkpoint")
+    run_batches(stream, lambda batch, k: rule(store, "users", batch, ["user_id"], ["ts", "event_id"], k), f"{work}/checkpoint")
     return store.read("users")
 
 

@@ -13,10 +13,13 @@ from pyspark.sql.types import StructType
 
 from ..operators import dedupe
 from ..operators.filters import PARTITION
+from ..operators.shapes import PLACE
 from . import files
 
 Writer = Callable[[DataFrame, "Store", str, Sequence[str]], None]
 _WRITERS: dict[str, Writer] = {}
+#: Parts are folders named like partitions, so that one scan reads many of them.
+PART = "part-batch"
 
 
 class MissingTarget(FileNotFoundError):
@@ -28,16 +31,20 @@ class Store:
 
     A load writes its own rows as a new part and then publishes a version that lists it, so the work of a load is that
     of its rows and not of all stored ones, a failed load leaves no trace, and of two writers of a version one fails.
-    Where a target is upserted, a part's rows hide those of earlier parts with the same keys when it is read;
-    compact() makes one part of all.
+    Where a target is upserted, a load's rows hide those of earlier loads with the same keys when it is read, and of a
+    load's parts (a stream has one for each batch) the row with the last place wins; compact() makes one part of all.
+    The version also lists each stream's last stored batch and the version that it began after, so that a batch which is
+    run again, after a restart too, is stored once.
     """
 
     def __init__(self, spark: SparkSession, root: str, create: bool = True, rows_per_file: int | None = None) -> None:
         self.spark, self.root, self.create, self.rows_per_file = spark, root.rstrip("/"), create, rows_per_file
 
-    def _latest(self, name: str) -> tuple[int, dict]:
-        """The last version: its number, and its parts and upsert keys."""
+    def _latest(self, name: str, version: int | None = None) -> tuple[int, dict]:
+        """The last version (or a given one): its number, and what it lists."""
         versions = [n for n in files.names(self.spark, f"{self.root}/{name}") if n.startswith("v")]
+        if version is not None:
+            versions = [f"v{version:08d}"] if version else []
         if not versions:
             return 0, {"parts": [], "keys": []}
         return int(versions[-1][1:]), json.loads(files.read_text(self.spark, f"{self.root}/{name}/{versions[-1]}"))
@@ -45,52 +52,89 @@ class Store:
     def exists(self, name: str) -> bool:
         return bool(self._latest(name)[0])
 
-    def read(self, name: str) -> DataFrame:
-        """The stored rows, with _partition as a column that filters prune folders by."""
-        version, now = self._latest(name)
+    def _scan(self, name: str, parts: list[dict]) -> DataFrame:
+        """Rows of parts, one scan for each schema among them."""
+        by: dict[str, list[dict]] = {}
+        for p in parts:
+            by.setdefault(json.dumps(p["schema"]), []).append(p)
+        reader = lambda p: self.spark.read.schema(StructType.fromJson(p["schema"])).option("basePath", f"{self.root}/{name}")
+        scans = [reader(ps[0]).parquet(*(f"{self.root}/{name}/{p['folder']}" for p in ps)).drop(PART) for ps in by.values()]
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), scans)
+
+    def _loads(self, name: str, now: dict) -> list[tuple[str, DataFrame]]:
+        """Each load's rows, one for each key: the last by their places (or the first, if the target keeps the first)."""
+        by: dict[str, list[dict]] = {}
+        for p in now["parts"]:
+            by.setdefault(p.get("load") or p["folder"], []).append(p)
+        one = lambda rows: dedupe.dedupe(rows, now["keys"], [PLACE] if PLACE in rows.columns else [], now.get("keep", dedupe.LAST), drop_blank=False)
+        return [(load, one(self._scan(name, ps)) if len(ps) > 1 else self._scan(name, ps)) for load, ps in by.items()]
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """The stored rows, with _partition as a column that filters prune folders by. Rows of a later load hide earlier ones with their keys."""
+        version, now = self._latest(name, version)
         if not version:
             raise MissingTarget(name)
-        parts = [self.spark.read.schema(StructType.fromJson(p["schema"])).parquet(f"{self.root}/{name}/{p['folder']}") for p in now["parts"]]
-        if len(parts) == 1:
-            return parts[0]
         if not now["keys"]:
-            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (p.withColumn("_load", F.lit(k)) for k, p in enumerate(parts)))
+            return self._scan(name, now["parts"])
+        loads = [rows.drop(PLACE) for _, rows in self._loads(name, now)]
+        if len(loads) == 1:
+            return loads[0]
+        rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (p.withColumn("_load", F.lit(k)) for k, p in enumerate(loads)))
         return dedupe.dedupe(rows, now["keys"], ["_load"], drop_blank=False).drop("_load")
 
     def stored(self, name: str) -> DataFrame | None:
         return self.read(name) if self.exists(name) else None
 
-    def _put(self, name: str, rows: DataFrame, keep: bool, keys: Sequence[str] = ()) -> None:
+    def before(self, name: str, load: str | None) -> DataFrame | None:
+        """What was stored before a load began."""
         version, now = self._latest(name)
-        if not version and not self.create:
-            raise MissingTarget(name)
-        part = f"part-{uuid.uuid4().hex}"
+        version = now.get("loads", {}).get(load, {}).get("since", version)
+        return self.read(name, version) if version else None
+
+    def _write(self, name: str, rows: DataFrame) -> dict:
+        part = f"{PART}={uuid.uuid4().hex}"
         if PARTITION in rows.columns:
             rows = rows.hint("rebalance", PARTITION)  # rows of a partition together, a hot one in several tasks
         writer = rows.write.partitionBy(PARTITION) if PARTITION in rows.columns else rows.write
         if self.rows_per_file:
             writer = writer.option("maxRecordsPerFile", self.rows_per_file)
         writer.parquet(f"{self.root}/{name}/{part}")
-        listed = {"folder": part, "schema": rows.schema.jsonValue()}  # a part without rows has no file to tell its columns
-        parts = [*now["parts"], listed] if keep else [listed]
-        files.publish(self.spark, f"{self.root}/{name}/v{version + 1:08d}", json.dumps({"parts": parts, "keys": list(keys)}))
+        return {"folder": part, "schema": rows.schema.jsonValue()}  # a part without rows has no file to tell its columns
+
+    def _put(self, name: str, rows: DataFrame, keep: bool, keys: Sequence[str] = (), load: str | None = None, batch: int | None = None, wins: str = dedupe.LAST) -> None:
+        """Write and publish a part. A batch of a load that is stored already is not stored again."""
+        version, now = self._latest(name)
+        if not version and not self.create:
+            raise MissingTarget(name)
+        loads = now.get("loads", {})
+        if load is not None and batch is not None:
+            if batch <= loads.get(load, {}).get("batch", -1):
+                return
+            loads = loads | {load: {"batch": batch, "since": loads.get(load, {}).get("since", version)}}
+        made = self._write(name, rows) | ({"load": load} if load is not None else {})
+        files.publish(self.spark, f"{self.root}/{name}/v{version + 1:08d}", json.dumps({"parts": [*now["parts"], made] if keep else [made], "keys": list(keys), "loads": loads, "keep": wins}))
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """These rows are all."""
         self._put(name, rows, False)
 
-    def append(self, name: str, rows: DataFrame) -> None:
+    def append(self, name: str, rows: DataFrame, load: str | None = None, batch: int | None = None) -> None:
         """These rows beside the stored ones."""
-        self._put(name, rows, True, self._latest(name)[1]["keys"])
+        now = self._latest(name)[1]
+        self._put(name, rows, True, now["keys"], load, batch, now.get("keep", dedupe.LAST))
 
-    def upsert(self, name: str, rows: DataFrame, keys: Sequence[str]) -> None:
-        """These rows, one for each key, instead of the stored ones with the same keys."""
-        self._put(name, rows, True, keys)
+    def upsert(self, name: str, rows: DataFrame, keys: Sequence[str], load: str | None = None, batch: int | None = None, wins: str = dedupe.LAST) -> None:
+        """These rows, one for each key, instead of the stored ones with the same keys; within one load by their _place."""
+        self._put(name, rows, True, keys, load, batch, wins)
 
     def compact(self, name: str) -> None:
-        """One part of all; readers of earlier versions keep theirs."""
-        self._put(name, self.read(name), False, self._latest(name)[1]["keys"])
+        """One part of all, or of each load whose rows have places; readers of earlier versions keep theirs."""
+        version, now = self._latest(name)
+        if not any(f["name"] == PLACE for p in now["parts"] for f in p["schema"]["fields"]):
+            parts = [self._write(name, self.read(name))]
+        else:
+            parts = [self._write(name, rows) | {"load": load} for load, rows in self._loads(name, now)]
+        files.publish(self.spark, f"{self.root}/{name}/v{version + 1:08d}", json.dumps(now | {"parts": parts}))
 
     def clean(self, name: str) -> None:
         """Forget all that a target has stored."""
@@ -155,7 +199,3 @@ register_sink("graph", _merged)
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], batch: int = 500) -> None:
     """Rows to a database table in batches; the table's own rules for keys hold."""
     df.drop(PARTITION).write.option("batchsize", batch).jdbc(url, table, mode="append", properties=properties)
-
-
-def counted(df: DataFrame) -> DataFrame:
-    return df.groupBy(PARTITION).agg(F.count(F.lit(1)).alias("rows"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +15,19 @@ from ..operators.filters import PARTITION, partitioned
 from ..operators.filters import apply_filters as filtered
 from ..operators.mapping import Field
 from ..plans.entity import Entity
-from ..sinks.tables import Store, write
+from ..sinks.tables import Store
 from ..sources.scan import POSITION
 
 BatchRule = Callable[[DataFrame, int], None]
 
 
 def run_batches(stream: DataFrame, rule: BatchRule, checkpoint: str) -> None:
-    """Everything that is there now, batch by batch; a later call goes on where this one ended."""
+    """Everything that is there now, batch by batch; a later call goes on where this one ended.
+
+    A rule that stores is told the checkpoint first: it names the load, of which each batch is stored once.
+    """
+    if hasattr(rule, "load"):
+        rule.load = checkpoint
     stream.writeStream.foreachBatch(rule).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -29,38 +35,46 @@ def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int =
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).options(**options).load(folder)
 
 
-def store_rescued(store: Store, name: str, batch: DataFrame, kinds: dict[str, str]) -> None:
+def store_rescued(store: Store, name: str, batch: DataFrame, kinds: dict[str, str], load: str | None = None, batch_id: int | None = None) -> None:
     """Append the text rows that have cells their kinds cannot hold, null keys too, to <name>_rescued."""
     lost = batch.withColumn(RESCUED, rescued(batch.columns, kinds)).where(F.size(RESCUED) > 0)
     if not lost.isEmpty():
-        store.append(f"{name}{RESCUED}", lost)
+        store.append(f"{name}{RESCUED}", lost, load, batch_id)
+
 
+def _placed(rows: DataFrame, order: Sequence[str], batch_id: int) -> tuple[DataFrame, list[str]]:
+    """The rows with _place, and the columns to order them by: the declared ones, or arrival where the stream has none of them."""
+    known = [o for o in order if o in rows.columns]
+    if not known:
+        known, rows = [POSITION], rows.withColumn(POSITION, F.struct(F.lit(batch_id).alias("batch"), F.monotonically_increasing_id().alias("row")))
+    return rows.withColumn(shapes.PLACE, F.struct(*(F.col(f"`{o}`").alias(f"o{i}") for i, o in enumerate(known)))), known
 
-def _shape(e: Entity, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+
+def _shape(e: Entity, rows: DataFrame, order: Sequence[str]) -> tuple[DataFrame, list[str]]:
     keys = [f.name for f in e.columns if getattr(f, "key", False)]
     if e.model == "relational":
-        return shapes.to_relational(rows, e.columns, e.order), keys
+        return shapes.to_relational(rows, e.columns, order), keys
     if e.model == "document":
         return shapes.to_documents(rows, e.columns), []
     if e.model == "keyvalue":
-        return shapes.to_keyvalue(rows, e.columns, e.order), ["key"]
+        return shapes.to_keyvalue(rows, e.columns, order), ["key"]
     if e.model == "wide":
-        return shapes.to_wide(rows, e.columns, e.partition, e.cluster, e.order), [*e.partition, *e.cluster]
-    return shapes.to_nodes(rows, e.columns, e.order), keys
+        return shapes.to_wide(rows, e.columns, e.partition, e.cluster, order), [*e.partition, *e.cluster]
+    return shapes.to_nodes(rows, e.columns, order), keys
 
 
 class EntityStream:
     """Loads entities from one stream of text rows. All entities of a batch share its one scan.
 
-    Across batches the rules are those of one batch over all rows: relational and key-value rows and wide rows take the
-    last row of a key, nodes the first. A load is one run of the stream: of rows of the same load a later one wins in a
-    relational target, but rows that were stored before the load stay. Rows with cells that do not fit the bound kinds
-    are also kept as text in <entity>_rescued.
+    Across batches the rules are those of one batch over all rows, in the entity's declared order and not that of
+    arrival (which holds only where no order is declared): relational, key-value and wide rows take the last row of a
+    key, nodes the first. A load is one run of the stream with its resumptions; rows of a relational or graph target
+    that were stored before the load stay. A batch that is run again is stored once. Rows with cells that do not fit the
+    bound kinds are also kept as text in <entity>_rescued.
     """
 
     def __init__(self, store: Store, entities: Sequence[Entity], kinds: dict[str, str]) -> None:
-        self.store, self.entities, self.kinds = store, list(entities), kinds
-        self._before: dict[str, DataFrame | None] = {}
+        self.store, self.entities, self.kinds, self.load = store, list(entities), kinds, uuid.uuid4().hex
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -69,41 +83,39 @@ class EntityStream:
                 place = [c for c in (*e.order, POSITION) if c in batch.columns and c not in self.kinds]
                 typed = batch.select(*place, *(cast_column(F.col(f"`{c}`"), self.kinds.get(c, STRING)).alias(c) for c in batch.columns if c not in place))
                 rows = partitioned(filtered(typed, list(e.filters), self.kinds), list(e.filters), e.name)
-                self._store(e, *_shape(e, rows))
-                store_rescued(self.store, e.name, batch, self.kinds)
+                rows, order = _placed(rows, e.order, batch_id)
+                self._store(e, *_shape(e, rows, order), batch_id)
+                store_rescued(self.store, e.name, batch, self.kinds, self.load, batch_id)
         finally:
             batch.unpersist()
 
-    def _store(self, e: Entity, shaped: DataFrame, keys: list[str]) -> None:
-        """A batch writes its own rows only; what they hide is settled when the target is read."""
+    def _store(self, e: Entity, shaped: DataFrame, keys: list[str], batch_id: int) -> None:
+        """A batch writes its own rows only; which of them win is settled when the target is read."""
+        if not keys:
+            return self.store.append(e.name, shaped.drop(shapes.PLACE), self.load, batch_id)
         scoped = [*([PARTITION] if PARTITION in shaped.columns else []), *keys]
-        before = self._before.setdefault(e.name, self.store.stored(e.name))
-        if e.model == "relational" and keys:
-            if before is not None:
-                shaped = shaped.join(before.select(*scoped), scoped, "left_anti").select(*shaped.columns)
-            self.store.upsert(e.name, shaped, scoped)
-        elif e.model == "graph":
-            old = self.store.stored(e.name)
-            self.store.upsert(e.name, shaped if old is None else shaped.join(old.select(*scoped), scoped, "left_anti").select(*shaped.columns), scoped)
-        else:
-            write(shaped, self.store, e.name, e.model, keys)
+        if e.model in ("relational", "graph") and (before := self.store.before(e.name, self.load)) is not None:
+            shaped = shaped.join(before.select(*scoped), scoped, "left_anti").select(*shaped.columns)
+        self.store.upsert(e.name, shaped, scoped, self.load, batch_id, dedupe.FIRST if e.model == "graph" else dedupe.LAST)
 
 
 class EdgeStream:
     """Loads edges from a stream of text rows, after the streams of their nodes have ended.
 
-    Only rows whose both ends are stored nodes make an edge; of the same ends and merge keys the later row wins.
+    Only rows whose both ends are stored nodes make an edge; of the same ends and merge keys the last row in the declared
+    order wins, over all batches.
     """
 
     def __init__(self, store: Store, name: str, ends: tuple[str, str], nodes: tuple[tuple[str, str], tuple[str, str]], kinds: dict[str, str], properties: Sequence[Field] = (), order: Sequence[str] = ()) -> None:
-        self.store, self.name, self.ends, self.nodes, self.kinds, self.properties, self.order = store, name, ends, nodes, kinds, properties, order
+        self.store, self.name, self.ends, self.nodes, self.kinds, self.properties, self.order, self.load = store, name, ends, nodes, kinds, properties, order, uuid.uuid4().hex
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         typed = batch.select(*(cast_column(F.col(f"`{c}`"), self.kinds.get(c, STRING)).alias(c) for c in batch.columns))
         (start, start_key), (end, end_key) = self.nodes
-        edges = shapes.to_edges(typed, *self.ends, self.name, self.store.read(start), start_key, self.store.read(end), end_key, self.properties, self.order)
-        self.store.upsert(self.name, edges, ["src", "dst", *(f.name for f in self.properties if f.key)])
-        store_rescued(self.store, self.name, batch, self.kinds)
+        typed, order = _placed(typed, self.order, batch_id)
+        edges = shapes.to_edges(typed, *self.ends, self.name, self.store.read(start), start_key, self.store.read(end), end_key, self.properties, order)
+        self.store.upsert(self.name, edges, ["src", "dst", *(f.name for f in self.properties if f.key)], self.load, batch_id)
+        store_rescued(self.store, self.name, batch, self.kinds, self.load, batch_id)
 
 
 def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -120,13 +132,16 @@ def rows_stored(loader: EntityStream) -> dict[str, int]:
     return {e.name: loader.store.read(e.name).count() for e in loader.entities if loader.store.exists(e.name)}
 
 
-def first_wins(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> None:
-    """Store the first new row of each key that is not stored."""
-    fresh = dedupe.dedupe(batch, keys, order, keep=dedupe.FIRST, drop_blank=False)
-    old = store.stored(name)
-    store.append(name, fresh if old is None else fresh.join(old.select(*keys), list(keys), "left_anti").select(*fresh.columns))
+def _keyed(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], batch_id: int | None, wins: str) -> None:
+    placed, known = _placed(batch, order, batch_id or 0)
+    store.upsert(name, dedupe.dedupe(placed, keys, known, wins, drop_blank=False).drop(POSITION), keys, wins, batch_id, wins)
+
+
+def first_wins(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], batch_id: int | None = None) -> None:
+    """Store a batch's first row of each key; of all batches the first in order is read back, whenever it came."""
+    _keyed(store, name, batch, keys, order, batch_id, dedupe.FIRST)
 
 
-def last_wins(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> None:
-    """Store the last row of each key of the batch; it hides the stored one."""
-    store.upsert(name, dedupe.dedupe(batch, keys, order, drop_blank=False), keys)
+def last_wins(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], batch_id: int | None = None) -> None:
+    """Store a batch's last row of each key; of all batches the last in order is read back, whenever it came."""
+    _keyed(store, name, batch, keys, order, batch_id, dedupe.LAST)
