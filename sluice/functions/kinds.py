@@ -78,7 +78,7 @@ class Counts:
 
 def counters(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """One row with a struct of counters for each column, all in one pass with partial sums before the shuffle."""
-    names = [c for c in df.columns if c != "_source"] if columns is None else list(columns)
+    names = [c for c in df.columns if c not in ("_source", "_pos")] if columns is None else list(columns)
 
     def one(name: str) -> Column:
         c = F.col(f"`{name}`").cast("string")

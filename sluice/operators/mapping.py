@@ -120,7 +120,7 @@ def project(df: DataFrame, fields: tuple[Field | Nested, ...], keep: tuple[str,
     names = [f.name for f in fields]
     if len(set(names)) < len(names):
         raise MappingError("a target column is named twice")
-    return df.select(*map(build, fields), *(k for k in keep if k in df.columns and k not in names))
+    return df.select(*map(build, fields), *(k for k in dict.fromkeys(keep) if k in df.columns and k not in names))
 
 
 def flat(fields: tuple[Field | Nested, ...]) -> tuple[Field, ...]:

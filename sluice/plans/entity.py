@@ -8,13 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.casts import RESCUED, cast_column, cast_frame
+from ..functions.casts import RESCUED, cast_column, cast_frame, rescued
 from ..functions.kinds import STRING, Counts, count_kinds, infer_kinds, union_counts
 from ..operators import shapes
 from ..operators.filters import Filter, check_filters, partitioned
 from ..operators.filters import apply_filters as filtered
 from ..operators.mapping import AUTO, HYBRID, MANUAL, Field, MappingError, Nested, effective, expand, fields_from, flat, key_names, leaves, source_column
-from ..sources.scan import POSITION, SOURCE, union_sources
+from ..sources.scan import POSITION, SOURCE, sample_per_source, union_sources, with_places
 
 MODELS = ("relational", "document", "keyvalue", "wide", "graph")
 
@@ -43,6 +43,15 @@ class Bound:
     fields: tuple[Field | Nested, ...]
     typed: DataFrame
     kinds: dict[str, str] = field(default_factory=dict)
+    text: DataFrame | None = None
+
+    def lost(self) -> DataFrame:
+        """The text rows with cells that their kinds cannot hold, these cells in _rescued: what shaped() shows as null."""
+        return self.text.withColumn(RESCUED, rescued(self.text.columns, self.kinds)).where(F.size(RESCUED) > 0)
+
+    def planned(self) -> DataFrame:
+        """What a load counts: relational rows and nodes once for each key, of other models every row."""
+        return self.shaped() if self.entity.model in ("relational", "graph") else self.rows()
 
     def rows(self) -> DataFrame:
         """Filtered rows with _partition."""
@@ -87,14 +96,15 @@ class Binder:
         names = [e.source or e.name] if not isinstance(e.source, tuple) else list(e.source)
         if missing := [n for n in names if n not in self.sources]:
             raise MappingError(f"{e.name}: no source {missing}")
-        parts = [self.sources[n] for n in names]
+        keyed = e.model in ("keyvalue", "wide", "graph") or bool(key_names(e.columns))
+        parts = [with_places(self.sources[n]) if keyed and POSITION in e.order else self.sources[n] for n in names]
         df = parts[0] if len(parts) == 1 else union_sources(parts)
         check_entity(e, df)
         fields = expand(e.columns, df.columns, e.mode, list(e.only) if e.only is not None else None)
         if kinds is None:
             kinds = {n: c.kind() for n, c in union_counts(map(self.counts, names)).items()} | {SOURCE: "string"}
         typed = cast_frame(df.drop(POSITION), kinds) if POSITION not in df.columns else _cast_with_place(df, kinds)
-        return Bound(e, fields, typed, kinds)
+        return Bound(e, fields, typed, kinds, df.drop(POSITION))
 
 
 def _cast_with_place(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -192,5 +202,7 @@ def entities_from(config: dict) -> list[Entity]:
 
 
 def sample_kinds(df: DataFrame, rows: int = 8192) -> dict[str, str]:
-    """Kinds from the first rows only, as a stream must bind before it has seen all."""
-    return infer_kinds(df.limit(rows))
+    """Kinds from the first rows of each source only, as a stream must bind before it has seen all."""
+    order = [POSITION] if POSITION in df.columns else [F.monotonically_increasing_id()]
+    first = sample_per_source(df, rows, order) if SOURCE in df.columns else df.limit(rows)
+    return infer_kinds(first.drop(POSITION))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import floor
+from random import Random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +16,16 @@ STATUS = ("created", "paid", "shipped", "delivered", "returned")
 
 
 def split_rows(total: int, seed: int, jitter: float = 0.1) -> dict[str, int]:
-    """Rows of each table: near its share, varied by up to `jitter`, together exactly `total`."""
-    import random
-
-    rng = random.Random(seed)
-    weights = {k: v * (1 + jitter * (2 * rng.random() - 1)) for k, v in SHARES.items()}
-    scale = total / sum(weights.values())
-    out = {k: int(w * scale) for k, w in weights.items()}
-    out["purchase"] += total - sum(out.values())
-    return out
+    """Rows of each table, together exactly `total`: one for each, the rest by largest remainder of jittered shares."""
+    if total < len(SHARES):
+        raise ValueError(f"{len(SHARES)} tables need a row each")
+    draw = Random(seed)
+    shares = {name: Fraction(share * (1 + draw.uniform(-jitter, jitter))) for name, share in SHARES.items()}
+    quota = {name: (total - len(SHARES)) * share / sum(shares.values()) for name, share in shares.items()}
+    rows = {name: 1 + floor(q) for name, q in quota.items()}
+    for name in sorted(quota, key=lambda n: floor(quota[n]) - quota[n])[: total - sum(rows.values())]:
+        rows[name] += 1
+    return rows
 
 
 def _draw(seed: int, name: str, n: int | Column) -> Column:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank
-
 SOURCE, POSITION = "_source", "_pos"
 
 
@@ -28,8 +27,7 @@ def read_text(spark: SparkSession, path: str, sep: str = ",", multiline: bool =
     if len(set(header)) < len(header):  # Spark would number them
         raise SourceError(f"{path}: a column name occurs twice")
     out = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns]
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return df.select(*out, *([place.alias(POSITION)] if position else []))
+    return with_places(df.select(*out)) if position else df.select(*out)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +40,21 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return read_text(spark, path, sep="\t" if kind == "tsv" else ",")
 
 
+def _place(file: Column, block: Column) -> Column:
+    """The place of a row in file order; part is its source's number in a union."""
+    return F.struct(F.lit(0).alias("part"), file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def with_places(df: DataFrame) -> DataFrame:
+    """The rows with _pos: their places in the files that they come from, or their order where they come from no files."""
+    if POSITION in df.columns:
+        return df
+    try:
+        return df.withColumn(POSITION, _place(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")))
+    except AnalysisException:
+        return df.withColumn(POSITION, _place(F.lit(""), F.lit(0).cast("long")))
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """All columns as text, null as ""."""
     return df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns))
@@ -56,14 +69,14 @@ def combined(df: DataFrame, origin: str | None = None) -> DataFrame:
     """A source whose column (the first, unless named) tells each row's origin; it becomes _source, in the last place."""
     origin = origin or df.columns[0]
     rest = [c for c in df.columns if c != origin]
-    if not rest:
+    if not [c for c in rest if c != POSITION]:
         raise SourceError("a combined source needs an origin and at least one more column")
     return df.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{origin}`").cast("string").alias(SOURCE))
 
 
 def check_origins(df: DataFrame) -> None:
     """Every row must have an origin that is not blank."""
-    if not df.where(F.coalesce(F.trim(F.col(SOURCE)), F.lit("")) == "").isEmpty():
+    if not df.where(~F.coalesce(F.col(SOURCE), F.lit("")).rlike(r"\S")).isEmpty():
         raise SourceError("a row has a blank origin")
 
 
@@ -118,10 +131,17 @@ def load_sources(spark: SparkSession, declared: dict, overrides: dict | None = N
 
 
 def union_sources(parts: Iterable[DataFrame]) -> DataFrame:
-    """All rows over the first-seen superset of the columns, missing cells "", _source last."""
+    """All rows over the first-seen superset of the columns, missing cells "", _source last.
+
+    Rows keep their places if all parts have them, those of an earlier part before those of a later one.
+    """
     parts = list(parts)
     if not parts:
         raise SourceError("a union needs at least one source")
+    if all(POSITION in p.columns for p in parts):
+        parts = [p.withColumn(POSITION, F.col(POSITION).withField("part", F.lit(k))) for k, p in enumerate(parts)]
+    else:
+        parts = [p.drop(POSITION) for p in parts]
     wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     data = [c for c in wide.columns if c not in (SOURCE, POSITION)]
     tail = [c for c in (POSITION, SOURCE) if c in wide.columns]
@@ -132,7 +152,3 @@ def sample_per_source(df: DataFrame, n: int, order: str | list[str]) -> DataFram
     """The first n rows of each origin. Ranks below n are cut in each task before the shuffle."""
     by = Window.partitionBy(SOURCE).orderBy(*([order] if isinstance(order, str) else order))
     return df.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= n).drop("_rank")
-
-
-def nonblank(df: DataFrame, column: str) -> DataFrame:
-    return df.where(~is_blank(F.col(column)))

@@ -31,7 +31,7 @@ CONFIG = {
 
 def test_load_of_every_model(spark, sources):
     binder = Binder(sources)
-    bound = {e.name: binder.bind(_ordered(e)) for e in entities_from(CONFIG)}
+    bound = {e.name: binder.bind(e) for e in entities_from(CONFIG)}
     assert bound["products"].kinds == {"product_id": "integer", "name": "string", "category_id": "integer", "price": "string", "at": "datetime", "_source": "string"}
     shaped = {n: b.shaped() for n, b in bound.items()}
     assert sorted(r.name for r in shaped["products"].collect()) == ["a", "b2"]
@@ -39,8 +39,9 @@ def test_load_of_every_model(spark, sources):
     assert {(r.product_id, r.kind) for r in shaped["log"].collect()} >= {(1, "stock"), (1, "cart"), (2, "stock")}
     assert {r.key: json.loads(r.value)["qty"] for r in shaped["carts"].collect()} == {"k1": 3}
     assert [r.product_id for r in shaped["cart"].collect()] == [2]
-    counts = plan_counts((b.entity.model, n, b.rows()) for n, b in bound.items())
-    assert {r.entity: r.rows for r in counts.collect()} == {"products": 4, "catalog": 4, "log": 6, "carts": 2, "cart": 1}
+    assert {tuple(r._rescued.items()) for r in Binder(sources).bind(entities_from(CONFIG)[0], bound["products"].kinds | {"price": "float"}).lost().collect()} == {(("price", "x"),)}
+    counts = plan_counts((b.entity.model, n, b.planned()) for n, b in bound.items())
+    assert {r.entity: r.rows for r in counts.collect()} == {"products": 2, "catalog": 4, "log": 6, "carts": 2, "cart": 1}
     assert [r.entity for r in empty_ones(counts, ["log", "gone"]).collect()] == ["gone"]
     assert {(r.column, r.origin) for r in bound["carts"].listing().collect()} == {("product_id", "inferred"), ("cart", "manual"), ("qty", "inferred")}
     check_references([Reference("products", "catalog", "name")], bound)
@@ -49,12 +50,6 @@ def test_load_of_every_model(spark, sources):
     assert sample_kinds(sources["cart"].drop("_source")) == {"product_id": "integer", "cart": "string", "qty": "integer"}
 
 
-def _ordered(e):
-    from dataclasses import replace
-
-    return replace(e, order=("name",) if e.source == "stock" else ("qty",) if e.source != ("stock", "cart") else ("_source",))
-
-
 def test_places_give_last_wins(spark, tmp_path):
     from sluice.sources.scan import read_text, tagged
 
