@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_or_empty
@@ -19,21 +19,23 @@ BASE = {
 MAYBE = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
 RANDOM = "random"
 KINDS = (*BASE, RANDOM)
-#: Tokens that the battery looks at.
-TOKEN, MAYBE_TOKEN = r"[A-Za-z0-9+/_-]{20,}", r"[A-Za-z0-9+/_-]{20}"
+#: Tokens that the battery looks at, of at least so many characters.
+SHORTEST = 16
+TOKEN, MAYBE_TOKEN = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}", rf"[A-Za-z0-9+/_-]{{{SHORTEST}}}"
 #: Encodings in the order they are inferred: pattern of the whole token, alphabet.
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
     (r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef"),
     (r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF"),
     (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", UPPER + "234567"),
+    (r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", UPPER + DIGITS),
     (r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", LOWER + DIGITS),
     (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
     (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
 #: Lower bounds of the length classes within which false discoveries are controlled.
-LENGTHS = (20, 24, 32, 48, 80)
+LENGTHS = (16, 20, 24, 32, 48, 80)
 FDR = 0.05
 #: p-values are rounded up to powers of 10^(-1/20), down to 10^-15.
 STEPS, DEEPEST = 20, 300
@@ -52,8 +54,9 @@ def _spans(text: Column, pattern: str, maybe: str, group: int, least: int, kind:
         sizes(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).alias("part"),
     )
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    width = lambda x: x["gap"] + F.coalesce(x["all"], F.lit(0))
     step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.coalesce(x["all"], F.lit(0))).alias("at"),
+        (acc["at"] + width(x)).alias("at"),
         F.when(
             x["part"] >= least,
             F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["all"]).alias("end")))),
@@ -61,7 +64,18 @@ def _spans(text: Column, pattern: str, maybe: str, group: int, least: int, kind:
         .otherwise(acc["out"])
         .alias("out"),
     )
-    walked = F.aggregate(found, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def walk(every: Column) -> Column:
+        """Blocks of as many matches as there are blocks, each from its own start: n^1.5 steps for n matches, where one list would take n^2."""
+        side = F.ceil(F.sqrt(F.size(every))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(every), side), lambda i: F.slice(every, i, side))
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        on = lambda acc, b: F.struct((acc["at"] + F.aggregate(b, F.lit(0).cast("long"), lambda n, x: n + width(x))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        starts = lambda bs: F.aggregate(bs, zero, on, lambda acc: acc["out"])
+        one = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        return F.flatten(F.flatten(F.transform(F.array(blocks), lambda bs: F.zip_with(bs, starts(bs), one))))
+
+    walked = F.element_at(F.transform(F.array(found), walk), 1)
     return F.when(text.rlike(maybe), walked).otherwise(empty)
 
 
@@ -74,18 +88,21 @@ def _both_tails(z: Column) -> Column:
 
 
 def _p_value(token: Column, alphabet: Column) -> Column:
-    """p of "symbols drawn independently and evenly from the alphabet": the least of three tests, times three."""
+    """p of "symbols drawn independently and evenly from the alphabet": the least p of three tests, as the least of three independent ones."""
     index = F.transform(F.split(token, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
 
     def tests(x: Column) -> Column:
         n, k = F.length(token).cast("double"), F.length(alphabet).cast("double")
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-        # chi-squared against even counts, by the cube-root normal approximation, upper tail
+        # chi-squared against even counts, upper tail: the statistic's exact first three moments, as many cells expect
+        # less than five, matched by a shifted gamma; half of the statistic's step is taken off
         counts = F.transform(F.sequence(F.lit(0), F.length(alphabet) - 1), lambda s: F.size(F.filter(x, lambda v: v == s)).cast("double"))
-        chi = total(F.transform(counts, lambda c: c * c)) * k / n - n
-        df = k - 1
-        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        p_chi = F.when(z_chi > 0, _both_tails(z_chi) / 2).otherwise(F.lit(0.5))
+        chi = total(F.transform(counts, lambda c: c * c)) * k / n - n - k / n
+        spread, third = 2 * (k - 1) * (n - 1) / n, 4 * (k - 1) * (n - 1) * (k + 2 * n - 6) / (n * n)
+        shape, scale = 4 * spread * spread * spread / (third * third), third / (2 * spread)
+        y = F.greatest(F.lit(0.0), (chi - (k - 1)) / (shape * scale) + 1)
+        z_chi = (F.pow(y, F.lit(1 / 3)) - (1 - 1 / (9 * shape))) * F.sqrt(9 * shape)
+        p_chi = F.when(z_chi > 0, _both_tails(z_chi) / 2).otherwise(1 - _both_tails(z_chi) / 2)
         # runs above and below the middle
         high = F.transform(x, lambda v: F.when(v >= k / 2, F.lit(1.0)).otherwise(F.lit(0.0)))
         a = total(high)
@@ -100,7 +117,7 @@ def _p_value(token: Column, alphabet: Column) -> Column:
         power = total(F.transform(off, lambda v: v * v))
         lag = total(F.zip_with(F.slice(off, F.lit(1), F.size(off) - 1), F.slice(off, F.lit(2), F.size(off) - 1), lambda u, v: u * v))
         p_lag = F.when(power > 0, _both_tails((lag / power + 1 / n) * F.sqrt(n))).otherwise(F.lit(1e-9))
-        return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_lag))
+        return 1 - F.pow(1 - F.least(p_chi, p_runs, p_lag), F.lit(3.0))
 
     return F.element_at(F.transform(F.array(index), tests), 1)
 
@@ -112,7 +129,7 @@ def _level(p: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """array<struct<start, end, level, length>> of tokens of an inferred encoding, with their test level."""
-    spans = _spans(text, TOKEN, MAYBE_TOKEN, 0, 20, len(BASE))
+    spans = _spans(text, TOKEN, MAYBE_TOKEN, 0, SHORTEST, len(BASE))
     alphabet = lambda t: F.coalesce(*(F.when(t.rlike(p), F.lit(a)) for p, a in ENCODINGS))
     named = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substr(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("token")))
     known = F.transform(named, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), alphabet(s["token"]).alias("alphabet")))
@@ -128,17 +145,42 @@ def candidates(text: Column) -> Column:
     )
 
 
+def drop_level(counts: dict[int, int], fdr: float) -> int:
+    """The level from which tokens are not random: Benjamini-Hochberg over the tokens of a length class, given how many have each level."""
+    total, rank, cut = sum(counts.values()), 0, DEEPEST + 1
+    for level in sorted(counts, reverse=True):
+        rank += counts[level]
+        if 10 ** (-level / STEPS) <= fdr * rank / total:
+            cut = level
+    return cut
+
+
+def report_level(counts: dict[int, int], fdr: float) -> int:
+    """The level from which tokens are not reported, so that of those reported a share of `fdr` at most is not random.
+
+    Random tokens have even p-values. Where p is large there are no others, so the least of (tokens above p) / (1 - p)
+    estimates how many random ones there are; what is above a level beyond their expected number is false. Two standard
+    deviations of chance are allowed. At or below the level that the tests themselves reject.
+    """
+    drop = drop_level(counts, fdr)
+    above = {c: sum(n for level, n in counts.items() if level < c) for c in range(1, drop + 1)}
+    wide = lambda c: 1 - 10 ** (-c / STEPS)
+    random = min((above[c] / wide(c) for c in above if wide(c) >= 0.25), default=0.0)
+    good = (c for c, n in above.items() if n - random * wide(c) <= fdr * n + 2 * n**0.5)
+    return max(good, default=0)
+
+
 def _cuts(found: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """For each length class, the level from which tokens count as not random (Benjamini-Hochberg over all its tokens).
+    """For each length class, the level from which tokens are not reported, over all documents' tokens.
 
-    p-values are rounded up before, so the procedure is exact for them; its table has at most a row for each class
-    and level, whatever the input.
+    p-values are rounded up to levels before, so the procedures are exact for them; their table, which comes to the
+    driver, has at most a row for each class and level, whatever the input.
     """
     levels = found.select(F.explode("tokens").alias("t")).groupBy("t.length", "t.level").agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("length")
-    ranked = levels.withColumn("rank", F.sum("n").over(by.orderBy(F.desc("level")))).withColumn("all", F.sum("n").over(by))
-    passed = ranked.where(F.pow(F.lit(10.0), -F.col("level") / STEPS) <= F.lit(fdr) * F.col("rank") / F.col("all"))
-    return {r["length"]: r["cut"] for r in passed.groupBy("length").agg(F.min("level").alias("cut")).collect()}
+    counts: dict[int, dict[int, int]] = {}
+    for r in levels.collect():
+        counts.setdefault(r["length"], {})[r["level"]] = r["n"]
+    return {length: report_level(c, fdr) for length, c in counts.items()}
 
 
 def _listed(spans: Column) -> Column:
@@ -147,28 +189,44 @@ def _listed(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
-    """One row per document: doc_id, base and spans as array<struct<start, kind, end>> in order of start and kind.
+    """One row per document: doc_id, base and spans as array<struct<start, kind, end>> in order of start and kind, and tokens.
 
-    Null counts as empty. base has the pattern spans. spans has them and the random tokens that meet none of them: a
-    token of 20 or more characters whose encoding is inferred from its characters (hex, base32, base36, base62,
-    base64 and its URL form, each with both letters and digits) is dropped when chi-squared, runs and serial
-    correlation reject an even, independent draw; within each length class the tokens wrongly dropped are controlled
-    as false discoveries over all documents.
+    base has the pattern spans. spans has them and the random tokens that meet none of them. A token has 16 or more
+    characters and an encoding inferred from them (hex, base32, base36 of either case, base62, base64 and its URL form,
+    each with both letters and digits). Chi-squared, runs and serial correlation test an even, independent draw; within
+    each length class, over all documents, tokens that they reject are regular, with the wrongly rejected controlled as
+    false discoveries, and so is the share of tokens called random that are not. tokens has each token's start, end,
+    level (of p) and whether it is random, also of those inside base spans.
+
+    Null counts as empty; repeated rows and null ids give a row each; tokens of equal p share a verdict; long texts are
+    scanned in whole, in n^1.5 steps for n matches; an empty table gives no rows.
     """
     body = text_or_empty(text)
     base = F.array_sort(F.flatten(F.array(*(_spans(body, p, MAYBE[name], g, n, k) for k, (name, (p, g, n)) in enumerate(BASE.items())))))
     found = cut(docs.select("doc_id", base.alias("base"), candidates(body).alias("tokens")), "secrets")
     cuts = _cuts(found, fdr)
-
-    def random(t: Column, base: Column) -> Column:
-        edge = reduce(lambda c, k: F.when(t["length"] == k, F.lit(cuts[k])).otherwise(c), cuts, F.lit(DEEPEST + 1))
-        return (t["level"] < edge) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-
-    extra = F.transform(F.filter("tokens", lambda t: random(t, F.col("base"))), lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("kind"), t["end"].alias("end")))
-    return found.select("doc_id", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
+    edge = lambda t: reduce(lambda c, k: F.when(t["length"] == k, F.lit(cuts[k])).otherwise(c), cuts, F.lit(0))
+    judged = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["level"].alias("level"), (t["level"] < edge(t)).alias("random")))
+    found = found.withColumn("tokens", judged)
+    extra = F.filter("tokens", lambda t: t["random"] & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    extra = F.transform(extra, lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("kind"), t["end"].alias("end")))
+    return found.select("doc_id", "base", F.array_sort(F.concat("base", extra)).alias("spans"), "tokens")
 
 
 def op1_randomness_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and n_confirmed: base spans that hold a token which the battery finds random; verdicts: each token's start, end, level and verdict.
+
+    Nulls, empty and long texts, ties and repeats as in scan.
+    """
     found = scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(BASE)), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    holds = lambda b: F.exists("tokens", lambda t: t["random"] & (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    told = F.transform("tokens", lambda t: F.concat_ws(":", t["start"], t["end"], t["level"], F.when(t["random"], RANDOM).otherwise("regular")))
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{name}") for k, name in enumerate(BASE)),
+        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
+        _listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("base", holds)).cast("long").alias("n_confirmed"),
+        F.array_join(told, ",").alias("verdicts"),
+    )

@@ -3,8 +3,8 @@ import math
 import random
 import re
 import string
+from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import secretscan as S
@@ -47,32 +47,60 @@ def test_base_spans_against_brute_force(spark):
     assert S.scan(docs.limit(0)).count() == 0
 
 
-def reference_p(tok, alphabet):
-    """The three tests with the standard library's erfc; chi-squared tail by the same cube-root form."""
-    x, k, n = [alphabet.index(c) for c in tok], len(alphabet), len(tok)
-    chi = sum(x.count(s) ** 2 for s in range(k)) * k / n - n
-    z = ((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
-    tails = lambda z: math.erfc(abs(z) / math.sqrt(2))
-    p = [tails(z) / 2 if z > 0 else 0.5]
-    high = [v >= k / 2 for v in x]
-    a, b = sum(high), n - sum(high)
-    mean = 2 * a * b / n + 1
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    p.append(tails((1 + sum(u != v for u, v in zip(high, high[1:])) - mean) / math.sqrt(var)) if var > 0 else 1e-9)
-    m = sum(x) / n
-    power = sum((v - m) ** 2 for v in x)
-    lag = sum((u - m) * (v - m) for u, v in zip(x, x[1:]))
-    p.append(tails((lag / power + 1 / n) * math.sqrt(n)) if power else 1e-9)
-    return min(1, 3 * min(p))
-
-
-def test_p_values(spark):
+def test_p_values_of_random_tokens_are_even(spark):
+    """Simulated tokens, short ones over large alphabets too, where most cells expect less than one."""
     rng = random.Random(2)
-    b62 = string.ascii_uppercase + string.ascii_lowercase + string.digits
-    rows = [(token(rng, b62, n), b62) for n in (20, 33, 80)] + [("a1B" * 9, b62), ("a" * 25, b62), (token(rng, "0123456789abcdef", 40), "0123456789abcdef")]
-    got = spark.createDataFrame(rows, "t string, a string").select("t", "a", S._p_value(F.col("t"), F.col("a")).alias("p")).collect()
-    for r in got:
-        assert r.p == pytest.approx(reference_p(r.t, r.a), rel=1e-3, abs=1e-7)
+    b62, hexes = string.ascii_uppercase + string.ascii_lowercase + string.digits, "0123456789abcdef"
+    for alphabet, n in ((b62, 16), (b62, 40), (hexes, 18), (hexes, 40), (string.ascii_uppercase + string.digits, 20)):
+        rows = [(token(rng, alphabet, n),) for _ in range(3000)]
+        p = [r.p for r in spark.createDataFrame(rows, "t string").select(S._p_value(F.col("t"), F.lit(alphabet)).alias("p")).collect()]
+        for x in (0.5, 0.2, 0.05, 0.01):
+            assert sum(v <= x for v in p) / 3000 < 1.6 * x + 0.006, (n, len(alphabet), x)
+        assert sum(v <= 0.5 for v in p) / 3000 > 0.3
+    regular = spark.createDataFrame([("a1B" * 9,), ("word7" * 8,), ("aaaaaaaaaaaaaaaaaaaa1",)], "t string").select(S._p_value(F.col("t"), F.lit(b62)).alias("p"))
+    assert all(r.p < 0.001 for r in regular.collect())
+
+
+def test_drop_level_is_benjamini_hochberg():
+    rng = random.Random(5)
+    for _ in range(200):
+        levels = [rng.choice([rng.randrange(5), rng.randrange(40), rng.randrange(120)]) for _ in range(rng.randrange(1, 80))]
+        p = sorted(10 ** (-v / S.STEPS) for v in levels)
+        passed = [x for k, x in enumerate(p, 1) if x <= 0.05 * k / len(p)]
+        rejected = [v for v in levels if passed and 10 ** (-v / S.STEPS) <= max(passed)]
+        cut = S.drop_level(dict(Counter(levels)), 0.05)
+        assert [v for v in levels if v >= cut] == rejected
+
+
+def test_report_level_leaves_out_what_random_tokens_do_not_explain():
+    rng = random.Random(6)
+    level = lambda p: int(-math.log10(max(p, 1e-15)) * S.STEPS)
+    good = [level(rng.random()) for _ in range(2000)]
+    bad = [level(0.002 + 0.05 * rng.random()) for _ in range(600)]
+    cut = S.report_level(dict(Counter(good + bad)), 0.05)
+    reported = sum(v < cut for v in good + bad)
+    assert sum(v < cut for v in bad) <= 0.12 * reported and sum(v < cut for v in good) > 0.85 * len(good)
+    assert sum(v < S.report_level(dict(Counter(good)), 0.05) for v in good) > 0.95 * len(good)
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 60_000
+    docs = spark.createDataFrame([(1, "token=abcdefgh1 " * n)], "doc_id long, text string")
+    (row,) = S.scan(docs).selectExpr("size(base) n", "base[0] a", f"base[{n - 1}] z").collect()
+    assert row.n == n and tuple(row.a) == (0, 0, 15) and tuple(row.z) == (16 * (n - 1), 0, 16 * n - 1)
+
+
+def test_precision_and_recall_on_planted_tokens(spark):
+    """Random tokens of all encodings among names, paths and numbers; base spans are judged as well."""
+    rng = random.Random(8)
+    alphabets = ("0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits)
+    keys = [token(rng, alphabets[i % 4], rng.randrange(24, 60)) for i in range(400)]
+    plain = [f"item{i}of" + "abcd" * 6 for i in range(200)] + ["Version2" * rng.randrange(4, 8) for _ in range(200)]
+    rows = [(i, f"see {t} here") for i, t in enumerate(keys + plain)] + [(2000 + i, f"secret={t}") for i, t in enumerate(keys[:100])]
+    found = S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hit = {r.doc_id for r in found if any(t.random for t in r.tokens)}
+    assert len([i for i in range(400) if i in hit]) > 360 and len([i for i in range(400, 800) if i in hit]) < 20
+    assert len([i for i in range(2000, 2100) if i in hit]) > 85
 
 
 def test_random_tokens_are_kept_and_regular_ones_dropped(spark):
