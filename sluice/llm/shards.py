@@ -15,6 +15,8 @@ TARGET, SMALLEST = 128 << 20, 1 << 20
 FANOUT = 4
 #: Shards that one round of compaction reads at most; rounds are repeated until no tier has a run left to merge.
 ROUND = 10_000
+#: Arrivals that the query makes of the table.
+ARRIVALS = 4
 #: Shards that are lined up together when runs are cut.
 LINE = 1024
 
@@ -90,12 +92,14 @@ class ShardStore:
         return self.commit(self.manifest(now).union(self._listed(folder, now + 1, rows.schema)), now)
 
     def read(self, version: int | None = None, schema=None) -> DataFrame:
-        """The rows of a version, with the path of each row's shard as column shard."""
+        """The rows of a version, with the path of each row's shard as last column: shard, or _shard and so on if there is one."""
         paths = [r.path for r in self.manifest(version).select("path").toLocalIterator()]
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
-        if not paths:
-            return self.spark.createDataFrame([], schema).withColumn("shard", F.lit(""))
-        return reader.parquet(*paths).select("*", F.col("_metadata.file_path").alias("shard"))
+        rows = reader.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        name = "shard"
+        while name in rows.columns:
+            name = f"_{name}"
+        return rows.select("*", (F.col("_metadata.file_path") if paths else F.lit("")).alias(name))
 
     def plan(self, entries: DataFrame) -> DataFrame:
         """path and run of the shards to merge: runs of at least `fanout` shards of one tier, up to the target size.
@@ -127,9 +131,9 @@ class ShardStore:
             return False
         plan = self.spark.createDataFrame(runs, "path string, run int")
         rows = self.spark.read.schema(schema).parquet(*(p for p, _ in runs)).select(F.struct("*").alias("row"), F.col("_metadata.file_path").alias("path"))
-        merged = rows.join(F.broadcast(plan), "path").repartition(len(whole), "run")
+        merged = rows.join(F.broadcast(plan), "path").repartitionById(len(whole), F.col("run"))  # each run is one task's, and no task has two
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        merged.select("row.*", F.col("run").alias("_run")).write.partitionBy("_run").option("compression", "zstd").parquet(folder)
+        merged.select("row.*").write.option("compression", "zstd").parquet(folder)
         made = self._listed(folder, now + 1, schema)
         self.commit(live.join(F.broadcast(plan.select("path")), "path", "left_anti").select("path", "bytes", "rows", "created").union(made), now)
         return True
@@ -156,12 +160,18 @@ class ShardStore:
 
 
 def op8_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents appended, compacted and read back from the last manifest: doc_id, n_bytes, text_sha256 of each row."""
+    """documents appended in ARRIVALS parts, compacted after each, and read back from the last manifest: doc_id, n_bytes, text_sha256 of each row.
+
+    Each row belongs to one arrival, by a hash of its id. Null texts have null counts and digests; repeated rows, empty
+    and long texts are rows like any other; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, shared_dir(spark, "shards"))
-    store.append(docs)
-    store.compact(docs.schema)
-    store.vacuum()
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
+    for k in range(ARRIVALS):
+        store.append(docs.where(arrival == k))
+        store.compact(docs.schema)
+        store.vacuum()
     return store.read(schema=docs.schema).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 

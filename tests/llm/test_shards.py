@@ -1,6 +1,7 @@
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import shards as S
 from tests.conftest import SF
@@ -46,6 +47,26 @@ def test_limit_of_a_round(spark, store, monkeypatch):
     assert store.read(schema=docs.schema).count() == 60
 
 
+def test_columns_named_like_ours(spark, store):
+    docs = spark.createDataFrame([(k, "a", "b", "c") for k in range(40)], "_run int, shard string, run string, row string")
+    store.append(docs.repartition(8))
+    store.compact(docs.schema)
+    rows = store.read(schema=docs.schema)
+    assert rows.columns == [*docs.columns, "_shard"] and sorted(r._run for r in rows.collect()) == list(range(40))
+
+
+def test_each_run_is_one_shard(spark):
+    store = S.ShardStore(spark, tempfile.mkdtemp(prefix="spark-") + "/store", target=40_000, fanout=3, smallest=1000)
+    docs = spark.range(30_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    store.append(docs.repartition(100))
+    runs = store.plan(store.manifest()).select("run").distinct().count()
+    before = store.manifest().select("path")
+    store.compact_round(docs.schema)
+    made = store.manifest().join(before, "path", "left_anti").collect()
+    assert runs > 5 and len(made) == runs and max(r.bytes for r in made) < 4 * 40_000
+    assert store.read(schema=docs.schema).count() == 30_000
+
+
 def test_empty(spark, store):
     docs = spark.createDataFrame([], SCHEMA)
     assert store.version() == 0 and store.compact(docs.schema) == 0
