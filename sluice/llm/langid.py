@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -79,9 +79,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model | None:
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(text: str | None) -> Bag:
+    """Distinct buckets of a text and how often each occurs: as many numbers as there are buckets at most, however long the text."""
+    buckets = subwords(text) if text else None
+    return np.unique(buckets if buckets is not None else np.zeros(0, np.uint32), return_counts=True)
+
+
+def train(texts: list[Bag], langs: list[str], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model | None:
     """Stochastic gradient descent over documents; a fifth set aside calibrates temperature and rejection."""
-    rows = [(b, y) for b, y in ((subwords(t), y) for t, y in zip(texts, langs)) if b is not None and len(b)]
+    rows = [(b, y) for b, y in zip(texts, langs) if len(b[0])]
     if not rows:
         return None
     names = sorted({y for _, y in rows})
@@ -89,8 +98,7 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float
     order = rng.permutation(len(rows))
     aside = len(rows) // 5
     bags = []
-    for b, y in rows:
-        at, n = np.unique(b, return_counts=True)
+    for (at, n), y in rows:
         bags.append((at, (n / n.sum()).astype(np.float32), names.index(y)))
     embedding = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weights, bias = rng.normal(0, 0.3, (DIM, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
@@ -125,17 +133,42 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, rows: int = FIT_DOCS) -> Model | None:
-    """Fit on a bounded sample of documents that have a language and are not held out."""
+def sample(docs: DataFrame, rows: int = FIT_DOCS) -> DataFrame:
+    """(lang, doc_id, text) of at most `rows` documents that have a language and are not held out, each language an equal share.
+
+    Each language's documents are cut by a bound on the hash of their ids first, so that only some three times the sample
+    is shuffled; ids with many rows count once, with their least text. Languages are few: their counts come to the driver.
+    """
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    ids = known.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(SEED), "doc_id")).limit(rows)  # bounded, so it may be broadcast
-    found = known.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").toPandas()
-    found = found.sort_values(["doc_id", "lang", "text"])
-    return train(found["text"].tolist(), found["lang"].tolist())
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()
+    each = max(1, rows // max(1, len(counts)))
+    bars = docs.sparkSession.createDataFrame([(r.lang, 3.0 * each / r.n + 0.0) for r in counts], "lang string, bar double")
+    h = F.xxhash64(F.lit(SEED), "doc_id") / F.lit(2.0**64) + 0.5
+    near = known.join(F.broadcast(bars), "lang").where(h < F.col("bar"))
+    one = near.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id"))
+    return one.withColumn("rank", rank).where(F.col("rank") <= each).drop("rank")
+
+
+def fit(docs: DataFrame, rows: int = FIT_DOCS) -> Model | None:
+    """Fit on the bounded sample; its documents' bucket counts come to the driver, not their texts."""
+
+    @F.pandas_udf("buckets array<int>, counts array<int>")
+    def bags(texts: pd.Series) -> pd.DataFrame:
+        found = [bag(t) for t in texts]
+        return pd.DataFrame({"buckets": [b.astype(np.int32) for b, _ in found], "counts": [n.astype(np.int32) for _, n in found]})
+
+    found = sample(docs, rows).select("lang", "doc_id", bags("text").alias("b")).select("lang", "doc_id", "b.*").toPandas().sort_values(["doc_id", "lang"])
+    arrays = [(np.asarray(b, np.int64), np.asarray(n, np.int64)) for b, n in zip(found["buckets"], found["counts"])]
+    return train(arrays, found["lang"].tolist())
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, rejected. Null texts and texts without letters: und, 0."""
+    """One row per document: doc_id, held_out, lang_pred, score, rejected. Null texts and texts without letters: und, 0.
+
+    Repeated rows and null ids give a row each (a null id is not held out); long texts count in whole; of languages that
+    tie the first in code-point order is predicted; an empty table gives no rows.
+    """
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -146,5 +179,6 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
 
 def op7_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, by a model fitted on a sample of those that are not held out; rules as in identify."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs, fit(docs))

@@ -22,6 +22,14 @@ def test_sample_has_no_held_out_document(spark):
     assert L.fit(docs).langs == ["seen"]
 
 
+def test_sample_is_bounded_and_has_every_language(spark):
+    """A hot language, a rare one, and one id with very many rows."""
+    docs = spark.range(20_000).selectExpr("if(id < 3000, 1L, id) doc_id", "concat('text ', id) text", "if(id = 19999 or id = 19998 or id = 19997, 'rare', 'hot') lang")
+    got = L.sample(docs, 200).collect()
+    assert len(got) <= 200 and len({r.doc_id for r in got}) == len(got) and {r.lang for r in got} == {"hot", "rare"}
+    assert sum(r.lang == "hot" for r in got) == 100
+
+
 def test_edges(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "12 !", "a"), (None, "words here", None), (4, "é" * 300_000, "b"), (4, "é", "b"), (5, "a", "c")]
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
