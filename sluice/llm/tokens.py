@@ -14,8 +14,8 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 import numpy as np  # noqa: E402
 import tokenizers  # noqa: E402
 
-#: Entries of a worker's memo, some 70 MB; beyond it the memo starts anew.
-MEMO = 200_000
+#: Entries of a worker's memo, some 110 MB.
+MEMO = 300_000
 _ODD_BLANK = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -40,20 +40,22 @@ def blank_chunks(text: str) -> list[bytes]:
 
 
 class Encoder:
-    """A tokenizer file with a memo from chunk to `keep(ids)`."""
+    """A tokenizer file with a memo from chunk to `keep(ids)`, in two halves: a full half becomes the old one, and what is used of it moves on."""
 
     def __init__(self, path: str, chunks: Callable[[str], list], keep: Callable[[list[int]], object], memo: int = MEMO) -> None:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.chunks, self.keep, self.limit, self.memo = chunks, keep, memo, {}
+        self.chunks, self.keep, self.limit, self.memo, self.old = chunks, keep, memo, {}, {}
 
     def __call__(self, texts: list[str]) -> list[list]:
         """For each text, what is kept of each of its chunks."""
         split = [self.chunks(t) for t in texts]
-        need = set().union(*split).difference(self.memo)
-        if len(self.memo) + len(need) > self.limit:
-            self.memo = {}
-            need = set().union(*split)
-        todo = list(need)
+        every = set().union(*split)
+        need = every.difference(self.memo)
+        if len(self.memo) + len(need) > self.limit // 2:
+            self.old, self.memo, need = self.memo, {}, every
+        known = need.intersection(self.old)
+        self.memo.update((c, self.old[c]) for c in known)
+        todo = list(need.difference(known))
         for k in range(0, len(todo), 10_000):
             part = todo[k : k + 10_000]
             strings = [c.decode() if isinstance(c, bytes) else c for c in part]
