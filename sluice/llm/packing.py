@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_or_empty
-from .tokens import batches, blank_chunks, encoder, pack16
+from .tokens import MEMO, batches, blank_chunks, encoder, pack16
 
 WINDOW = 4096
 END = 2
 #: Least number of salts that rows of one length are ranked by.
 SALTS = 64
+#: Entries of a worker's memo where packing is all that an executor does, some 360 MB; it has no bearing on the result.
+OWN_MEMO = 1_000_000
 
 
-def _pieces(path: str, window: int, end: int):
+def _pieces(path: str, window: int, end: int, memo: int):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path, blank_chunks, pack16)
+        encode = encoder(path, blank_chunks, pack16, memo)
         tail = end.to_bytes(2, "little")
         for frame in frames:
             out: dict[str, list] = {k: [] for k in ("at", "start", "length", "ids", "ids_crc32", "doc_tokens")}
@@ -41,14 +43,14 @@ def _pieces(path: str, window: int, end: int):
     return run
 
 
-def tokenize(docs: DataFrame, path: str, text: str = "text", window: int = WINDOW, end: int = END) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, text: str = "text", window: int = WINDOW, end: int = END, memo: int = MEMO) -> DataFrame:
     """Pieces of at most `window` ids: doc_id, start, length, ids (16-bit little-endian), ids_crc32, doc_tokens.
 
     Each document is its ids and one end id; null counts as empty. It is cut at multiples of the window only.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_or_empty(text).alias("text"))
-    return rows.mapInPandas(_pieces(path, window, end), f"doc_id {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long")
+    return rows.mapInPandas(_pieces(path, window, end, memo), f"doc_id {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long")
 
 
 def combinations(count: np.ndarray, window: int, depth: int = 8, triples: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -172,11 +174,11 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     return placed.select(*(ranked[c] for c in pieces.columns), (F.col("first") + F.col("_rank") - F.col("low")).alias("sequence_id"), "offset")
 
 
-def packed(docs: DataFrame, path: str, text: str = "text", window: int = WINDOW) -> DataFrame:
+def packed(docs: DataFrame, path: str, text: str = "text", window: int = WINDOW, memo: int = MEMO) -> DataFrame:
     """Tokenize and pack; pieces with their ids. The pieces are written once, as two passes read them."""
-    return pack(cut(tokenize(docs, path, text, window), "pieces"), window)
+    return pack(cut(tokenize(docs, path, text, window, memo=memo), "pieces"), window)
 
 
 def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null texts are empty documents of one id; repeated rows and ids are packed each on their own."""
-    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), memo=OWN_MEMO).drop("ids")

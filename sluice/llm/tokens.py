@@ -14,8 +14,8 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 import numpy as np  # noqa: E402
 import tokenizers  # noqa: E402
 
-#: Entries of a worker's memo, some 110 MB.
-MEMO = 300_000
+#: Entries of a worker's memo, some 70 MB.
+MEMO = 200_000
 _ODD_BLANK = re.compile(r" (?:\s|$)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -72,11 +72,11 @@ def pack16(ids: list[int]) -> bytes:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, chunks: Callable, keep: Callable) -> Encoder:
+def encoder(path: str, chunks: Callable, keep: Callable, memo: int = MEMO) -> Encoder:
     """The worker's own encoder; it outlives the task, as Spark reuses its Python workers."""
-    key = (path, chunks.__name__, keep.__name__)
+    key = (path, chunks.__name__, keep.__name__, memo)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, chunks, keep)
+        _ENCODERS[key] = Encoder(path, chunks, keep, memo)
     return _ENCODERS[key]
 
 
