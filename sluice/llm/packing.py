@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_or_empty
-from .tokens import MEMO, batches, blank_chunks, encoder, pack16
+from .tokens import MEMO, batches, blank_encoder
 
 WINDOW = 4096
 END = 2
@@ -24,11 +24,11 @@ OWN_MEMO = 1_000_000
 
 def _pieces(path: str, window: int, end: int, memo: int):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path, blank_chunks, pack16, memo)
+        encode = blank_encoder(path, memo)
         tail = end.to_bytes(2, "little")
         for frame in frames:
             out: dict[str, list] = {k: [] for k in ("at", "start", "length", "ids", "ids_crc32", "doc_tokens")}
-            kept = (b"".join(c) + tail for part in batches(frame["text"].tolist()) for c in encode(part))
+            kept = (ids + tail for part in batches(frame["text"].tolist(), most=4096, chars=4 << 20) for ids in encode(part))
             for k, raw in enumerate(kept):
                 total = len(raw) // 2
                 for start in range(0, total, window):

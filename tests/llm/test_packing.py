@@ -119,3 +119,11 @@ def test_words_are_split_at_the_six_blanks_only():
 @pytest.mark.parametrize("text", ["a  b", " a", "a ", "a \n b", "x\n\ny z"])
 def test_space_chunks_keep_the_text(text):
     assert "".join(tokens.space_chunks(text)) == text
+
+
+@pytest.mark.parametrize("memo", [4, 1000])
+def test_blank_encoder_gives_the_ids_of_whole_texts(memo):
+    texts = ["", " ", "A <|endoftext|> B", "<|STARTOFTEXT|>x", "É ß  ß\x0b\x0cKK", "a\x1cb\x85c d", "x" * 5000, "\x00 a", "a\x01b \x01 c", "\x01", *(f"Word{k} re.&&& {k}" for k in range(300))]
+    want = [tokens.pack16(e.ids) for e in _tokenizer(WORD).encode_batch(texts, add_special_tokens=False)]
+    encode = tokens.BlankEncoder(WORD, memo)
+    assert encode(texts) == want and encode(texts[::-1]) == want[::-1] and encode([]) == []
