@@ -14,6 +14,8 @@ EMPTY, BOOLEAN, INTEGER, FLOAT, DATETIME, STRING = "empty", "boolean", "integer"
 KINDS = (EMPTY, BOOLEAN, INTEGER, FLOAT, DATETIME, STRING)
 #: A column is a datetime when more than this share of its values parse.
 DATETIME_SHARE = 0.85
+#: From here on a whole number needs more than 64 bits.
+BEYOND_LONG = 2.0**63
 
 NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 #: Free date forms after ISO: what a text must look like, and the formats then tried in order, day-first only where
@@ -61,6 +63,7 @@ class Counts:
     numbers: int = 0
     wholes: int = 0
     datetimes: int = 0
+    wides: int = 0
 
     def __add__(self, other: Counts) -> Counts:
         return Counts(*(getattr(self, f.name) + getattr(other, f.name) for f in fields(self)))
@@ -89,6 +92,7 @@ def counters(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
             F.count_if(filled & number.isNotNull()).alias("numbers"),
             F.count_if(filled & (number % 1 == 0)).alias("wholes"),
             F.count_if(filled & number.isNull() & as_datetime(c).isNotNull()).alias("datetimes"),
+            F.count_if(F.abs(number) >= BEYOND_LONG).alias("wides"),
         ).alias(name)
 
     return df.agg(*map(one, names)) if names else df.sparkSession.range(1).select()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def label(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), r"[^A-Za-z0-9_]", "_")
 
 
+def label_text(name: str) -> str:
+    """label() of a name that the driver knows."""
+    return re.sub(r"[^A-Za-z0-9_]", "_", name)
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """top / bottom, null unless bottom is positive."""
     return F.when(bottom > 0, top / bottom)

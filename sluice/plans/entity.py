@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import RESCUED, cast_column, cast_frame, rescued
-from ..functions.kinds import STRING, Counts, count_kinds, infer_kinds, union_counts
+from ..functions.kinds import INTEGER, STRING, Counts, count_kinds, infer_kinds, union_counts
 from ..operators import shapes
 from ..operators.filters import Filter, check_filters, partitioned
 from ..operators.filters import apply_filters as filtered
@@ -44,10 +44,11 @@ class Bound:
     typed: DataFrame
     kinds: dict[str, str] = field(default_factory=dict)
     text: DataFrame | None = None
+    wide: frozenset[str] = frozenset()
 
     def lost(self) -> DataFrame:
         """The text rows with cells that their kinds cannot hold, these cells in _rescued: what shaped() shows as null."""
-        return self.text.withColumn(RESCUED, rescued(self.text.columns, self.kinds)).where(F.size(RESCUED) > 0)
+        return self.text.withColumn(RESCUED, rescued(self.text.columns, self.kinds, self.wide)).where(F.size(RESCUED) > 0)
 
     def planned(self) -> DataFrame:
         """What a load counts: relational rows and nodes once for each key, of other models every row."""
@@ -101,15 +102,18 @@ class Binder:
         df = parts[0] if len(parts) == 1 else union_sources(parts)
         check_entity(e, df)
         fields = expand(e.columns, df.columns, e.mode, list(e.only) if e.only is not None else None)
+        wide: frozenset[str] = frozenset()
         if kinds is None:
-            kinds = {n: c.kind() for n, c in union_counts(map(self.counts, names)).items()} | {SOURCE: "string"}
-        typed = cast_frame(df.drop(POSITION), kinds) if POSITION not in df.columns else _cast_with_place(df, kinds)
-        return Bound(e, fields, typed, kinds, df.drop(POSITION))
+            counts = union_counts(map(self.counts, names))
+            kinds = {n: c.kind() for n, c in counts.items()} | {SOURCE: "string"}
+            wide = frozenset(n for n, c in counts.items() if c.kind() == INTEGER and c.wides)
+        typed = cast_frame(df.drop(POSITION), kinds, wide) if POSITION not in df.columns else _cast_with_place(df, kinds, wide)
+        return Bound(e, fields, typed, kinds, df.drop(POSITION), wide)
 
 
-def _cast_with_place(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+def _cast_with_place(df: DataFrame, kinds: dict[str, str], wide: frozenset[str]) -> DataFrame:
     """The typed columns with the rows' places; a place is no data and is not cast."""
-    return df.select(F.col(POSITION), *(cast_column(F.col(f"`{c}`"), kinds.get(c, STRING)).alias(c) for c in df.columns if c != POSITION))
+    return df.select(F.col(POSITION), *(cast_column(F.col(f"`{c}`"), kinds.get(c, STRING), c in wide).alias(c) for c in df.columns if c != POSITION))
 
 
 def check_entity(e: Entity, df: DataFrame) -> None:

@@ -7,18 +7,21 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.casts import RESCUED, cast_column, rescued
 from ..functions.kinds import STRING
 from ..operators import dedupe, shapes
-from ..operators.filters import PARTITION, partitioned
+from ..operators.filters import PARTITION, Filter, partitioned
 from ..operators.filters import apply_filters as filtered
 from ..operators.mapping import Field
 from ..plans.entity import Entity
 from ..sinks.tables import Store
-from ..sources.scan import POSITION
+from ..sources.scan import POSITION, SourceError, as_text, combined, load_sources, read_any, slice_of, tagged
 
 BatchRule = Callable[[DataFrame, int], None]
+#: A file is read however much older it is than the newest one seen.
+NEVER = "36500d"
 
 
 def run_batches(stream: DataFrame, rule: BatchRule, checkpoint: str) -> None:
@@ -32,16 +35,30 @@ def run_batches(stream: DataFrame, rule: BatchRule, checkpoint: str) -> None:
 
 
 def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1, fmt: str = "parquet", **options) -> DataFrame:
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).options(**options).load(folder)
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", NEVER).options(**options).load(folder)
 
 
 def store_rescued(store: Store, name: str, batch: DataFrame, kinds: dict[str, str], load: str | None = None, batch_id: int | None = None) -> None:
     """Append the text rows that have cells their kinds cannot hold, null keys too, to <name>_rescued."""
+    batch = batch.drop(POSITION)
     lost = batch.withColumn(RESCUED, rescued(batch.columns, kinds)).where(F.size(RESCUED) > 0)
     if not lost.isEmpty():
         store.append(f"{name}{RESCUED}", lost, load, batch_id)
 
 
+def _in_batch(batch: DataFrame) -> DataFrame:
+    """A stream's places know file and block; the row in them is numbered here, as a stream itself cannot number rows."""
+    if POSITION in batch.columns and "row" not in getattr(batch.schema[POSITION].dataType, "names", ["row"]):
+        return batch.withColumn(POSITION, F.col(POSITION).withField("row", F.monotonically_increasing_id()))
+    return batch
+
+
+def _typed(batch: DataFrame, kinds: dict[str, str], order: Sequence[str]) -> DataFrame:
+    """Cells by their kinds; places, and order columns that are no text, as they are."""
+    place = [c for c in dict.fromkeys((*order, POSITION)) if c in batch.columns and c not in kinds]
+    return batch.select(*place, *(cast_column(F.col(f"`{c}`"), kinds.get(c, STRING)).alias(c) for c in batch.columns if c not in place))
+
+
 def _placed(rows: DataFrame, order: Sequence[str], batch_id: int) -> tuple[DataFrame, list[str]]:
     """The rows with _place, and the columns to order them by: the declared ones, or arrival where the stream has none of them."""
     known = [o for o in order if o in rows.columns]
@@ -77,12 +94,11 @@ class EntityStream:
         self.store, self.entities, self.kinds, self.load = store, list(entities), kinds, uuid.uuid4().hex
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        batch = _in_batch(batch).persist()
         try:
             for e in self.entities:
-                place = [c for c in (*e.order, POSITION) if c in batch.columns and c not in self.kinds]
-                typed = batch.select(*place, *(cast_column(F.col(f"`{c}`"), self.kinds.get(c, STRING)).alias(c) for c in batch.columns if c not in place))
-                rows = partitioned(filtered(typed, list(e.filters), self.kinds), list(e.filters), e.name)
+                rows = _typed(batch, self.kinds, e.order)
+                rows = partitioned(filtered(rows, list(e.filters), self.kinds), list(e.filters), e.name)
                 rows, order = _placed(rows, e.order, batch_id)
                 self._store(e, *_shape(e, rows, order), batch_id)
                 store_rescued(self.store, e.name, batch, self.kinds, self.load, batch_id)
@@ -102,15 +118,18 @@ class EntityStream:
 class EdgeStream:
     """Loads edges from a stream of text rows, after the streams of their nodes have ended.
 
-    Only rows whose both ends are stored nodes make an edge; of the same ends and merge keys the last row in the declared
+    Only rows that pass the filters (those of the from-entity) and whose both ends are stored nodes make an edge; of the same ends and merge keys the last row in the declared
     order wins, over all batches.
     """
 
-    def __init__(self, store: Store, name: str, ends: tuple[str, str], nodes: tuple[tuple[str, str], tuple[str, str]], kinds: dict[str, str], properties: Sequence[Field] = (), order: Sequence[str] = ()) -> None:
+    def __init__(self, store: Store, name: str, ends: tuple[str, str], nodes: tuple[tuple[str, str], tuple[str, str]], kinds: dict[str, str], properties: Sequence[Field] = (), order: Sequence[str] = (), filters: Sequence[Filter] = ()) -> None:
         self.store, self.name, self.ends, self.nodes, self.kinds, self.properties, self.order, self.load = store, name, ends, nodes, kinds, properties, order, uuid.uuid4().hex
+        self.filters = list(filters)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        typed = batch.select(*(cast_column(F.col(f"`{c}`"), self.kinds.get(c, STRING)).alias(c) for c in batch.columns))
+        batch = _in_batch(batch)
+        typed = _typed(batch, self.kinds, self.order)
+        typed = partitioned(filtered(typed, self.filters, self.kinds), self.filters, self.name)
         (start, start_key), (end, end_key) = self.nodes
         typed, order = _placed(typed, self.order, batch_id)
         edges = shapes.to_edges(typed, *self.ends, self.name, self.store.read(start), start_key, self.store.read(end), end_key, self.properties, order)
@@ -118,13 +137,51 @@ class EdgeStream:
         store_rescued(self.store, self.name, batch, self.kinds, self.load, batch_id)
 
 
-def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream over a Parquet folder, or over one Parquet file of a folder."""
+def path_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1, fmt: str = "parquet", **options) -> DataFrame:
+    """A stream over a folder, or over one file of a folder."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    schema = spark.read.parquet(path).schema
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
-        return file_stream(spark, at.getParent().toString(), schema, files_per_batch, pathGlobFilter=at.getName())
-    return file_stream(spark, path, schema, files_per_batch)
+        path = f"{path[:-1]}[{path[-1]}]"  # a stream takes folders and patterns; what else the file's folder holds is not looked at
+    return file_stream(spark, path, schema, files_per_batch, fmt, **options)
+
+
+def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """A stream over a Parquet folder, or over one Parquet file of a folder."""
+    return path_stream(spark, path, spark.read.parquet(path).schema, files_per_batch)
+
+
+def text_stream(spark: SparkSession, path: str, header: list[str], files_per_batch: int = 1) -> DataFrame:
+    """The stream of read_any: columns as text, blank cells "", and _pos with the file and block of a row."""
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind == "parquet":
+        stream = table_stream(spark, path, files_per_batch)
+    elif kind in ("json", "jsonl"):
+        stream = path_stream(spark, path, spark.read.json(path).schema, files_per_batch, "json")
+    else:
+        schema = StructType([StructField(c, StringType()) for c in header])
+        stream = path_stream(spark, path, schema, files_per_batch, "csv", header=True, sep="\t" if kind == "tsv" else ",", escape='"', enforceSchema=False)
+    place = F.struct(F.lit(0).alias("part"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return as_text(stream).withColumn(POSITION, place)
+
+
+def stream_sources(spark: SparkSession, declared: dict, overrides: dict | None = None, files_per_batch: int = 1) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(tables to bind by, streams) of the declared sources and of the origins of combined ones, under the same names."""
+    if unknown := set(overrides or {}) - set(declared):
+        raise SourceError(f"override of an undeclared source: {sorted(unknown)}")
+    tables: dict[str, DataFrame] = {}
+    streams: dict[str, DataFrame] = {}
+    for name, spec in declared.items():
+        path = (overrides or {}).get(name, spec["file"] if isinstance(spec, dict) else spec)
+        found = load_sources(spark, {name: spec}, {name: path})
+        if twice := set(found) & set(tables):
+            raise SourceError(f"two sources are named {sorted(twice)}")
+        tables |= found
+        whole = isinstance(spec, dict) and bool(spec.get("origin_column"))
+        header = read_any(spark, path).columns
+        stream = text_stream(spark, path, header, files_per_batch)
+        streams[name] = combined(stream, header[0]) if whole else tagged(stream, name)
+        streams |= {origin: slice_of(streams[name], origin) for origin in found if origin != name}
+    return tables, streams
 
 
 def rows_stored(loader: EntityStream) -> dict[str, int]:
