@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from .operators.filters import Filter, apply_filters, partitioned, split_each
 from .operators.mapping import HYBRID, Field, Nested, expand, project, select_columns
 from .plans.entity import Binder, Entity
 from .plans.reports import medians, overhead, plan_counts, run_totals
+from .run import run_batch as load_all
+from .run import run_stream as stream_all
 from .sinks.tables import Store, write
 from .sources.scan import as_text, combined, origin_counts, origins, sample_per_source, slice_of, tagged, union_sources
 from .streaming.stream import EntityStream, first_wins, last_wins, run_batches, table_stream
@@ -495,3 +498,92 @@ def stream_first_wins(spark, sf):
 @query("SELECT user_id, event_id, event_type, ts FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_last_wins(spark, sf):
     return _keyed(spark, sf, last_wins)
+
+
+_RUN = {
+    "relational": {"entities": {"orders": {"columns": {"orderkey": {"is_key": True}, "custkey": {}, "price": {}}, "filters": [{"column": "status", "operator": "each"}]}}},
+    "document": {"entities": {"people": {"source": "customer", "columns": {"custkey": {}, "about": {"name": {}, "segment": {}}}, "filters": [{"column": "segment", "operator": "!=", "value": "BUILDING"}]}}},
+    "keyvalue": {"entities": {"names": {"source": "customer", "columns": {"custkey": {"is_key": True}, "name": {}}}}},
+    "wide": {"entities": {"seen": {"source": ["customer", "orders"], "columns": {"custkey": {}, "kind": {"csv_column": "_source"}}, "partition": ["custkey"], "cluster": ["kind"]}}},
+    "graph": {
+        "entities": {
+            "person": {"source": "customer", "columns": {"custkey": {"is_key": True}, "name": {}}},
+            "purchase": {"source": "orders", "columns": {"orderkey": {"is_key": True}}, "filters": [{"column": "status", "operator": "in", "value": ["F", "O"]}]},
+        },
+        "relationships": {"placed": {"from": "purchase", "to": "person", "type": "PLACED BY", "columns": {"price": {}}}},
+    },
+}
+_RUN_SQL = (
+    "SELECT 'orders' AS entity, 'orders_' || o_orderstatus AS partition, o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS other, o_totalprice::DOUBLE AS price FROM orders "
+    "UNION ALL SELECT 'people', 'people', c_custkey::VARCHAR, c_name || c_mktsegment, NULL FROM customer WHERE c_mktsegment <> 'BUILDING' "
+    "UNION ALL SELECT 'names', 'names', c_custkey::VARCHAR, c_name, NULL FROM customer "
+    "UNION ALL SELECT 'seen', 'seen', c_custkey::VARCHAR, 'customer', NULL FROM customer UNION ALL SELECT DISTINCT 'seen', 'seen', o_custkey::VARCHAR, 'orders', NULL FROM orders "
+    "UNION ALL SELECT 'person', 'person', c_custkey::VARCHAR, c_name, NULL FROM customer UNION ALL SELECT 'purchase', 'purchase', o_orderkey::VARCHAR, NULL, NULL FROM orders WHERE o_orderstatus IN ('F', 'O') "
+    "UNION ALL SELECT 'PLACED_BY', 'PLACED_BY', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_totalprice::DOUBLE FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey IN (SELECT c_custkey FROM customer)"
+)
+
+
+def _run_config(spark, sf):
+    """Text copies of two tables, and the configuration that loads them into every model."""
+    folder = scratch(spark)
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    orders.repartition(2, "orderkey").write.csv(f"{folder}/orders", header=True)
+    people.write.csv(f"{folder}/customer", header=True)
+    return {"sources": {n: f"{folder}/{n}" for n in ("orders", "customer")}} | _RUN, f"{folder}/targets", f"{folder}/checkpoints"
+
+
+def _run_rows(spark, root):
+    """All that the run has stored, as rows of one form."""
+    at = lambda model, name: Store(spark, f"{root}/{model}").read(name)
+    none = F.lit(None)
+    found = [
+        ("orders", at("relational", "orders"), F.col("orderkey"), F.col("custkey"), F.col("price")),
+        ("people", at("document", "people"), F.col("custkey"), F.concat("about.name", "about.segment"), none),
+        ("names", at("keyvalue", "names"), F.col("key"), F.get_json_object("value", "$.name"), none),
+        ("seen", at("wide", "seen"), F.col("custkey"), F.col("kind"), none),
+        ("person", at("graph", "person"), F.col("custkey"), F.col("name"), none),
+        ("purchase", at("graph", "purchase"), F.col("orderkey"), none, none),
+        ("PLACED_BY", at("graph", "PLACED_BY"), F.col("src"), F.col("dst"), F.col("price")),
+    ]
+    parts = [
+        df.select(F.lit(n).alias("entity"), (F.col("_partition") if "_partition" in df.columns else F.lit(n)).alias("partition"), i.cast("string").alias("id"), o.cast("string").alias("other"), p.cast("double").alias("price"))
+        for n, df, i, o, p in found
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(_RUN_SQL)
+def run_batch(spark, sf):
+    """One configuration over text files, without a declared order, into the targets of all five models."""
+    config, root, _ = _run_config(spark, sf)
+    load_all(spark, config, root)
+    return _run_rows(spark, root)
+
+
+@query(_RUN_SQL)
+def run_stream(spark, sf):
+    """The same configuration by streams, a streamed union among them; edges in a second pass."""
+    config, root, checkpoints = _run_config(spark, sf)
+    stream_all(spark, config, root, checkpoints)
+    return _run_rows(spark, root)
+
+
+@query(
+    "SELECT 'relational' AS target, 'orders' AS entity, 'orders_' || o_orderstatus AS partition, count(*) AS rows FROM orders GROUP BY ALL UNION ALL SELECT 'document', 'people', 'people', count(*) FROM customer WHERE c_mktsegment <> 'BUILDING' "
+    "UNION ALL SELECT 'graph', 'person', 'person', count(*) FROM customer UNION ALL SELECT 'graph', 'purchase', 'purchase', count(*) FROM orders WHERE o_orderstatus IN ('F', 'O') "
+    "UNION ALL SELECT 'graph', 'PLACED BY', 'PLACED_BY', count(*) FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey IN (SELECT c_custkey FROM customer)"
+)
+def run_plan(spark, sf):
+    """What a load of three chosen models would store; nothing is stored."""
+    config, root, _ = _run_config(spark, sf)
+    return load_all(spark, config, root, only=["relational", "document", "graph"], dry_run=True)
+
+
+@query("SELECT l_orderkey, count(*) AS n, sum(l_partkey::HUGEINT * 1000000000000000000)::DECIMAL(38, 0)::VARCHAR AS total FROM lineitem GROUP BY ALL")
+def cast_wide(spark, sf):
+    """Integers of more digits than 64 bits hold, through a binder."""
+    text = as_text(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_partkey").cast("string"), F.lit("0" * 18)).alias("big")))
+    entity = Entity("items", "document", (Field("l_orderkey"), Field("big")))
+    rows = Binder({"items": tagged(text, "items")}).bind(entity).shaped()
+    return rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("big").cast("string").alias("total"))
