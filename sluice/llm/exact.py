@@ -19,6 +19,9 @@ STATE = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
+#: A file is taken in however much older it is than the newest one seen.
+NEVER = "36500d"
+
 
 def normalised(text: str = "text") -> Column:
     """The text without its blanks; null counts as empty."""
@@ -62,7 +65,7 @@ def ingest(spark: SparkSession, path: str, work: str, text: str = "text", digest
     try:
         for k, v in STATE.items():
             spark.conf.set(k, v)
-        ledger = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch * 100).parquet(f"{work}/ledger")
+        ledger = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch * 100).option("maxFileAge", NEVER).parquet(f"{work}/ledger")
         state = ledger.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(RANK()).alias("stay"))
         _run(state.writeStream.outputMode("update").foreachBatch(commit), f"{work}/state-checkpoint")
     finally:
@@ -79,7 +82,7 @@ def _folder(spark: SparkSession, path: str) -> tuple[str, str | None]:
 
 
 def _arrivals(spark: SparkSession, path: str, files_per_batch: int):
-    reader, name = spark.readStream.option("maxFilesPerTrigger", files_per_batch), _folder(spark, path)[1]
+    reader, name = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", NEVER), _folder(spark, path)[1]
     return reader if name is None else reader.option("pathGlobFilter", name)
 
 

@@ -1,4 +1,6 @@
+import glob
 import hashlib
+import os
 import re
 import tempfile
 
@@ -54,3 +56,15 @@ def test_query_on_a_single_file(spark):
     got = E.op2_streaming_dedup(spark, SF).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == sorted(brute(rows))
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
+def test_a_file_with_an_old_time_that_comes_later_is_taken_in(spark):
+    tmp = tempfile.mkdtemp(prefix="spark-")
+    for k in range(2):
+        spark.createDataFrame([(k, "same")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp}/in")
+        if k:
+            (late,) = set(glob.glob(f"{tmp}/in/*.parquet")) - seen
+            os.utime(late, (10**9, 10**9))
+        seen = set(glob.glob(f"{tmp}/in/*.parquet"))
+        E.ingest(spark, f"{tmp}/in", f"{tmp}/work")
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in E.verdicts(spark, f"{tmp}/in", f"{tmp}/work").collect()} == {(0, 0, 2), (1, 0, 2)}
