@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, langid, mixing, packing, quality, secretscan, shards, simhash, tokencount
+from . import chat, exact, hardneg, langid, mixing, packing, quality, secretscan, shards, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_randomness_scan": secretscan.op1_randomness_scan,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_size_tiered_shards": shards.op8_size_tiered_shards,
     "op9_chat_fsm": chat.op9_chat_fsm,
     "op10_nnls_packing": packing.op10_nnls_packing,
+    "op11_four_russians": hardneg.op11_four_russians,
 }
 
 ORACLE: dict[str, str] = {
     "op2_streaming_dedup": exact.OP2_SQL,
     "op8_size_tiered_shards": shards.OP8_SQL,
     "op9_chat_fsm": chat.OP9_SQL,
+    "op11_four_russians": hardneg.OP11_SQL,
 }
