@@ -41,3 +41,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def crc32_sql(column: str) -> str:
+    """DuckDB has no crc32: that of a column's ASCII text, bit by bit."""
+    step = "lambda a, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b))"
+    return f"xor(list_reduce(list_transform(string_split({column}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT), {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
