@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, hardneg, langid, mixing, ngrams, packing, quality, secretscan, shards, simhash, tokencount
+from . import chat, exact, hardneg, langid, mixing, ngrams, packing, prefixtrie, quality, secretscan, shards, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_randomness_scan": secretscan.op1_randomness_scan,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nnls_packing": packing.op10_nnls_packing,
     "op11_four_russians": hardneg.op11_four_russians,
     "op12_backoff_automaton": ngrams.op12_backoff_automaton,
+    "op13_prefix_monoid": prefixtrie.op13_prefix_monoid,
 }
 
 ORACLE: dict[str, str] = {
@@ -29,4 +30,5 @@ ORACLE: dict[str, str] = {
     "op9_chat_fsm": chat.OP9_SQL,
     "op11_four_russians": hardneg.OP11_SQL,
     "op12_backoff_automaton": ngrams.OP12_SQL,
+    "op13_prefix_monoid": prefixtrie.OP13_SQL,
 }
