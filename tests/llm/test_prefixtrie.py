@@ -77,7 +77,7 @@ def test_a_conversation_over_many_blocks_and_stretches(spark, monkeypatch):
 def test_a_fingerprint_that_collides_is_found_out(spark, monkeypatch):
     right, seeds = P.bases, []
     monkeypatch.setattr(P, "bases", lambda seed: (seeds.append(seed), [1] * 4 if seed == 1 else right(seed))[1])  # order does not count
-    rows = made(random.Random(8), range(20))
+    rows = made(random.Random(8), range(20)) + [(c, t, "user", x) for c, xs in ((200, "xy"), (300, "yx")) for t, x in enumerate(xs)]
     assert got(P.trie(frame(spark, rows))) == brute(rows)
     assert 2 in seeds
 
