@@ -21,7 +21,7 @@ ORDER, WORTH = 2, 8.0
 #: The base distribution adds so much to each count, one unknown word included.
 ADDED = 0.1
 #: Tokens of a bucket, the documents that one automaton scores.
-BUCKET = 1 << 20
+BUCKET = 1 << 18
 #: n-grams that are counted together in one task, about.
 PART = 1 << 21
 #: The token after a document's last word; no word is empty.
@@ -38,25 +38,21 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def _squeezed(a: np.ndarray) -> bytes:
+def _squeezed(a: np.ndarray, width: int = 4) -> bytes:
     """Numbers byte plane by byte plane, as the upper planes are almost empty."""
-    raw = a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(a).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return _packed(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
 
 
-def _restored(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    raw = pa.decompress(b[8:], decompressed_size=4 * n, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel()
+def _restored(b: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpacked(b), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
-def _packed_words(vocabulary: list[bytes]) -> bytes:
-    raw = b" ".join(vocabulary)
+def _packed(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpacked_words(b: bytes) -> list[bytes]:
-    return pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True).split(b" ")
+def _unpacked(b: bytes) -> bytes:
+    return pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
 
 
 def encode(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -65,7 +61,7 @@ def encode(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def closed(number: int) -> pd.DataFrame:
-            row = (TaskContext.get().partitionId() << 32 | number, sum(map(len, parts)), keys, held, _squeezed(np.array(learned)), _squeezed(np.array([len(p) for p in parts])), _packed_words(list(known)), _squeezed(np.concatenate(parts)))
+            row = (TaskContext.get().partitionId() << 32 | number, sum(map(len, parts)), keys, held, _squeezed(np.array(learned)), _squeezed(np.array([len(p) for p in parts])), _packed(b" ".join(known)), _squeezed(np.concatenate(parts)))
             return pd.DataFrame([row], columns=[c.split(" ")[0] for c in shape.split(", ")])
 
         made, size = 0, 0
@@ -105,7 +101,7 @@ class Bucket:
 
     @classmethod
     def read(cls, row, order: int) -> Bucket:
-        vocabulary, ids = _unpacked_words(row["words"]), _restored(row["ids"]).astype(np.int64)
+        vocabulary, ids = _unpacked(row["words"]).split(b" "), _restored(row["ids"]).astype(np.int64)
         lengths = _restored(row["lengths"]).astype(np.int64)
         learn = np.repeat(_restored(row["learned"]).astype(bool), lengths)
         before = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)  # tokens before it in its document
@@ -163,21 +159,21 @@ def count(buckets: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
                     for p in range(parts):
                         own = by[edges[p] : edges[p + 1]]
                         if len(own):
-                            keys = b" ".join(b.words[i] for i in own) if level == 0 else b.prints[level][own].tobytes()
-                            out.append((level, p, row["bucket"], keys, n[own].astype("<i8").tobytes()))
+                            keys = _packed(b" ".join(b.words[i] for i in own)) if level == 0 else _squeezed(np.diff(b.prints[level][own], prepend=np.uint64(0)), 8)
+                            out.append((level, p, row["bucket"], keys, _squeezed(n[own])))
                     yield pd.DataFrame(out, columns=["level", "part", "bucket", "keys", "counts"])
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         level, p = int(rows["level"].iloc[0]), int(rows["part"].iloc[0])
-        counts = [np.frombuffer(c, "<i8") for c in rows["counts"]]
+        counts = [_restored(c) for c in rows["counts"]]
         edges = np.cumsum([len(c) for c in counts])[:-1]
         if level == 0:
             numbers: dict[bytes, int] = {}
-            where = np.array([numbers.setdefault(w, len(numbers)) for k in rows["keys"] for w in k.split(b" ")], np.int64)
+            where = np.array([numbers.setdefault(w, len(numbers)) for k in rows["keys"] for w in _unpacked(k).split(b" ")], np.int64)
         else:
-            _, where = np.unique(np.frombuffer(b"".join(rows["keys"]), np.uint64), return_inverse=True)
-        sums = np.bincount(where, weights=np.concatenate(counts)).astype("<i8")
-        out = [(level, p, int(k), t.tobytes(), None, None) for k, t in zip(rows["bucket"], np.split(sums[where], edges))]
+            _, where = np.unique(np.concatenate([np.cumsum(_restored(k, 8), dtype=np.uint64) for k in rows["keys"]]), return_inverse=True)
+        sums = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+        out = [(level, p, int(k), _squeezed(t, 8), None, None) for k, t in zip(rows["bucket"], np.split(sums[where], edges))]
         out.append((level, p, None, None, int(sums.sum()), int((sums > 0).sum())))
         found = pd.DataFrame(out, columns=["level", "part", "bucket", "totals", "n", "v"])
         return found.astype({"bucket": "Int64", "n": "Int64", "v": "Int64"})
@@ -252,7 +248,7 @@ def score(docs: DataFrame, order: int = ORDER, worth: float = WORTH, bucket: int
     end; a row without an id is scored, but neither held out nor learned from; repeated rows are learned from and scored
     each; long texts count in whole; an empty table gives no rows. Other columns are not read.
 
-    Each bucket of about a million tokens is scored by an automaton of the n-grams that it holds, with their counts over
+    Each bucket of about a quarter of a million tokens is scored by an automaton of the n-grams that it holds, with their counts over
     the whole corpus; what is shuffled are each bucket's distinct n-grams and, once, its numbered tokens.
     """
     buckets = encode(docs, bucket)
@@ -269,7 +265,7 @@ def score(docs: DataFrame, order: int = ORDER, worth: float = WORTH, bucket: int
             place = _parts(b, level, parts)
             out = np.zeros(len(place), np.int64)
             for p, t in own.items():
-                out[place == p] = np.frombuffer(t, "<i8")
+                out[place == p] = _restored(t, 8)
             sums.append(out)
         model = Automaton(b, sums, n, v, worth)
         out, at = [], 0
