@@ -66,6 +66,20 @@ def merge_properties(stored: DataFrame, new: DataFrame, keys: Sequence[str]) ->
     return joined.select(*keys, *map(value, others))
 
 
+def last_written(df: DataFrame, keys: Sequence[str], load: str, carried: dict[str, list[int]]) -> DataFrame:
+    """One row for each key, each property from the last load that carries it and has the key, null included.
+
+    carried lists the loads that have a column: a null of one of them is a value, a column that a load lacks is none.
+    """
+    by = lambda c: F.when(F.col(load).isin(carried[c]), F.col(load))
+    rows = _no_null_key(df, keys, False)
+    if not carried:
+        return rows.select(*(F.col(f"`{k}`") for k in keys)).distinct()
+    out = rows.groupBy(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys))).agg(*(F.max_by(F.col(f"`{c}`"), by(c)).alias(f"p{i}") for i, c in enumerate(carried)))
+    names = {**{k: f"k{i}" for i, k in enumerate(keys)}, **{c: f"p{i}" for i, c in enumerate(carried)}}
+    return out.select(*(F.col(names[c]).alias(c) for c in df.columns if c in names))
+
+
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys with more than one row: empty where the key is unique."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")

@@ -53,6 +53,10 @@ def fields_from(columns: dict) -> tuple[Field | Nested, ...]:
     return tuple(out)
 
 
+#: Columns that rows carry beside their data.
+INTERNAL = (POSITION, "_partition", "_place", "_rescued", "_text")
+
+
 def select_columns(tokens: list[str | int], header: list[str]) -> list[str]:
     """Names, 1-based places and lo-hi ranges -> column names in header order, each once."""
     chosen: set[int] = set()
@@ -72,7 +76,7 @@ def select_columns(tokens: list[str | int], header: list[str]) -> list[str]:
 def source_column(field: Field, columns: list[str]) -> str:
     """The column that a field reads. The place after the last data column is _source."""
     if isinstance(field.source, int):
-        ordered = [c for c in columns if c not in (SOURCE, POSITION)] + [c for c in columns if c == SOURCE]
+        ordered = [c for c in columns if c not in (SOURCE, *INTERNAL)] + [c for c in columns if c == SOURCE]
         if not 1 <= field.source <= len(ordered):
             raise MappingError(f"{field.name}: there is no column {field.source}")
         return ordered[field.source - 1]

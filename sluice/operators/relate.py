@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +21,36 @@ def orphans(child: DataFrame, foreign_key: str, parent: DataFrame, key: str | No
 
 def reference_report(child: DataFrame, foreign_key: str, parent: DataFrame, key: str | None = None, name: str = "reference", labels: tuple[str, str] = ("child", "parent")) -> DataFrame:
     """One row: constraint, rows with a reference, orphans among them."""
-    constraint = f"{labels[0]}_{labels[1]}_{name}_fk".replace("-", "_")
+    constraint = constraint_name(*labels, name)
     used = child.agg(F.count(F.col(f"`{foreign_key}`")).alias("references"), F.lit(0).cast("long").alias("orphans"))
     lost = orphans(child, foreign_key, parent, key).agg(F.lit(0).cast("long").alias("references"), F.count(F.lit(1)).alias("orphans"))
     return used.union(lost).agg(F.sum("references").alias("references"), F.sum("orphans").alias("orphans")).select(F.lit(constraint).alias("constraint"), "references", "orphans")
 
 
+def constraint_name(child: str, parent: str, name: str) -> str:
+    return f"{child}_{parent}_{name}_fk".replace("-", "_")
+
+
+def constraint_report(tables: dict[str, DataFrame], references: Sequence[tuple[str, str, str, str, str]]) -> DataFrame:
+    """(constraint, references, orphans) of all (child, foreign key, parent, key, name) at once.
+
+    Each table is read once, its rows give an entry for each constraint that they are a child or a parent of; one
+    aggregate over (constraint, key) tells how many rows refer to a key and whether it is there, so a key that very many
+    rows refer to costs a row a task. Keys are compared as text; null ones refer to nothing.
+    """
+    entries: dict[str, list] = {n: [] for n in tables}
+    for child, foreign_key, parent, key, name in references:
+        constraint = F.lit(constraint_name(child, parent, name)).alias("constraint")
+        for table, column, there in ((child, foreign_key, False), (parent, key, True)):
+            entries[table].append(F.struct(constraint, F.col(f"`{column}`").cast("string").alias("key"), F.lit(there).alias("there")))
+    parts = [tables[n].select(F.inline(F.array(*es))) for n, es in entries.items() if es]
+    found = reduce(DataFrame.union, parts).where("key is not null")
+    keys = found.groupBy("constraint", "key").agg(F.count_if(~F.col("there")).alias("n"), F.max("there").alias("there"))
+    counted = keys.groupBy("constraint").agg(F.sum("n").alias("references"), F.sum(F.when(F.col("there"), 0).otherwise(F.col("n"))).alias("orphans"))
+    names = counted.sparkSession.createDataFrame([(constraint_name(c, p, n),) for c, _, p, _, n in references], "constraint string")
+    return names.join(counted, "constraint", "left").select("constraint", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("references", "orphans")))
+
+
 def check_reference(child: DataFrame, foreign_key: str, parent: DataFrame, key: str | None = None) -> None:
     lost = orphans(child, foreign_key, parent, key).count()
     if lost:

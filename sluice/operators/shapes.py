@@ -55,15 +55,13 @@ def to_keyvalue(df: DataFrame, fields: Sequence[Field], order: Sequence[str] = (
 
 
 def to_wide(df: DataFrame, fields: Sequence[Field], partition: Sequence[str], cluster: Sequence[str] = (), order: Sequence[str] = (POSITION,)) -> DataFrame:
-    """Rows upserted by partition and cluster keys, the last wins; keys come first, and rows of a partition lie together in cluster order."""
+    """Rows upserted by partition and cluster keys, the last wins; keys come first. The write puts a partition's rows together, in cluster order."""
     if not partition:
         raise MappingError("a wide-column target needs a partition key")
     rows = as_declared(project(df, flat(tuple(fields)), (*CARRIED, *order)), tuple(fields))
     names = keys_first([f.name for f in fields], list(partition), list(cluster))
     out = dedupe.dedupe(rows, _by(rows, [*partition, *cluster]), list(order), drop_blank=False)
-    out = out.select(*(F.col(f"`{n}`") for n in names), *(c for c in (PARTITION, PLACE) if c in out.columns))
-    place = [F.col(f"`{k}`") for k in (*partition, *cluster)]
-    return out.repartitionByRange(*place).sortWithinPartitions(*place)  # a hot partition key is split by its cluster keys
+    return out.select(*(F.col(f"`{n}`") for n in names), *(c for c in (PARTITION, PLACE) if c in out.columns))
 
 
 def to_nodes(df: DataFrame, fields: Sequence[Field], order: Sequence[str] = (POSITION,)) -> DataFrame:

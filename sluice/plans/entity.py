@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.casts import RESCUED, cast_column, cast_frame, rescued
+from ..functions.casts import RESCUED, cast_column, rescued
 from ..functions.kinds import INTEGER, STRING, Counts, count_kinds, infer_kinds, union_counts
 from ..operators import shapes
 from ..operators.filters import Filter, check_filters, partitioned
@@ -16,6 +16,8 @@ from ..operators.filters import apply_filters as filtered
 from ..operators.mapping import AUTO, HYBRID, MANUAL, Field, MappingError, Nested, effective, expand, fields_from, flat, key_names, leaves, source_column
 from ..sources.scan import POSITION, SOURCE, sample_per_source, union_sources, with_places
 
+#: The texts of a row that is also there with its kinds.
+TEXT = "_text"
 MODELS = ("relational", "document", "keyvalue", "wide", "graph")
 
 
@@ -43,25 +45,27 @@ class Bound:
     fields: tuple[Field | Nested, ...]
     typed: DataFrame
     kinds: dict[str, str] = field(default_factory=dict)
-    text: DataFrame | None = None
     wide: frozenset[str] = frozenset()
 
     def lost(self) -> DataFrame:
-        """The text rows with cells that their kinds cannot hold, these cells in _rescued: what shaped() shows as null."""
-        return self.text.withColumn(RESCUED, rescued(self.text.columns, self.kinds, self.wide)).where(F.size(RESCUED) > 0)
+        """The filtered rows' texts with cells that their kinds cannot hold, these cells in _rescued: what shaped() shows as null."""
+        return self._filtered(self.typed).where(F.size(RESCUED) > 0).select(f"{TEXT}.*", RESCUED)
 
     def planned(self) -> DataFrame:
         """What a load counts: relational rows and nodes once for each key, of other models every row."""
         return self.shaped() if self.entity.model in ("relational", "graph") else self.rows()
 
     def rows(self) -> DataFrame:
-        """Filtered rows with _partition."""
+        """Filtered rows with _partition, cells that do not fit in _rescued."""
+        return self._filtered(self.typed).drop(TEXT)
+
+    def _filtered(self, df: DataFrame) -> DataFrame:
         e = self.entity
-        return partitioned(filtered(self.typed, list(e.filters), self.kinds), list(e.filters), e.name)
+        return partitioned(filtered(df, list(e.filters), self.kinds), list(e.filters), e.name)
 
-    def shaped(self) -> DataFrame:
-        """The rows as the model stores them."""
-        e, rows = self.entity, self.rows().drop(RESCUED)
+    def shaped(self, rows: DataFrame | None = None) -> DataFrame:
+        """The rows (those of rows() if none are given) as the model stores them."""
+        e, rows = self.entity, (self.rows() if rows is None else rows).drop(RESCUED)
         if e.model == "relational":
             return shapes.to_relational(rows, self.fields, e.order)
         if e.model == "document":
@@ -107,13 +111,15 @@ class Binder:
             counts = union_counts(map(self.counts, names))
             kinds = {n: c.kind() for n, c in counts.items()} | {SOURCE: "string"}
             wide = frozenset(n for n, c in counts.items() if c.kind() == INTEGER and c.wides)
-        typed = cast_frame(df.drop(POSITION), kinds, wide) if POSITION not in df.columns else _cast_with_place(df, kinds, wide)
-        return Bound(e, fields, typed, kinds, df.drop(POSITION), wide)
+        return Bound(e, fields, _cast_with_text(df, kinds, wide), kinds, wide)
 
 
-def _cast_with_place(df: DataFrame, kinds: dict[str, str], wide: frozenset[str]) -> DataFrame:
-    """The typed columns with the rows' places; a place is no data and is not cast."""
-    return df.select(F.col(POSITION), *(cast_column(F.col(f"`{c}`"), kinds.get(c, STRING), c in wide).alias(c) for c in df.columns if c != POSITION))
+def _cast_with_text(df: DataFrame, kinds: dict[str, str], wide: frozenset[str]) -> DataFrame:
+    """The typed columns, with the rows' places (no data, so not cast), their texts in _text and the cells that do not fit in _rescued."""
+    data = [c for c in df.columns if c != POSITION]
+    typed = (cast_column(F.col(f"`{c}`"), kinds.get(c, STRING), c in wide).alias(c) for c in data)
+    place = [c for c in df.columns if c == POSITION]
+    return df.select(*place, *typed, F.struct(*(F.col(f"`{c}`") for c in data)).alias(TEXT), rescued(data, kinds, wide).alias(RESCUED))
 
 
 def check_entity(e: Entity, df: DataFrame) -> None:
@@ -169,14 +175,14 @@ def key_field(b: Bound) -> Field:
     return own
 
 
-def edge_rows(edge: Edge, bound: dict[str, Bound]) -> DataFrame:
-    """(src, dst, type, properties) of an edge; both ends must be nodes."""
+def edge_rows(edge: Edge, bound: dict[str, Bound], rows: DataFrame | None = None) -> DataFrame:
+    """(src, dst, type, properties) of an edge, from the rows of its start (or those given); both ends must be nodes."""
     if missing := [n for n in (edge.start, edge.end) if n not in bound]:
         raise MappingError(f"{edge.type}: no entity {missing}")
     a, b = bound[edge.start], bound[edge.end]
     first, second = key_field(a), key_field(b)
     ends = [source_column(f, a.typed.columns) for f in (first, second)]
-    return shapes.to_edges(a.rows(), *ends, edge.type, a.shaped(), first.name, b.shaped(), second.name, edge.properties, a.entity.order)
+    return shapes.to_edges(a.rows() if rows is None else rows, *ends, edge.type, a.shaped(), first.name, b.shaped(), second.name, edge.properties, a.entity.order)
 
 
 def relations_from(config: dict) -> tuple[list[Reference], list[Edge]]:

@@ -6,6 +6,7 @@ Each model has a Store of its own under the run's folder; the edges of a graph a
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import replace
 from urllib.parse import quote
@@ -19,7 +20,9 @@ from .functions.text import label_text
 from .operators.filters import PARTITION
 from .operators.mapping import MappingError, key_names, source_column
 from .plans.entity import MODELS, Binder, Bound, Edge, Entity, check_references, edge_rows, entities_from, key_field, relations_from, sample_kinds
-from .plans.reports import plan_counts
+from .operators.relate import DanglingReference, constraint_report
+from .plans.reports import Metrics, plan_counts
+from .sinks import files
 from .sinks.tables import Store, write
 from .sources.scan import POSITION, SOURCE, load_sources, union_sources, with_places
 from .streaming.stream import EdgeStream, EntityStream, run_batches, stream_sources
@@ -58,29 +61,75 @@ def _edge_keys(edge: Edge) -> list[str]:
     return ["src", "dst", *(f.name for f in edge.properties if f.key)]
 
 
-def run_batch(spark: SparkSession, config: dict, root: str, only: Iterable[str] | None = None, dry_run: bool = False, overrides: dict | None = None, create: bool = True) -> DataFrame:
+def run_batch(spark: SparkSession, config: dict, root: str, only: Iterable[str] | None = None, dry_run: bool = False, overrides: dict | None = None, create: bool = True, base: str | None = None, clean: bool = False, strict: bool = False, metrics: Metrics | None = None) -> DataFrame:
     """Load all entities, then the edges between them; (target, entity, partition, rows) of what is stored after.
 
-    dry_run stores nothing and gives the counts that a load would write. Text rows with cells that do not fit their kinds
-    are kept in <entity>_rescued. Each entity is written under its model's re-run rules, so a run may be repeated.
+    dry_run stores nothing and gives the counts that a load would write. Each entity is written under its model's re-run
+    rules, so a run may be repeated; clean forgets what the targets held before. Text rows that pass the filters and have
+    cells that do not fit their kinds are kept in <entity>_rescued, those of the last run. A target without a row, and
+    references to keys that are not there, are warned of; with strict such references are an error, after the load.
+    metrics gets the rows and seconds of each target, counted by the load itself.
     """
-    plan = bind_run(config, load_sources(spark, config["sources"], overrides), only)
+    metrics = metrics if metrics is not None else Metrics()
+    plan = bind_run(config, load_sources(spark, config["sources"], overrides, base), only)
     if dry_run:
         rows = [(m, n, b.planned()) for m, (bound, _) in plan.items() for n, b in bound.items()]
         rows += [(m, e.type, edge_rows(e, bound).withColumn(PARTITION, F.lit(label_text(e.type)))) for m, (bound, edges) in plan.items() for e in edges]
         return plan_counts(rows)
     for model, (bound, edges) in plan.items():
         store = Store(spark, f"{root}/{model}", create)
+        if clean:
+            clean_targets(store, config, model)
         for name, b in bound.items():
-            write(b.shaped(), store, name, model, _keys(b.entity, b))
-            lost = b.lost()
-            if not lost.isEmpty():
-                store.append(f"{name}{RESCUED}", lost)
+            lost = metrics.stored(store, model, name, b.rows(), lambda rows, b=b, name=name: write(b.shaped(rows), store, name, model, _keys(b.entity, b)))
+            if lost or store.exists(f"{name}{RESCUED}"):
+                store.append(f"{name}{RESCUED}", b.lost(), load="batch")
         for edge in edges:
-            write(edge_rows(edge, bound), store, label_text(edge.type), model, _edge_keys(edge))
+            name = label_text(edge.type)
+            metrics.stored(store, model, name, bound[edge.start].rows(), lambda rows, edge=edge, name=name: write(edge_rows(edge, bound, rows), store, name, model, _edge_keys(edge)))
+    _told(spark, config, root, only, metrics, strict, True)
     return stored_counts(spark, config, root, only)
 
 
+def _names(config: dict, model: str) -> list[tuple[str, str]]:
+    """(entity or edge type, name of its target) of a model."""
+    entities = [(e.name, e.name) for e in entities_from({model: config[model]})]
+    return entities + [(e.type, label_text(e.type)) for e in relations_from({model: config[model]})[1]]
+
+
+def clean_targets(store: Store, config: dict, model: str) -> None:
+    """Forget the targets of a model, and the rows that were rescued beside them."""
+    for _, name in _names(config, model):
+        store.clean(name)
+        store.clean(f"{name}{RESCUED}")
+
+
+def run_references(spark: SparkSession, config: dict, root: str, only: Iterable[str] | None = None) -> DataFrame | None:
+    """(constraint, references, orphans) of all foreign keys among the stored targets, in one pass; none if there are none."""
+    for model in chosen_models(config, only):
+        references, _ = relations_from({model: config[model]})
+        if references:
+            store = Store(spark, f"{root}/{model}")
+            tables = {n: store.read(n) for r in references for n in (r.child, r.parent)}
+            return constraint_report(tables, [(r.child, r.foreign_key, r.parent, r.key or r.foreign_key, r.name) for r in references])
+    return None
+
+
+def _told(spark: SparkSession, config: dict, root: str, only: Iterable[str] | None, metrics: Metrics, strict: bool, first: bool) -> None:
+    """What a load warns of, and refuses where it is strict; a stream that goes on may find nothing new."""
+    for model in chosen_models(config, only):
+        for _, name in _names(config, model):
+            if not metrics.total(model, name, "write") and (first or not Store(spark, f"{root}/{model}").exists(name)):
+                warnings.warn(f"{model}: nothing was written to {name}", stacklevel=3)
+    report = run_references(spark, config, root, only)
+    dangling = [] if report is None else report.where("orphans > 0").orderBy("constraint").collect()
+    if dangling:
+        said = ", ".join(f"{r['constraint']}: {r['orphans']} of {r['references']}" for r in dangling)
+        if strict:
+            raise DanglingReference(said)
+        warnings.warn(f"rows that refer to no key: {said}", stacklevel=3)
+
+
 def _keys(e: Entity, b: Bound) -> list[str]:
     if e.model == "keyvalue":
         return ["key"]
@@ -95,9 +144,7 @@ def stored_counts(spark: SparkSession, config: dict, root: str, only: Iterable[s
     def targets() -> Iterator[tuple[str, str, DataFrame]]:
         for model in chosen_models(config, only):
             store = Store(spark, f"{root}/{model}")
-            names = [(e.name, e.name) for e in entities_from({model: config[model]})]
-            names += [(e.type, label_text(e.type)) for e in relations_from({model: config[model]})[1]]
-            for entity, name in names:
+            for entity, name in _names(config, model):
                 if store.exists(name):
                     rows = store.read(name)
                     yield model, entity, rows if PARTITION in rows.columns else rows.withColumn(PARTITION, F.lit(name))
@@ -105,17 +152,22 @@ def stored_counts(spark: SparkSession, config: dict, root: str, only: Iterable[s
     return plan_counts(targets())
 
 
-def run_stream(spark: SparkSession, config: dict, root: str, checkpoints: str, only: Iterable[str] | None = None, overrides: dict | None = None, sample: int = 8192, files_per_batch: int = 1) -> DataFrame:
+def run_stream(spark: SparkSession, config: dict, root: str, checkpoints: str, only: Iterable[str] | None = None, overrides: dict | None = None, sample: int = 8192, files_per_batch: int = 1, base: str | None = None, clean: bool = False, strict: bool = False, metrics: Metrics | None = None) -> DataFrame:
     """The same load by streams over files, up to what is there now; a later call goes on with the files that came since.
 
     Entities that read the same sources share one stream, over the union of its sources where there are several, widened to
     the superset of their columns. Kinds are bound first, from the first rows of each source (`sample`); what does not fit
     them later goes to <entity>_rescued. Edges are read in a second pass, after all nodes are stored. Rows have the places
-    of a batch run (source, file, row), so first and last wins give the same rows in both.
+    of a batch run (source, file, row), so first and last wins give the same rows in both. clean, strict and metrics are
+    those of a batch run; clean forgets the checkpoints too, so that all files are read again.
     """
-    samples, streams = stream_sources(spark, config["sources"], overrides, files_per_batch)
+    metrics = metrics if metrics is not None else Metrics()
+    samples, streams = stream_sources(spark, config["sources"], overrides, files_per_batch, base)
     for model in chosen_models(config, only):
         store, found = Store(spark, f"{root}/{model}"), {}
+        if clean:
+            clean_targets(store, config, model)
+            files.remove(spark, f"{checkpoints}/{model}")
         groups: dict[tuple[str, ...], list[Entity]] = {}
         for e in entities_from({model: config[model]}):
             groups.setdefault(source_names(e), []).append(e)
@@ -124,14 +176,15 @@ def run_stream(spark: SparkSession, config: dict, root: str, checkpoints: str, o
             binder = Binder(samples)
             bound = {e.name: binder.bind(e, kinds) for e in entities}
             found |= bound
-            loader = EntityStream(store, [replace(b.entity, columns=b.fields) for b in bound.values()], kinds)
+            loader = EntityStream(store, [replace(b.entity, columns=b.fields) for b in bound.values()], kinds, metrics)
             run_batches(_united(names, streams), loader, f"{checkpoints}/{model}/{_folder(names)}")
         for edge in _relations(config, model, found):
             start, end = found[edge.start], found[edge.end]
             first, second = key_field(start), key_field(end)
             ends = tuple(source_column(f, start.typed.columns) for f in (first, second))
-            loader = EdgeStream(store, label_text(edge.type), ends, ((edge.start, first.name), (edge.end, second.name)), start.kinds, edge.properties, start.entity.order, start.entity.filters)
+            loader = EdgeStream(store, label_text(edge.type), ends, ((edge.start, first.name), (edge.end, second.name)), start.kinds, edge.properties, start.entity.order, start.entity.filters, metrics)
             run_batches(_united(source_names(start.entity), streams), loader, f"{checkpoints}/{model}/edge/{_folder((edge.type,))}")
+    _told(spark, config, root, only, metrics, strict, False)
     return stored_counts(spark, config, root, only)
 
 

@@ -27,8 +27,8 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def publish(spark: SparkSession, path: str, text: str) -> None:
-    """Make a file that readers see whole or not at all; FileExistsError if there is one already."""
+def publish(spark: SparkSession, path: str, text: str, over: bool = False) -> None:
+    """Make a file that readers see whole or not at all; FileExistsError if there is one already, unless it goes over it."""
     fs, p = _at(spark, path)
     _, made = _at(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
     out = fs.create(made, False)
@@ -36,8 +36,12 @@ def publish(spark: SparkSession, path: str, text: str) -> None:
     out.close()
     jvm = spark._jvm
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, int(over))
+    if over:
+        options[0] = kind.OVERWRITE
     try:
-        context.rename(made, p, spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        context.rename(made, p, options)
     except Exception as e:
         fs.delete(made, False)
         if "FileAlreadyExists" in str(e) or "already exists" in str(e):

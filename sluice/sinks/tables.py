@@ -1,10 +1,11 @@
-"""Stored targets: Parquet folders with the duplicate and re-run rules of each model."""
+"""Stored targets: plain Parquet folders, one for each load and batch, with the duplicate and re-run rules of each model."""
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,123 +19,171 @@ from . import files
 
 Writer = Callable[[DataFrame, "Store", str, Sequence[str]], None]
 _WRITERS: dict[str, Writer] = {}
-#: Parts are folders named like partitions, so that one scan reads many of them.
-PART = "part-batch"
+#: A batch's folder is named like a partition, so that one scan reads all batches of a load. What a load is stands in TOLD.
+BATCH, TOLD = "_load_batch", "_load.json"
+#: What a later load does to rows that are stored under its keys: nothing is unique; it leaves them; it takes their place;
+#: it overwrites the properties that it carries.
+APPEND, INSERT, UPSERT, MERGE = "append", "insert", "upsert", "merge"
 
 
 class MissingTarget(FileNotFoundError):
     """The target does not exist and may not be created."""
 
 
+@dataclass(frozen=True)
+class Load:
+    """One load of a target: its folder, columns and keys, and the rules within it (wins) and against earlier loads (across)."""
+
+    folder: str
+    schema: StructType
+    keys: tuple[str, ...]
+    across: str
+    wins: str
+    alone: bool  # nothing before it counts
+    upto: int  # batches up to this one are in the folder `compacted`
+    compacted: str | None
+
+
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
 class Store:
-    """Targets under one folder, each a list of immutable parts.
-
-    A load writes its own rows as a new part and then publishes a version that lists it, so the work of a load is that
-    of its rows and not of all stored ones, a failed load leaves no trace, and of two writers of a version one fails.
-    Where a target is upserted, a load's rows hide those of earlier loads with the same keys when it is read, and of a
-    load's parts (a stream has one for each batch) the row with the last place wins; compact() makes one part of all.
-    The version also lists each stream's last stored batch and the version that it began after, so that a batch which is
-    run again, after a restart too, is stored once.
+    """Targets under one folder. A target has a folder for each load, numbered as they began, and a load one for each batch.
+
+    A batch is written over itself, so one that runs again, after a restart too, is stored once: a stream's load bears the
+    id that its checkpoint holds, so neither another stream nor a new checkpoint at the same path meets its batches. The
+    work of a write is that of its own rows. Rows are settled when they are read: of one load's rows with the same keys
+    the first or last by _place stays, then the loads' rule decides; each is one aggregate over one scan of a load. A load
+    is seen once its description is there, which a failed first batch leaves out.
     """
 
     def __init__(self, spark: SparkSession, root: str, create: bool = True, rows_per_file: int | None = None) -> None:
         self.spark, self.root, self.create, self.rows_per_file = spark, root.rstrip("/"), create, rows_per_file
 
-    def _latest(self, name: str, version: int | None = None) -> tuple[int, dict]:
-        """The last version (or a given one): its number, and what it lists."""
-        versions = [n for n in files.names(self.spark, f"{self.root}/{name}") if n.startswith("v")]
-        if version is not None:
-            versions = [f"v{version:08d}"] if version else []
-        if not versions:
-            return 0, {"parts": [], "keys": []}
-        return int(versions[-1][1:]), json.loads(files.read_text(self.spark, f"{self.root}/{name}/{versions[-1]}"))
+    # loads
+
+    def _folders(self, name: str) -> list[str]:
+        return [n for n in files.names(self.spark, f"{self.root}/{name}") if n.startswith("load=")]
+
+    def _load(self, name: str, folder: str) -> Load | None:
+        at = f"{self.root}/{name}/{folder}"
+        if TOLD not in files.names(self.spark, at):
+            return None
+        told = json.loads(files.read_text(self.spark, f"{at}/{TOLD}"))
+        return Load(at, StructType.fromJson(told["schema"]), tuple(told["keys"]), told["across"], told["wins"], told["alone"], told["upto"], told["compacted"])
+
+    def loads(self, name: str) -> list[Load]:
+        """The loads that count, in the order in which they began."""
+        found = [x for x in (self._load(name, n) for n in self._folders(name)) if x]
+        alone = max((k for k, x in enumerate(found) if x.alone), default=0)
+        return found[alone:]
 
     def exists(self, name: str) -> bool:
-        return bool(self._latest(name)[0])
-
-    def _scan(self, name: str, parts: list[dict]) -> DataFrame:
-        """Rows of parts, one scan for each schema among them."""
-        by: dict[str, list[dict]] = {}
-        for p in parts:
-            by.setdefault(json.dumps(p["schema"]), []).append(p)
-        reader = lambda p: self.spark.read.schema(StructType.fromJson(p["schema"])).option("basePath", f"{self.root}/{name}")
-        scans = [reader(ps[0]).parquet(*(f"{self.root}/{name}/{p['folder']}" for p in ps)).drop(PART) for ps in by.values()]
-        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), scans)
-
-    def _loads(self, name: str, now: dict) -> list[tuple[str, DataFrame]]:
-        """Each load's rows, one for each key: the last by their places (or the first, if the target keeps the first)."""
-        by: dict[str, list[dict]] = {}
-        for p in now["parts"]:
-            by.setdefault(p.get("load") or p["folder"], []).append(p)
-        one = lambda rows: dedupe.dedupe(rows, now["keys"], [PLACE] if PLACE in rows.columns else [], now.get("keep", dedupe.LAST), drop_blank=False)
-        return [(load, one(self._scan(name, ps)) if len(ps) > 1 else self._scan(name, ps)) for load, ps in by.items()]
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        """The stored rows, with _partition as a column that filters prune folders by. Rows of a later load hide earlier ones with their keys."""
-        version, now = self._latest(name, version)
-        if not version:
-            raise MissingTarget(name)
-        if not now["keys"]:
-            return self._scan(name, now["parts"])
-        loads = [rows.drop(PLACE) for _, rows in self._loads(name, now)]
-        if len(loads) == 1:
-            return loads[0]
-        rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (p.withColumn("_load", F.lit(k)) for k, p in enumerate(loads)))
-        return dedupe.dedupe(rows, now["keys"], ["_load"], drop_blank=False).drop("_load")
+        return bool(self.loads(name))
 
-    def stored(self, name: str) -> DataFrame | None:
-        return self.read(name) if self.exists(name) else None
+    def _tell(self, x: Load) -> None:
+        told = {"schema": x.schema.jsonValue(), "keys": x.keys, "across": x.across, "wins": x.wins, "alone": x.alone, "upto": x.upto, "compacted": x.compacted}
+        files.publish(self.spark, f"{x.folder}/{TOLD}", json.dumps(told), over=True)
 
-    def before(self, name: str, load: str | None) -> DataFrame | None:
-        """What was stored before a load began."""
-        version, now = self._latest(name)
-        version = now.get("loads", {}).get(load, {}).get("since", version)
-        return self.read(name, version) if version else None
+    def store(self, name: str, rows: DataFrame, keys: Sequence[str] = (), across: str = APPEND, load: str | None = None, batch: int = 0, wins: str = dedupe.LAST, alone: bool = False, order: Sequence[str] = ()) -> str | None:
+        """Write a batch of a load, over itself if it is stored; its folder, or none where a compaction has taken it in.
 
-    def _write(self, name: str, rows: DataFrame) -> dict:
-        part = f"{PART}={uuid.uuid4().hex}"
-        if PARTITION in rows.columns:
+        With order, the rows of a partition lie in that order, in files of separate ranges.
+        """
+        folders = self._folders(name)
+        if not folders and not self.create:
+            raise MissingTarget(name)
+        load = load or uuid.uuid4().hex
+        number = max((int(n[5:11]) for n in folders), default=-1) + 1
+        folder = next((n for n in folders if n[12:] == load), f"load={number:06d}-{load}")
+        known = self._load(name, folder)
+        if known and batch <= known.upto:
+            return None
+        at = f"{self.root}/{name}/{folder}"
+        self._write(f"{at}/{BATCH}={batch}", rows, order)
+        if not known:
+            self._tell(Load(at, rows.schema, tuple(keys), across, wins, alone, -1, None))
+        return f"{at}/{BATCH}={batch}"
+
+    def _write(self, path: str, rows: DataFrame, order: Sequence[str]) -> None:
+        parts = [PARTITION] if PARTITION in rows.columns else []
+        if order:
+            by = [F.col(f"`{c}`") for c in (*parts, *(o for o in order if o not in parts))]
+            rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)  # a hot partition is cut by its keys, and the write keeps this order
+        elif parts:
             rows = rows.hint("rebalance", PARTITION)  # rows of a partition together, a hot one in several tasks
-        writer = rows.write.partitionBy(PARTITION) if PARTITION in rows.columns else rows.write
+        writer = rows.write.mode("overwrite").partitionBy(*parts)
         if self.rows_per_file:
             writer = writer.option("maxRecordsPerFile", self.rows_per_file)
-        writer.parquet(f"{self.root}/{name}/{part}")
-        return {"folder": part, "schema": rows.schema.jsonValue()}  # a part without rows has no file to tell its columns
-
-    def _put(self, name: str, rows: DataFrame, keep: bool, keys: Sequence[str] = (), load: str | None = None, batch: int | None = None, wins: str = dedupe.LAST) -> None:
-        """Write and publish a part. A batch of a load that is stored already is not stored again."""
-        version, now = self._latest(name)
-        if not version and not self.create:
+        writer.parquet(path)
+
+    # rows
+
+    def _batches(self, x: Load) -> list[str]:
+        numbers = sorted(int(n.split("=")[1]) for n in files.names(self.spark, x.folder) if n.startswith(f"{BATCH}="))
+        return ([x.compacted] if x.compacted else []) + [f"{BATCH}={k}" for k in numbers if k > x.upto]
+
+    def _rows(self, x: Load) -> DataFrame:
+        """A load's rows, one for each key."""
+        batches = self._batches(x)
+        rows = self.spark.read.schema(x.schema).option("basePath", x.folder).parquet(*(f"{x.folder}/{b}" for b in batches)) if batches else self.spark.createDataFrame([], x.schema)
+        rows = rows.select(*(F.col(f"`{c}`") for c in x.schema.names))
+        if x.keys and len(batches) > 1:
+            return dedupe.dedupe(rows, x.keys, [PLACE] if PLACE in rows.columns else [], x.wins, drop_blank=False)
+        return rows
+
+    def read(self, name: str) -> DataFrame:
+        """The stored rows, with _partition as a column that filters prune folders by."""
+        loads = self.loads(name)
+        if not loads:
             raise MissingTarget(name)
-        loads = now.get("loads", {})
-        if load is not None and batch is not None:
-            if batch <= loads.get(load, {}).get("batch", -1):
-                return
-            loads = loads | {load: {"batch": batch, "since": loads.get(load, {}).get("since", version)}}
-        made = self._write(name, rows) | ({"load": load} if load is not None else {})
-        files.publish(self.spark, f"{self.root}/{name}/v{version + 1:08d}", json.dumps({"parts": [*now["parts"], made] if keep else [made], "keys": list(keys), "loads": loads, "keep": wins}))
+        parts = [self._rows(x).drop(PLACE) for x in loads]
+        last = loads[-1]
+        if len(loads) == 1 or last.across == APPEND or not last.keys:
+            return _union(parts)
+        rows = _union(p.withColumn("_load", F.lit(k)) for k, p in enumerate(parts))
+        if last.across != MERGE:
+            return dedupe.dedupe(rows, last.keys, ["_load"], dedupe.FIRST if last.across == INSERT else dedupe.LAST, drop_blank=False).drop("_load")
+        carried = {c: [k for k, p in enumerate(parts) if c in p.columns] for c in rows.columns if c not in (*last.keys, "_load")}
+        return dedupe.last_written(rows, last.keys, "_load", carried)
+
+    def written(self, folder: str) -> DataFrame:
+        """(partition, rows) of a batch's folder: no column is read, so Parquet's footers give the counts."""
+        name = folder[: folder.rindex("/load=")].rsplit("/", 1)[1]
+        found = self.spark.read.schema(f"{PARTITION} string").option("basePath", folder).parquet(folder)
+        return found.groupBy(F.coalesce(PARTITION, F.lit(name)).alias("partition")).agg(F.count(F.lit(1)).alias("rows"))
+
+    def stored(self, name: str) -> DataFrame | None:
+        return self.read(name) if self.exists(name) else None
+
+    # by rule
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """These rows are all."""
-        self._put(name, rows, False)
+        self.store(name, rows, alone=True)
 
-    def append(self, name: str, rows: DataFrame, load: str | None = None, batch: int | None = None) -> None:
+    def append(self, name: str, rows: DataFrame, load: str | None = None, batch: int = 0) -> str | None:
         """These rows beside the stored ones."""
-        now = self._latest(name)[1]
-        self._put(name, rows, True, now["keys"], load, batch, now.get("keep", dedupe.LAST))
+        return self.store(name, rows, load=load, batch=batch)
 
-    def upsert(self, name: str, rows: DataFrame, keys: Sequence[str], load: str | None = None, batch: int | None = None, wins: str = dedupe.LAST) -> None:
-        """These rows, one for each key, instead of the stored ones with the same keys; within one load by their _place."""
-        self._put(name, rows, True, keys, load, batch, wins)
+    def upsert(self, name: str, rows: DataFrame, keys: Sequence[str], load: str | None = None, batch: int = 0, wins: str = dedupe.LAST, order: Sequence[str] = ()) -> str | None:
+        """These rows, one for each key, instead of those of earlier loads with the same keys; within one load by their _place."""
+        return self.store(name, rows, keys, UPSERT, load, batch, wins, order=order)
 
     def compact(self, name: str) -> None:
-        """One part of all, or of each load whose rows have places; readers of earlier versions keep theirs."""
-        version, now = self._latest(name)
-        if not any(f["name"] == PLACE for p in now["parts"] for f in p["schema"]["fields"]):
-            parts = [self._write(name, self.read(name))]
+        """One folder for each load; one for all where no load has places, that is where no stream may still add to one."""
+        loads = self.loads(name)
+        if loads and not any(PLACE in x.schema.names for x in loads):
+            last = loads[-1]
+            self.store(name, self.read(name), last.keys, last.across, alone=True)
         else:
-            parts = [self._write(name, rows) | {"load": load} for load, rows in self._loads(name, now)]
-        files.publish(self.spark, f"{self.root}/{name}/v{version + 1:08d}", json.dumps(now | {"parts": parts}))
+            for x in loads:
+                if len(batches := self._batches(x)) > 1:
+                    made = f"{BATCH}=-{uuid.uuid4().int >> 64}"
+                    self._write(f"{x.folder}/{made}", self._rows(x), [])
+                    upto = max(int(b.split("=")[1]) for b in batches)
+                    self._tell(Load(x.folder, x.schema, x.keys, x.across, x.wins, x.alone, upto, made))
 
     def clean(self, name: str) -> None:
         """Forget all that a target has stored."""
@@ -156,44 +205,28 @@ def register_sink(model: str, writer: Writer) -> None:
     _WRITERS[model] = writer
 
 
-def write(df: DataFrame, store: Store, name: str, model: str, keys: Sequence[str] = ()) -> None:
-    """Store a load under the rules of its model."""
-    _WRITERS[model](df, store, name, keys)
-
-
-def _scoped(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    return [*([PARTITION] if PARTITION in df.columns else []), *keys]
-
-
-def _relational(df: DataFrame, store: Store, name: str, keys: Sequence[str]) -> None:
-    old = store.stored(name) if keys else None
-    if old is not None:
-        scoped = _scoped(df, keys)
-        df = df.join(old.select(*scoped), scoped, "left_anti").select(*df.columns)
-    store.append(name, df)
+def write(df: DataFrame, store: Store, name: str, model: str, keys: Sequence[str] = ()) -> str | None:
+    """Store a load under the rules of its model; the folder that it lies in, where the sink tells it."""
+    return _WRITERS[model](df, store, name, keys)
 
 
-def _document(df: DataFrame, store: Store, name: str, keys: Sequence[str]) -> None:
-    store.append(name, df)
+def scoped(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """Keys are unique within a partition."""
+    return [*([PARTITION] if PARTITION in df.columns else []), *keys] if keys else []
 
 
-def _upserted(df: DataFrame, store: Store, name: str, keys: Sequence[str]) -> None:
-    store.upsert(name, df, _scoped(df, keys))
+#: What a later load of each model does to stored keys.
+RULES = {"relational": INSERT, "document": APPEND, "keyvalue": UPSERT, "wide": UPSERT, "graph": MERGE}
 
 
-def _merged(df: DataFrame, store: Store, name: str, keys: Sequence[str]) -> None:
-    """Only the nodes that the load touches are merged and written."""
-    old, scoped = store.stored(name), _scoped(df, keys)
-    if old is not None:
-        df = dedupe.merge_properties(old.join(df.select(*scoped), scoped, "left_semi"), df, scoped)
-    store.upsert(name, df, scoped)
+def store_as(model: str, store: Store, name: str, df: DataFrame, keys: Sequence[str], load: str | None = None, batch: int = 0, wins: str = dedupe.LAST) -> str | None:
+    """Store a batch under the rule of its model; wide rows in the order of their keys."""
+    keys = [] if RULES[model] == APPEND else scoped(df, keys)
+    return store.store(name, df, keys, RULES[model] if keys else APPEND, load, batch, wins, order=keys if model == "wide" else ())
 
 
-register_sink("relational", _relational)
-register_sink("document", _document)
-register_sink("keyvalue", _upserted)
-register_sink("wide", _upserted)
-register_sink("graph", _merged)
+for _model in RULES:
+    register_sink(_model, lambda df, store, name, keys, model=_model: store_as(model, store, name, df, keys))
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], batch: int = 500) -> None:

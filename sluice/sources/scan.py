@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -99,11 +100,21 @@ def missing_origins(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
     return names.join(df.select(SOURCE).distinct(), SOURCE, "left_anti")
 
 
-def load_sources(spark: SparkSession, declared: dict, overrides: dict | None = None) -> dict[str, DataFrame]:
+def resolved(name: str, spec, overrides: dict | None = None, base: str | None = None):
+    """What a source is read from: an override as it stands, else what is declared, a relative path from the folder `base`."""
+    if name in (overrides or {}):
+        return overrides[name]
+    file = spec["file"] if isinstance(spec, dict) else spec
+    absolute = not isinstance(file, str) or file.startswith("/") or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", file)
+    return file if base is None or absolute else f"{base.rstrip('/')}/{file}"
+
+
+def load_sources(spark: SparkSession, declared: dict, overrides: dict | None = None, base: str | None = None) -> dict[str, DataFrame]:
     """name -> table for a declaration name -> path, DataFrame, or {"file": path or DataFrame, "origin_column": True}.
 
     A combined source gives the whole under its own name and a slice under each origin; slices are filters, not
-    copies. All names must differ. An override replaces the path of a declared name.
+    copies. All names must differ. An override replaces the path of a declared name. Relative declared paths are taken
+    from `base`, the configuration's folder, where it is given.
     """
     overrides = overrides or {}
     if unknown := set(overrides) - set(declared):
@@ -117,7 +128,7 @@ def load_sources(spark: SparkSession, declared: dict, overrides: dict | None = N
 
     for name, spec in declared.items():
         whole = isinstance(spec, dict) and bool(spec.get("origin_column"))
-        file = overrides.get(name, spec["file"] if isinstance(spec, dict) else spec)
+        file = resolved(name, spec, overrides, base)
         df = as_text(file) if isinstance(file, DataFrame) else read_any(spark, file)
         if not whole:
             put(name, tagged(df, name))

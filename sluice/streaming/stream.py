@@ -12,12 +12,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions.casts import RESCUED, cast_column, rescued
 from ..functions.kinds import STRING
 from ..operators import dedupe, shapes
-from ..operators.filters import PARTITION, Filter, partitioned
+from ..operators.filters import Filter, partitioned
 from ..operators.filters import apply_filters as filtered
 from ..operators.mapping import Field
-from ..plans.entity import Entity
-from ..sinks.tables import Store
-from ..sources.scan import POSITION, SourceError, as_text, combined, load_sources, read_any, slice_of, tagged
+from ..plans.entity import TEXT, Entity
+from ..plans.reports import Metrics
+from ..sinks.tables import Store, store_as
+from ..sources.scan import POSITION, SourceError, as_text, combined, load_sources, read_any, resolved, slice_of, tagged
 
 BatchRule = Callable[[DataFrame, int], None]
 #: A file is read however much older it is than the newest one seen.
@@ -25,25 +26,17 @@ NEVER = "36500d"
 
 
 def run_batches(stream: DataFrame, rule: BatchRule, checkpoint: str) -> None:
-    """Everything that is there now, batch by batch; a later call goes on where this one ended.
-
-    A rule that stores is told the checkpoint first: it names the load, of which each batch is stored once.
-    """
-    if hasattr(rule, "load"):
-        rule.load = checkpoint
+    """Everything that is there now, batch by batch; a later call goes on where this one ended."""
     stream.writeStream.foreachBatch(rule).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1, fmt: str = "parquet", **options) -> DataFrame:
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", NEVER).options(**options).load(folder)
+def load_of(batch: DataFrame, otherwise: str) -> str:
+    """The load that a batch belongs to: the id of its stream, which the checkpoint holds; outside a stream what is given."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or otherwise
 
 
-def store_rescued(store: Store, name: str, batch: DataFrame, kinds: dict[str, str], load: str | None = None, batch_id: int | None = None) -> None:
-    """Append the text rows that have cells their kinds cannot hold, null keys too, to <name>_rescued."""
-    batch = batch.drop(POSITION)
-    lost = batch.withColumn(RESCUED, rescued(batch.columns, kinds)).where(F.size(RESCUED) > 0)
-    if not lost.isEmpty():
-        store.append(f"{name}{RESCUED}", lost, load, batch_id)
+def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1, fmt: str = "parquet", **options) -> DataFrame:
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", NEVER).options(**options).load(folder)
 
 
 def _in_batch(batch: DataFrame) -> DataFrame:
@@ -54,9 +47,16 @@ def _in_batch(batch: DataFrame) -> DataFrame:
 
 
 def _typed(batch: DataFrame, kinds: dict[str, str], order: Sequence[str]) -> DataFrame:
-    """Cells by their kinds; places, and order columns that are no text, as they are."""
+    """Cells by their kinds, also as text (_text), those that do not fit in _rescued; places, and order columns that are no text, as they are."""
     place = [c for c in dict.fromkeys((*order, POSITION)) if c in batch.columns and c not in kinds]
-    return batch.select(*place, *(cast_column(F.col(f"`{c}`"), kinds.get(c, STRING)).alias(c) for c in batch.columns if c not in place))
+    text = [c for c in batch.columns if c != POSITION]
+    typed = (cast_column(F.col(f"`{c}`"), kinds.get(c, STRING)).alias(c) for c in batch.columns if c not in place)
+    return batch.select(*place, *typed, F.struct(*(F.col(f"`{c}`") for c in text)).alias(TEXT), rescued(text, kinds).alias(RESCUED))
+
+
+def _store_rescued(store: Store, name: str, rows: DataFrame, load: str, batch_id: int) -> None:
+    """The rows' texts that have cells their kinds cannot hold, null keys too, in <name>_rescued."""
+    store.append(f"{name}{RESCUED}", rows.where(F.size(RESCUED) > 0).select(f"{TEXT}.*", RESCUED), load, batch_id)
 
 
 def _placed(rows: DataFrame, order: Sequence[str], batch_id: int) -> tuple[DataFrame, list[str]]:
@@ -85,56 +85,57 @@ class EntityStream:
 
     Across batches the rules are those of one batch over all rows, in the entity's declared order and not that of
     arrival (which holds only where no order is declared): relational, key-value and wide rows take the last row of a
-    key, nodes the first. A load is one run of the stream with its resumptions; rows of a relational or graph target
-    that were stored before the load stay. A batch that is run again is stored once. Rows with cells that do not fit the
-    bound kinds are also kept as text in <entity>_rescued.
+    key, nodes the first. A load is one stream with its resumptions; against earlier loads a model's rule is that of a
+    batch run: relational rows stay, nodes take on the properties of the new ones. A batch that runs again is stored
+    once. Rows that pass the filters and have cells that do not fit the bound kinds are also kept as text in
+    <entity>_rescued. What each batch read and wrote is in metrics, counted on the way.
     """
 
-    def __init__(self, store: Store, entities: Sequence[Entity], kinds: dict[str, str]) -> None:
-        self.store, self.entities, self.kinds, self.load = store, list(entities), kinds, uuid.uuid4().hex
+    def __init__(self, store: Store, entities: Sequence[Entity], kinds: dict[str, str], metrics: Metrics | None = None) -> None:
+        self.store, self.entities, self.kinds, self.load, self.metrics = store, list(entities), kinds, uuid.uuid4().hex, metrics or Metrics()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        load = load_of(batch, self.load)
         batch = _in_batch(batch).persist()
         try:
             for e in self.entities:
-                rows = _typed(batch, self.kinds, e.order)
-                rows = partitioned(filtered(rows, list(e.filters), self.kinds), list(e.filters), e.name)
-                rows, order = _placed(rows, e.order, batch_id)
-                self._store(e, *_shape(e, rows, order), batch_id)
-                store_rescued(self.store, e.name, batch, self.kinds, self.load, batch_id)
+                rows = partitioned(filtered(_typed(batch, self.kinds, e.order), list(e.filters), self.kinds), list(e.filters), e.name)
+
+                def put(rows: DataFrame, e: Entity = e) -> str | None:
+                    shaped, keys = _shape(e, *_placed(rows.drop(TEXT, RESCUED), e.order, batch_id))
+                    return store_as(e.model, self.store, e.name, shaped if keys else shaped.drop(shapes.PLACE), keys, load, batch_id, dedupe.FIRST if e.model == "graph" else dedupe.LAST)
+
+                if self.metrics.stored(self.store, e.model, e.name, rows, put):
+                    _store_rescued(self.store, e.name, rows, load, batch_id)
         finally:
             batch.unpersist()
 
-    def _store(self, e: Entity, shaped: DataFrame, keys: list[str], batch_id: int) -> None:
-        """A batch writes its own rows only; which of them win is settled when the target is read."""
-        if not keys:
-            return self.store.append(e.name, shaped.drop(shapes.PLACE), self.load, batch_id)
-        scoped = [*([PARTITION] if PARTITION in shaped.columns else []), *keys]
-        if e.model in ("relational", "graph") and (before := self.store.before(e.name, self.load)) is not None:
-            shaped = shaped.join(before.select(*scoped), scoped, "left_anti").select(*shaped.columns)
-        self.store.upsert(e.name, shaped, scoped, self.load, batch_id, dedupe.FIRST if e.model == "graph" else dedupe.LAST)
-
 
 class EdgeStream:
     """Loads edges from a stream of text rows, after the streams of their nodes have ended.
 
-    Only rows that pass the filters (those of the from-entity) and whose both ends are stored nodes make an edge; of the same ends and merge keys the last row in the declared
-    order wins, over all batches.
+    Only rows that pass the filters (those of the from-entity) and whose both ends are stored nodes make an edge; of the
+    same ends and merge keys the last row in the declared order wins, over all batches, and overwrites the properties of
+    an edge of an earlier load.
     """
 
-    def __init__(self, store: Store, name: str, ends: tuple[str, str], nodes: tuple[tuple[str, str], tuple[str, str]], kinds: dict[str, str], properties: Sequence[Field] = (), order: Sequence[str] = (), filters: Sequence[Filter] = ()) -> None:
+    def __init__(self, store: Store, name: str, ends: tuple[str, str], nodes: tuple[tuple[str, str], tuple[str, str]], kinds: dict[str, str], properties: Sequence[Field] = (), order: Sequence[str] = (), filters: Sequence[Filter] = (), metrics: Metrics | None = None) -> None:
         self.store, self.name, self.ends, self.nodes, self.kinds, self.properties, self.order, self.load = store, name, ends, nodes, kinds, properties, order, uuid.uuid4().hex
-        self.filters = list(filters)
+        self.filters, self.metrics = list(filters), metrics or Metrics()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch = _in_batch(batch)
-        typed = _typed(batch, self.kinds, self.order)
-        typed = partitioned(filtered(typed, self.filters, self.kinds), self.filters, self.name)
+        load = load_of(batch, self.load)
+        typed = _typed(_in_batch(batch), self.kinds, self.order)
+        rows = partitioned(filtered(typed, self.filters, self.kinds), self.filters, self.name)
         (start, start_key), (end, end_key) = self.nodes
-        typed, order = _placed(typed, self.order, batch_id)
-        edges = shapes.to_edges(typed, *self.ends, self.name, self.store.read(start), start_key, self.store.read(end), end_key, self.properties, order)
-        self.store.upsert(self.name, edges, ["src", "dst", *(f.name for f in self.properties if f.key)], self.load, batch_id)
-        store_rescued(self.store, self.name, batch, self.kinds, self.load, batch_id)
+
+        def put(rows: DataFrame) -> str | None:
+            placed, order = _placed(rows.drop(TEXT, RESCUED), self.order, batch_id)
+            edges = shapes.to_edges(placed, *self.ends, self.name, self.store.read(start), start_key, self.store.read(end), end_key, self.properties, order)
+            return store_as("graph", self.store, self.name, edges, ["src", "dst", *(f.name for f in self.properties if f.key)], load, batch_id)
+
+        if self.metrics.stored(self.store, "graph", self.name, rows, put):
+            _store_rescued(self.store, self.name, rows, load, batch_id)
 
 
 def path_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1, fmt: str = "parquet", **options) -> DataFrame:
@@ -164,14 +165,14 @@ def text_stream(spark: SparkSession, path: str, header: list[str], files_per_bat
     return as_text(stream).withColumn(POSITION, place)
 
 
-def stream_sources(spark: SparkSession, declared: dict, overrides: dict | None = None, files_per_batch: int = 1) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+def stream_sources(spark: SparkSession, declared: dict, overrides: dict | None = None, files_per_batch: int = 1, base: str | None = None) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """(tables to bind by, streams) of the declared sources and of the origins of combined ones, under the same names."""
     if unknown := set(overrides or {}) - set(declared):
         raise SourceError(f"override of an undeclared source: {sorted(unknown)}")
     tables: dict[str, DataFrame] = {}
     streams: dict[str, DataFrame] = {}
     for name, spec in declared.items():
-        path = (overrides or {}).get(name, spec["file"] if isinstance(spec, dict) else spec)
+        path = resolved(name, spec, overrides, base)
         found = load_sources(spark, {name: spec}, {name: path})
         if twice := set(found) & set(tables):
             raise SourceError(f"two sources are named {sorted(twice)}")
@@ -189,16 +190,19 @@ def rows_stored(loader: EntityStream) -> dict[str, int]:
     return {e.name: loader.store.read(e.name).count() for e in loader.entities if loader.store.exists(e.name)}
 
 
-def _keyed(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], batch_id: int | None, wins: str) -> None:
+def _keyed(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], batch_id: int | None, wins: str, load: str | None) -> None:
     placed, known = _placed(batch, order, batch_id or 0)
-    store.upsert(name, dedupe.dedupe(placed, keys, known, wins, drop_blank=False).drop(POSITION), keys, wins, batch_id, wins)
+    store.upsert(name, dedupe.dedupe(placed, keys, known, wins, drop_blank=False).drop(POSITION), keys, load or load_of(batch, wins), batch_id or 0, wins)
+
 
+def first_wins(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], batch_id: int | None = None, load: str | None = None) -> None:
+    """Store a batch's first row of each key; of all batches of a load the first in order is read back, whenever it came.
 
-def first_wins(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], batch_id: int | None = None) -> None:
-    """Store a batch's first row of each key; of all batches the first in order is read back, whenever it came."""
-    _keyed(store, name, batch, keys, order, batch_id, dedupe.FIRST)
+    A stream is a load by itself; batches that are no stream's belong to the load that is named, or to one load.
+    """
+    _keyed(store, name, batch, keys, order, batch_id, dedupe.FIRST, load)
 
 
-def last_wins(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], batch_id: int | None = None) -> None:
-    """Store a batch's last row of each key; of all batches the last in order is read back, whenever it came."""
-    _keyed(store, name, batch, keys, order, batch_id, dedupe.LAST)
+def last_wins(store: Store, name: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], batch_id: int | None = None, load: str | None = None) -> None:
+    """Store a batch's last row of each key; of all batches of a load the last in order is read back, whenever it came."""
+    _keyed(store, name, batch, keys, order, batch_id, dedupe.LAST, load)
