@@ -175,14 +175,14 @@ def key_field(b: Bound) -> Field:
     return own
 
 
-def edge_rows(edge: Edge, bound: dict[str, Bound], rows: DataFrame | None = None) -> DataFrame:
-    """(src, dst, type, properties) of an edge, from the rows of its start (or those given); both ends must be nodes."""
+def edge_rows(edge: Edge, bound: dict[str, Bound], rows: DataFrame | None = None, nodes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(src, dst, type, properties) of an edge, from the rows of its start (or those given); both ends must be nodes, of the run or those given."""
     if missing := [n for n in (edge.start, edge.end) if n not in bound]:
         raise MappingError(f"{edge.type}: no entity {missing}")
     a, b = bound[edge.start], bound[edge.end]
     first, second = key_field(a), key_field(b)
     ends = [source_column(f, a.typed.columns) for f in (first, second)]
-    return shapes.to_edges(a.rows() if rows is None else rows, *ends, edge.type, a.shaped(), first.name, b.shaped(), second.name, edge.properties, a.entity.order)
+    return shapes.to_edges(a.rows() if rows is None else rows, *ends, edge.type, nodes[0] if nodes else a.shaped(), first.name, nodes[1] if nodes else b.shaped(), second.name, edge.properties, a.entity.order)
 
 
 def relations_from(config: dict) -> tuple[list[Reference], list[Edge]]:

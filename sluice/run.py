@@ -86,7 +86,8 @@ def run_batch(spark: SparkSession, config: dict, root: str, only: Iterable[str]
                 store.append(f"{name}{RESCUED}", b.lost(), load="batch")
         for edge in edges:
             name = label_text(edge.type)
-            metrics.stored(store, model, name, bound[edge.start].rows(), lambda rows, edge=edge, name=name: write(edge_rows(edge, bound, rows), store, name, model, _edge_keys(edge)))
+            nodes = store.read(edge.start), store.read(edge.end)  # those of earlier loads too
+            metrics.stored(store, model, name, bound[edge.start].rows(), lambda rows, edge=edge, name=name, nodes=nodes: write(edge_rows(edge, bound, rows, nodes), store, name, model, _edge_keys(edge)))
     _told(spark, config, root, only, metrics, strict, True)
     return stored_counts(spark, config, root, only)
 
