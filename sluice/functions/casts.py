@@ -7,31 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kinds import BOOLEAN, DATETIME, EMPTY, FLOAT, INTEGER, STRING, as_datetime
-from .text import is_blank
+from .text import SPACE, is_blank, stripped
 
 RESCUED = "_rescued"
 #: Kind -> declared type of a relational target (fixed values).
 DECLARED = {EMPTY: "TEXT", BOOLEAN: "BOOLEAN", INTEGER: "BIGINT", FLOAT: "NUMERIC", DATETIME: "TIMESTAMPTZ", STRING: "TEXT"}
 SPARK_TYPES: dict[str, T.DataType] = {EMPTY: T.StringType(), BOOLEAN: T.BooleanType(), INTEGER: T.LongType(), FLOAT: T.DoubleType(), DATETIME: T.TimestampType(), STRING: T.StringType()}
 
-_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
-_REAL = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:nan|inf|infinity))\s*$"
-_SIGNED_NAN = r"^\s*[+-]?(?i:nan)\s*$"
+_WHOLE = rf"^{SPACE}*[+-]?[0-9]+{SPACE}*$"
+_REAL = rf"^{SPACE}*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:nan|inf|infinity)){SPACE}*$"
+_SIGNED_NAN = rf"^{SPACE}*[+-]?(?i:nan){SPACE}*$"
 
 
 def to_integer(c: Column, wide: bool = False) -> Column:
     """Digits with a sign, nothing else: "3.0" and "1e3" are no integers. wide: decimal(38,0) for values beyond 64 bits."""
-    return F.when(c.rlike(_WHOLE), F.trim(c).try_cast("decimal(38,0)" if wide else "bigint"))
+    return F.when(c.rlike(_WHOLE), stripped(c).try_cast("decimal(38,0)" if wide else "bigint"))
 
 
 def to_float(c: Column) -> Column:
     """Numbers, nan, inf and infinity in any case, with a sign."""
-    return F.when(c.rlike(_SIGNED_NAN), F.lit(float("nan"))).when(c.rlike(_REAL), F.trim(c).try_cast("double"))
+    return F.when(c.rlike(_SIGNED_NAN), F.lit(float("nan"))).when(c.rlike(_REAL), stripped(c).try_cast("double"))
 
 
 def to_boolean(c: Column) -> Column:
     """The word true is true, any other text false; blank is null."""
-    return F.when(~is_blank(c), F.lower(F.trim(c)) == "true")
+    return F.when(~is_blank(c), F.lower(stripped(c)) == "true")
 
 
 def cast_column(c: Column, kind: str, wide: bool = False) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import is_blank
+from .text import SPACE, is_blank, stripped
 
 EMPTY, BOOLEAN, INTEGER, FLOAT, DATETIME, STRING = "empty", "boolean", "integer", "float", "datetime", "string"
 KINDS = (EMPTY, BOOLEAN, INTEGER, FLOAT, DATETIME, STRING)
@@ -17,7 +17,7 @@ DATETIME_SHARE = 0.85
 #: From here on a whole number needs more than 64 bits.
 BEYOND_LONG = 2.0**63
 
-NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+NUMBER = rf"^{SPACE}*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity)){SPACE}*$"
 #: Free date forms after ISO: what a text must look like, and the formats then tried in order, day-first only where
 #: month-first fails. Texts of another look, most of all texts, are never parsed.
 DATE_FORMS = (
@@ -35,23 +35,23 @@ DATE_FORMS = (
     (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", ("d MMM yyyy",)),
     (r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}$", ("d MMMM yyyy",)),
 )
-_ISO = r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?\s*(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)?)?\s*$"
+_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?\s*(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)?)?$"
 
 
 def as_number(c: Column) -> Column:
     """Double, or null: decimal numbers with exponent, and infinity; not "nan" and not Spark's suffixed literals."""
-    return F.when(c.rlike(NUMBER), F.trim(c).try_cast("double"))
+    return F.when(c.rlike(NUMBER), stripped(c).try_cast("double"))
 
 
 def as_datetime(c: Column) -> Column:
     """Timestamp, or null: ISO forms first, then DATE_FORMS. Forms without a zone are read in the session's."""
-    text = F.trim(c)
-    iso = F.when(c.rlike(_ISO), text.try_cast("timestamp"))
+    text = stripped(c)
+    iso = F.when(text.rlike(_ISO), text.try_cast("timestamp"))
     return F.coalesce(iso, *(F.when(text.rlike(look), F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))) for look, formats in DATE_FORMS))
 
 
 def is_boolean(c: Column) -> Column:
-    return F.lower(F.trim(c)).isin("true", "false")
+    return F.lower(stripped(c)).isin("true", "false")
 
 
 @dataclass(frozen=True)

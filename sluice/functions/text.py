@@ -8,6 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space that surrounds a value: fixed values, the characters that Unicode counts as such and four separators.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same as a character class of a pattern.
+SPACE = f"[{WHITE}]"
+
+
+def stripped(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE))
+
+
 def null_if_blank(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .quoted import has_quoted_breaks, quoted_rows
+
 SOURCE, POSITION = "_source", "_pos"
 
 
@@ -20,8 +22,8 @@ class SourceError(ValueError):
 def read_text(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False, position: bool = False) -> DataFrame:
     """A delimited file with a header, every column text and blank cells "".
 
-    multiline allows line breaks inside quotes and makes each file one task, so it is off by default. position adds
-    _pos, the place of a row in the file order, for first-wins and last-wins rules.
+    multiline allows line breaks inside quotes and makes each file one task; read_any reads such files in parallel. position
+    adds _pos, the place of a row in the file order, for first-wins and last-wins rules.
     """
     df = spark.read.csv(path, header=True, sep=sep, escape='"', inferSchema=False, multiLine=multiline, enforceSchema=False)
     header = spark.read.csv(path, header=False, sep=sep, escape='"', inferSchema=False).first() or ()
@@ -32,13 +34,18 @@ def read_text(spark: SparkSession, path: str, sep: str = ",", multiline: bool =
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, JSON lines, TSV or CSV by the name's ending; columns as text."""
+    """Parquet, JSON lines, TSV or CSV by the name's ending; columns as text.
+
+    Text with line breaks inside quotes, which one pass over its lines finds out, is read with the rows' places in _pos.
+    """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "parquet":
         return as_text(spark.read.parquet(path))
     if kind in ("json", "jsonl"):
         return as_text(spark.read.json(path))
-    return read_text(spark, path, sep="\t" if kind == "tsv" else ",")
+    sep = "\t" if kind == "tsv" else ","
+    plain = read_text(spark, path, sep)
+    return quoted_rows(spark, path, plain.columns, sep, POSITION) if has_quoted_breaks(spark, path) else plain
 
 
 def _place(file: Column, block: Column) -> Column:

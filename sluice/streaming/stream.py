@@ -18,6 +18,7 @@ from ..operators.mapping import Field
 from ..plans.entity import TEXT, Entity
 from ..plans.reports import Metrics
 from ..sinks.tables import Store, store_as
+from ..sources.quoted import has_quoted_breaks
 from ..sources.scan import POSITION, SourceError, as_text, combined, load_sources, read_any, resolved, slice_of, tagged
 
 BatchRule = Callable[[DataFrame, int], None]
@@ -152,7 +153,10 @@ def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Da
 
 
 def text_stream(spark: SparkSession, path: str, header: list[str], files_per_batch: int = 1) -> DataFrame:
-    """The stream of read_any: columns as text, blank cells "", and _pos with the file and block of a row."""
+    """The stream of read_any: columns as text, blank cells "", and _pos with the file and block of a row.
+
+    Of files with line breaks inside quotes each is one task's.
+    """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "parquet":
         stream = table_stream(spark, path, files_per_batch)
@@ -160,7 +164,7 @@ def text_stream(spark: SparkSession, path: str, header: list[str], files_per_bat
         stream = path_stream(spark, path, spark.read.json(path).schema, files_per_batch, "json")
     else:
         schema = StructType([StructField(c, StringType()) for c in header])
-        stream = path_stream(spark, path, schema, files_per_batch, "csv", header=True, sep="\t" if kind == "tsv" else ",", escape='"', enforceSchema=False)
+        stream = path_stream(spark, path, schema, files_per_batch, "csv", header=True, sep="\t" if kind == "tsv" else ",", escape='"', enforceSchema=False, multiLine=has_quoted_breaks(spark, path))
     place = F.struct(F.lit(0).alias("part"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     return as_text(stream).withColumn(POSITION, place)
 
@@ -178,7 +182,7 @@ def stream_sources(spark: SparkSession, declared: dict, overrides: dict | None =
             raise SourceError(f"two sources are named {sorted(twice)}")
         tables |= found
         whole = isinstance(spec, dict) and bool(spec.get("origin_column"))
-        header = read_any(spark, path).columns
+        header = [c for c in read_any(spark, path).columns if c != POSITION]
         stream = text_stream(spark, path, header, files_per_batch)
         streams[name] = combined(stream, header[0]) if whole else tagged(stream, name)
         streams |= {origin: slice_of(streams[name], origin) for origin in found if origin != name}
