@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,16 +13,17 @@ from pyspark.sql import functions as F
 
 from .functions.casts import cast_fallbacks, cast_frame
 from .functions.kinds import count_kinds, datetime_share
-from .functions.text import label, slug
+from .functions.text import WHITE, label, slug
 from .operators import dedupe, relate, shapes
 from .operators.filters import Filter, apply_filters, partitioned, split_each
-from .operators.mapping import HYBRID, Field, Nested, expand, project, select_columns
+from .operators.mapping import AUTO, HYBRID, Field, Nested, expand, nan_as_null, project, select_columns
 from .plans.entity import Binder, Entity
-from .plans.reports import medians, overhead, plan_counts, run_totals
+from .plans.reports import Metrics, empty_ones, medians, overhead, plan_counts, run_totals
 from .run import run_batch as load_all
+from .run import run_references as references_of
 from .run import run_stream as stream_all
 from .sinks.tables import Store, write
-from .sources.scan import as_text, combined, origin_counts, origins, sample_per_source, slice_of, tagged, union_sources
+from .sources.scan import as_text, combined, origin_counts, origins, read_any, sample_per_source, slice_of, tagged, union_sources
 from .streaming.stream import EntityStream, first_wins, last_wins, run_batches, table_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -500,6 +502,50 @@ def stream_last_wins(spark, sf):
     return _keyed(spark, sf, last_wins)
 
 
+# loads that follow each other
+
+
+_BY_USER = "(SELECT user_id, event_id, event_type, ts FROM events WHERE user_id IS NOT NULL AND {0} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)"
+_CLICKS, _OTHERS = _BY_USER.format("event_type = 'click'"), _BY_USER.format("event_type IS DISTINCT FROM 'click'")
+
+
+@query(f"SELECT * FROM {_OTHERS} UNION ALL SELECT * FROM {_CLICKS} WHERE user_id NOT IN (SELECT user_id FROM {_OTHERS})")
+def stream_two_loads(spark, sf):
+    """Two streams into one target, their batches numbered alike: each keeps its first row of a key, the later load's rows take the place of the earlier one's."""
+    store, work, found = Store(spark, scratch(spark)), scratch(spark), table(spark, sf, "events")
+    for k, rows in enumerate((found.where("event_type = 'click'"), found.where("not event_type <=> 'click'"))):
+        rows.repartition(3, "event_id").write.parquet(f"{work}/in{k}")
+        stream = table_stream(spark, f"{work}/in{k}").select("user_id", "event_id", "event_type", "ts").where("user_id is not null")
+        run_batches(stream, lambda batch, n: first_wins(store, "users", batch, ["user_id"], ["ts", "event_id"], n), f"{work}/c{k}")
+    return store.read("users")
+
+
+@query(
+    "SELECT coalesce(c_custkey, o_custkey)::BIGINT AS id, CASE WHEN o_custkey IS NULL THEN c_name ELSE o_orderpriority END AS name, c_nationkey::BIGINT AS nation, o_orderkey::BIGINT AS first_order "
+    "FROM customer FULL OUTER JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) ON c_custkey = o_custkey"
+)
+def graph_reload(spark, sf):
+    """Nodes loaded by a batch and again by a stream: of the stream the first row of a key counts, and overwrites the properties that it carries."""
+    store, work = Store(spark, scratch(spark)), scratch(spark)
+    people = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("nation"))
+    write(shapes.to_nodes(people, (Field("id", key=True), Field("name"), Field("nation")), ["name"]), store, "people", "graph", ["id"])
+    table(spark, sf, "orders").repartition(3, "o_orderkey").write.parquet(f"{work}/in")
+    stream = as_text(table_stream(spark, f"{work}/in").select("o_custkey", "o_orderkey", "o_orderpriority"))
+    entity = Entity("people", "graph", (Field("id", "o_custkey", key=True), Field("name", "o_orderpriority"), Field("first_order", "o_orderkey")), order=("o_orderkey",))
+    run_batches(stream, EntityStream(store, [entity], {"o_custkey": "integer", "o_orderkey": "integer"}), f"{work}/checkpoint")
+    return store.read("people").select("id", "name", "nation", "first_order")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def store_clean(spark, sf):
+    """A target that forgets what it held before another load."""
+    store = Store(spark, scratch(spark))
+    write(table(spark, sf, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name")), store, "t", "relational", ["s_suppkey"])
+    store.clean("t")
+    write(table(spark, sf, "supplier").select("s_suppkey", "s_name"), store, "t", "relational", ["s_suppkey"])
+    return store.read("t")
+
+
 _RUN = {
     "relational": {"entities": {"orders": {"columns": {"orderkey": {"is_key": True}, "custkey": {}, "price": {}}, "filters": [{"column": "status", "operator": "each"}]}}},
     "document": {"entities": {"people": {"source": "customer", "columns": {"custkey": {}, "about": {"name": {}, "segment": {}}}, "filters": [{"column": "segment", "operator": "!=", "value": "BUILDING"}]}}},
@@ -587,3 +633,139 @@ def cast_wide(spark, sf):
     entity = Entity("items", "document", (Field("l_orderkey"), Field("big")))
     rows = Binder({"items": tagged(text, "items")}).bind(entity).shaped()
     return rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("big").cast("string").alias("total"))
+
+
+_METRICS_SQL = (
+    "SELECT 'relational' AS target, 'orders' AS entity, 'write' AS phase, 'orders_' || o_orderstatus AS partition, count(*) AS rows FROM orders GROUP BY ALL UNION ALL SELECT 'document', 'people', 'write', 'people', count(*) FROM customer WHERE c_mktsegment <> 'BUILDING' "
+    "UNION ALL SELECT 'relational', 'orders', 'filter', NULL, count(*) FROM orders UNION ALL SELECT 'document', 'people', 'filter', NULL, count(*) FROM customer WHERE c_mktsegment <> 'BUILDING' "
+    "UNION ALL SELECT 'relational', 'orders', 'rescue', NULL, 0 UNION ALL SELECT 'document', 'people', 'rescue', NULL, 0"
+)
+
+
+@query(_METRICS_SQL)
+def run_metrics(spark, sf):
+    """Rows that a run's own jobs counted: let through by the filters, rescued, and written to each partition."""
+    config, root, _ = _run_config(spark, sf)
+    metrics = Metrics()
+    load_all(spark, config, root, only=["relational", "document"], metrics=metrics)
+    found = metrics.frame(spark).where("phase in ('filter', 'rescue') or partition is not null")
+    return found.select("target", "entity", "phase", "partition", "rows")
+
+
+@query(
+    "SELECT 'orders_people_placed_by_fk' AS \"constraint\", count(o_custkey) AS \"references\", count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')) AS orphans FROM orders "
+    "UNION ALL SELECT 'items_orders_of_fk', count(*), count(*) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM orders)) FROM lineitem"
+)
+def run_references(spark, sf):
+    """All foreign keys of a run, in one pass over what it has stored; nobody of one segment is stored."""
+    config, root, _ = _run_config(spark, sf)
+    items = f"{root}-items"
+    table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line")).write.csv(items, header=True)
+    entities = {
+        "orders": {"columns": {"orderkey": {"is_key": True}, "custkey": {}}},
+        "people": {"source": "customer", "columns": {"custkey": {"is_key": True}}, "filters": [{"column": "segment", "operator": "!=", "value": "BUILDING"}]},
+        "items": {"columns": {"orderkey": {}, "line": {}}},
+    }
+    relations = {"placed-by": {"from": "orders", "to": "people", "foreign_key": "custkey"}, "of": {"from": "items", "to": "orders", "foreign_key": "orderkey"}}
+    config = {"sources": config["sources"] | {"items": items}, "relational": {"entities": entities, "relationships": relations}}
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # dangling keys are what the report is of
+        load_all(spark, config, root)
+    return references_of(spark, config, root)
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, o_orderpriority || chr(10) || chr(10) || '\"x\", ' || o_orderstatus AS text, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS status FROM orders")
+def scan_quoted(spark, sf):
+    """Text files whose quoted fields hold line breaks and quotes, read in parallel."""
+    path = f"{scratch(spark)}/rows.csv"
+    text = F.concat(F.col("o_orderpriority"), F.lit('\n\n"x", '), F.col("o_orderstatus"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status"))
+    rows.repartition(3, "id").write.csv(path, header=True, escape='"')
+    return read_any(spark, path).select("id", "text", "status")
+
+
+# the rest of the mapping, and casts of odd texts
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def map_auto(spark, sf):
+    df = tagged(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "supplier")
+    return project(df, expand((), df.columns, AUTO))
+
+
+@query("SELECT p_name, p_brand, p_size, p_partkey AS id FROM part")
+def map_restricted(spark, sf):
+    """An automatic mapping of some columns, by name and by place, beside one that is given."""
+    df = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return project(df, expand((Field("id", "p_partkey"),), df.columns, HYBRID, ["2-3", "p_size"]))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 > 0 THEN value END AS value, CASE WHEN event_id % 5 > 0 THEN value END AS inner_value FROM events")
+def nan_to_null(spark, sf):
+    odd = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    rows = nan_as_null(table(spark, sf, "events").select("event_id", odd.alias("value"), F.struct(odd.alias("v")).alias("inner")))
+    return rows.select("event_id", "value", F.col("inner.v").alias("inner_value"))
+
+
+@query("SELECT 'log_' || event_type AS partition, count(*) AS rows FROM events GROUP BY ALL")
+def split_by_source(spark, sf):
+    rows = partitioned(combined(table(spark, sf, "events").select("event_type", "event_id")), [Filter("_source", "each")], "log")
+    return rows.groupBy(F.col("_partition").alias("partition")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "SELECT DISTINCT CASE WHEN o_orderkey % 4 > 0 THEN o_custkey END AS src, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey END AS dst, 'PLACED' AS type FROM orders "
+    "WHERE src IN (SELECT c_custkey FROM customer) AND dst IS NOT NULL"
+)
+def edges_null_ends(spark, sf):
+    """Rows of which either end may be null draw no edge."""
+    orders = table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    rows = orders.select(F.when(key % 4 > 0, F.col("o_custkey")).alias("who"), F.when(key % 7 > 0, key).alias("what"), "o_orderdate", key.alias("place"))
+    return shapes.to_edges(rows, "who", "what", "PLACED", table(spark, sf, "customer"), "c_custkey", orders, "o_orderkey", (), ["o_orderdate", "place"])
+
+
+@query("SELECT 'events_of_no_kind' AS entity")
+def empty_targets(spark, sf):
+    """Which of the expected targets no row goes to."""
+    rows = partitioned(table(spark, sf, "events"), [Filter("event_type", "each")], "events")
+    counts = plan_counts([("document", "events", rows), ("document", "all", partitioned(table(spark, sf, "orders"), [], "all"))])
+    return empty_ones(counts, ["events", "all", "events_of_no_kind"])
+
+
+@query("SELECT * FROM (VALUES ('customer', 'int', TRUE), ('order', 'bigint', FALSE), ('status', 'string', FALSE)) t(name, type, key)")
+def target_columns(spark, sf):
+    """Names, types and keys of a relational target."""
+    rows = table(spark, sf, "orders").withColumns({"o_custkey": F.col("o_custkey").cast("int"), "o_orderkey": F.col("o_orderkey").cast("long")})
+    fields = (Field("customer", "o_custkey", key=True), Field("order", "o_orderkey"), Field("status", "o_orderstatus"))
+    return spark.createDataFrame(shapes.target_schema(shapes.to_relational(rows, fields, ["o_orderdate"]), fields), "name string, type string, key boolean")
+
+
+_DATES = ("%Y-%m-%dT%H:%M:%SZ", "%m/%d/%Y", "%d %b %Y", "%Y/%m/%d %H:%M:%S", "%B %d, %Y", "%Y%m%dT%H%M%S")
+_FORMS = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "MM/dd/yyyy", "dd MMM yyyy", "yyyy/MM/dd HH:mm:ss", "MMMM dd, yyyy", "yyyyMMdd'T'HHmmss")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 6 THEN NULL WHEN event_id % 7 IN (0, 3, 5) THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d 00:00:00') END AS at FROM events")
+def cast_datetimes(spark, sf):
+    """Dates in ISO and free forms; a text that is none becomes null."""
+    rows = table(spark, sf, "events")
+    texts = F.array(*(F.date_format("ts", f) for f in _FORMS), F.lit("some day"))
+    found = cast_frame(rows.select("event_id", F.element_at(texts, (F.col("event_id") % 7 + 1).cast("int")).alias("at")), {"event_id": "integer", "at": "datetime"}, rescue=False)
+    return found.select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("SELECT event_id, event_id % 2 = 0 AS flag, -event_id AS whole, event_id + 0.5::DOUBLE AS part FROM events")
+def cast_white(spark, sf):
+    """White space of any kind around values."""
+    i, white = F.col("event_id"), F.array(*map(F.lit, WHITE))
+    pad = F.element_at(white, (i % len(WHITE) + 1).cast("int"))
+    around = lambda c: F.concat(pad, c.cast("string"), pad)
+    rows = table(spark, sf, "events").select("event_id", around(F.when(i % 2 == 0, "TRUE").otherwise("False")).alias("flag"), around(-i).alias("whole"), around(i + 0.5).alias("part"))
+    return cast_frame(rows, {"event_id": "integer", "flag": "boolean", "whole": "integer", "part": "float"}, rescue=False)
+
+
+@query("SELECT o_orderkey::VARCHAR AS key, o_custkey AS customer, o_orderstatus AS status FROM orders")
+def keyvalue_orders(spark, sf):
+    fields = (Field("o_orderkey", key=True), Field("customer", "o_custkey"), Field("status", "o_orderstatus"))
+    out = shapes.to_keyvalue(table(spark, sf, "orders"), fields, ["o_orderdate"])
+    return out.select("key", F.from_json("value", "customer long, status string").alias("v")).select("key", "v.*")

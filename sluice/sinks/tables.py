@@ -142,6 +142,8 @@ class Store:
         last = loads[-1]
         if len(loads) == 1 or last.across == APPEND or not last.keys:
             return _union(parts)
+        if PARTITION in last.keys:  # a load that was not partitioned is the partition of the target's name
+            parts = [p if PARTITION in p.columns else p.withColumn(PARTITION, F.lit(name)) for p in parts]
         rows = _union(p.withColumn("_load", F.lit(k)) for k, p in enumerate(parts))
         if last.across != MERGE:
             return dedupe.dedupe(rows, last.keys, ["_load"], dedupe.FIRST if last.across == INSERT else dedupe.LAST, drop_blank=False).drop("_load")
