@@ -37,6 +37,8 @@ ENCODINGS = (
 #: Lower bounds of the length classes within which false discoveries are controlled.
 LENGTHS = (16, 20, 24, 32, 48, 80)
 FDR = 0.05
+#: Tokens that are judged together: classes with fewer join their neighbours.
+POOL = 2000
 #: p-values are rounded up to powers of 10^(-1/20), down to 10^-15.
 STEPS, DEEPEST = 20, 300
 
@@ -158,16 +160,39 @@ def drop_level(counts: dict[int, int], fdr: float) -> int:
 def report_level(counts: dict[int, int], fdr: float) -> int:
     """The level from which tokens are not reported, so that of those reported a share of `fdr` at most is not random.
 
-    Random tokens have even p-values. Where p is large there are no others, so the least of (tokens above p) / (1 - p)
-    estimates how many random ones there are; what is above a level beyond their expected number is false. Two standard
-    deviations of chance are allowed. At or below the level that the tests themselves reject.
+    Random tokens have even p-values. Where p is large there are few others, so (tokens above p) / (1 - p) estimates how
+    many random ones there are; the least estimate counts, those from less than three quarters of the range (which also
+    show tokens that lump at one p) only by their upper limit of two deviations. What is above a level beyond the random
+    ones' expected number is false, and one more: the share of it in all that is reported may not pass `fdr`, with no
+    allowance. So of fewer than 1 / fdr tokens none is reported. At or below the level that the tests themselves reject.
     """
     drop = drop_level(counts, fdr)
     above = {c: sum(n for level, n in counts.items() if level < c) for c in range(1, drop + 1)}
     wide = lambda c: 1 - 10 ** (-c / STEPS)
-    random = min((above[c] / wide(c) for c in above if wide(c) >= 0.25), default=0.0)
-    good = (c for c, n in above.items() if n - random * wide(c) <= fdr * n + 2 * n**0.5)
-    return max(good, default=0)
+    limit = lambda c: above[c] if wide(c) >= 0.75 else above[c] + 2 * above[c] ** 0.5
+    random = min((limit(c) / wide(c) for c in above if wide(c) >= 0.25), default=0.0)
+    return max((c for c, n in above.items() if max(0.0, n - random * wide(c)) + 1 <= fdr * n), default=0)
+
+
+def pools(counts: dict[int, dict[int, int]], least: int = POOL) -> list[tuple[list[int], dict[int, int]]]:
+    """Neighbouring length classes that are judged together, each pool of `least` tokens at least but if there are fewer in all."""
+    out: list[tuple[list[int], dict[int, int]]] = []
+    size = least
+    for length in sorted(counts):
+        if size >= least:
+            out.append(([], {}))
+            size = 0
+        classes, levels = out[-1]
+        classes.append(length)
+        for level, n in counts[length].items():
+            levels[level] = levels.get(level, 0) + n
+        size += sum(counts[length].values())
+    if len(out) > 1 and size < least:
+        classes, levels = out.pop()
+        out[-1][0].extend(classes)
+        for level, n in levels.items():
+            out[-1][1][level] = out[-1][1].get(level, 0) + n
+    return out
 
 
 def _cuts(found: DataFrame, fdr: float = FDR) -> dict[int, int]:
@@ -180,7 +205,7 @@ def _cuts(found: DataFrame, fdr: float = FDR) -> dict[int, int]:
     counts: dict[int, dict[int, int]] = {}
     for r in levels.collect():
         counts.setdefault(r["length"], {})[r["level"]] = r["n"]
-    return {length: report_level(c, fdr) for length, c in counts.items()}
+    return {length: cut for lengths, c in pools(counts) for cut in [report_level(c, fdr)] for length in lengths}
 
 
 def _listed(spans: Column) -> Column:
@@ -194,8 +219,9 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
     base has the pattern spans. spans has them and the random tokens that meet none of them. A token has 16 or more
     characters and an encoding inferred from them (hex, base32, base36 of either case, base62, base64 and its URL form,
     each with both letters and digits). Chi-squared, runs and serial correlation test an even, independent draw; within
-    each length class, over all documents, tokens that they reject are regular, with the wrongly rejected controlled as
-    false discoveries, and so is the share of tokens called random that are not. tokens has each token's start, end,
+    each length class (small ones together with their neighbours), over all documents, tokens that they reject are
+    regular, with the wrongly rejected controlled as false discoveries, and so is the share of tokens called random that
+    are not; where there are too few tokens to tell, none is called random. tokens has each token's start, end,
     level (of p) and whether it is random, also of those inside base spans.
 
     Null counts as empty; repeated rows and null ids give a row each; tokens of equal p share a verdict; long texts are

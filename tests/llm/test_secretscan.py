@@ -123,3 +123,20 @@ def test_query(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for _, k, _ in base) for x in range(3)]
         assert r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
         assert set(filter(None, listed(base).split(","))) <= set(r.spans.split(","))
+
+
+def test_few_regular_tokens_are_not_reported():
+    rng = random.Random(9)
+    level = lambda p: int(-math.log10(max(p, 1e-15)) * S.STEPS)
+    for n in range(1, 51):
+        for made in ([5] * n, [level(0.55)] * n, [level(0.001 + 0.3 * rng.random()) for _ in range(n)], [level(1e-9)] * n):
+            cut = S.report_level(dict(Counter(made)), 0.05)
+            assert sum(v < cut for v in made) == 0, (n, made)
+    assert S.report_level({0: 19}, 0.05) == 0  # too few to tell
+
+
+def test_small_classes_join_their_neighbours():
+    counts = {0: {1: 5}, 1: {1: 2, 7: 3}, 2: {0: 30}, 3: {2: 4}}
+    assert S.pools(counts, 8) == [([0, 1], {1: 7, 7: 3}), ([2, 3], {0: 30, 2: 4})]
+    assert S.pools(counts, 1000) == [([0, 1, 2, 3], {1: 7, 7: 3, 0: 30, 2: 4})]
+    assert S.pools({}, 5) == []
