@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,7 @@ class ShardStore:
         try:
             files.rename(self._jvm_path(made), self._jvm_path(f"{self.root}/manifest/v{after + 1:08d}"), no_overwrite)
         except Exception as e:
+            self._fs().delete(self._jvm_path(made), True)
             if "FileAlreadyExists" in str(e) or "already exists" in str(e):
                 raise Conflict(f"version {after + 1} exists") from e
             raise
@@ -89,7 +91,15 @@ class ShardStore:
         now = self.version()
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(folder)
-        return self.commit(self.manifest(now).union(self._listed(folder, now + 1, rows.schema)), now)
+        return self._publish(folder, lambda: self.manifest(now).union(self._listed(folder, now + 1, rows.schema)), now)
+
+    def _publish(self, folder: str, entries: Callable[[], DataFrame], after: int) -> int:
+        """Commit a version with new shards; where it is refused they go."""
+        try:
+            return self.commit(entries(), after)
+        except Conflict:
+            self._fs().delete(self._jvm_path(folder), True)
+            raise
 
     def read(self, version: int | None = None, schema=None) -> DataFrame:
         """The rows of a version, with the path of each row's shard as last column: shard, or _shard and so on if there is one."""
@@ -102,7 +112,7 @@ class ShardStore:
         return rows.select("*", (F.col("_metadata.file_path") if paths else F.lit("")).alias(name))
 
     def plan(self, entries: DataFrame) -> DataFrame:
-        """path and run of the shards to merge: runs of at least `fanout` shards of one tier, up to the target size.
+        """path and run of the shards to merge, those of a tier up to the target size: `fanout` of them, or fewer that make a finished shard.
 
         Shards are lined up in groups of about LINE by a hash of their path, so that no task lines up a whole tier.
         """
@@ -113,7 +123,8 @@ class ShardStore:
         upto = F.sum("bytes").over(Window.partitionBy("tier", "line").orderBy("created", "path"))
         cut = lined.withColumn("slot", F.floor((upto - F.col("bytes")) / self.target))
         by = Window.partitionBy("tier", "line", "slot")
-        runs = cut.withColumn("n", F.count(F.lit(1)).over(by)).where(F.col("n") >= self.fanout)
+        sized = cut.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("sum", F.sum("bytes").over(by))
+        runs = sized.where((F.col("n") >= self.fanout) | (F.col("n") > 1) & (F.col("sum") >= self.target / 2))
         return runs.select("path", F.concat_ws("-", "tier", "line", "slot").alias("run"))
 
     def compact_round(self, schema) -> bool:
@@ -134,8 +145,8 @@ class ShardStore:
         merged = rows.join(F.broadcast(plan), "path").repartitionById(len(whole), F.col("run"))  # each run is one task's, and no task has two
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         merged.select("row.*").write.option("compression", "zstd").parquet(folder)
-        made = self._listed(folder, now + 1, schema)
-        self.commit(live.join(F.broadcast(plan.select("path")), "path", "left_anti").select("path", "bytes", "rows", "created").union(made), now)
+        rest = live.join(F.broadcast(plan.select("path")), "path", "left_anti").select("path", "bytes", "rows", "created")
+        self._publish(folder, lambda: rest.union(self._listed(folder, now + 1, schema)), now)
         return True
 
     def compact(self, schema) -> int:
@@ -171,7 +182,7 @@ def op8_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(ARRIVALS):
         store.append(docs.where(arrival == k))
         store.compact(docs.schema)
-        store.vacuum()
+        store.vacuum(keep=2)  # the version before can still be read
     return store.read(schema=docs.schema).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 

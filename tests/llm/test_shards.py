@@ -80,3 +80,26 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_bytes, r.text_sha256) for r in S.op8_size_tiered_shards(spark, SF).collect()}
     assert got == {i: (len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize(("mb", "least"), [(50, 90), (60, 90), (43, 90), (20, 90), (64, 0), (5, 90)])
+def test_shards_just_below_a_finished_one_are_merged(spark, mb, least):
+    store = S.ShardStore(spark, tempfile.mkdtemp(prefix="spark-") + "/store")
+    entries = spark.createDataFrame([(f"p{k}", mb << 20, 1, 1) for k in range(100)], S.ENTRY)
+    planned = store.plan(entries)
+    assert planned.count() >= least and (least or planned.isEmpty())
+    sizes = [r["count"] * mb for r in planned.groupBy("run").count().collect()]
+    assert all(64 <= s < 192 for s in sizes) or mb == 5
+
+
+def test_a_refused_version_leaves_nothing_behind(spark, store, monkeypatch):
+    docs = spark.createDataFrame([(k, "a", "b", "c") for k in range(40)], SCHEMA)
+    store.append(docs.repartition(4))
+    root = store.root
+    files = lambda: sorted(p for p in __import__("pathlib").Path(root).rglob("*.parquet"))
+    before = files()
+    monkeypatch.setattr(store, "version", lambda: 0)  # a writer that does not know of version 1
+    with pytest.raises(S.Conflict):
+        store.append(docs)
+    monkeypatch.undo()
+    assert files() == before and store.version() == 1
