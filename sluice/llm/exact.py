@@ -32,7 +32,7 @@ def sha256(value: Column) -> Column:
     return F.unhex(F.sha2(value, 256))
 
 
-#: Of equal texts the most code points stay, then the least doc_id (null last), then the first place.
+#: Of equal texts the most code points stay, then the least doc_id (a whole number; null last), then the last place.
 RANK = lambda: F.struct(
     "n_points", F.bitwise_not("doc_id").alias("small_first"), "doc_id", "file", "row"
 )

@@ -39,3 +39,69 @@ def test_edges(spark):
     none = docs.limit(0)
     assert L.fit(none) is None and L.identify(none, None).count() == 0
     assert L.identify(docs, None).where("lang_pred <> 'und'").count() == 0
+
+
+def plain_subwords(text):
+    """Buckets of n-grams of letter runs with their word edges, one by one."""
+    points = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    if all(p == 32 for p in points):
+        return None
+    edged, out = [32, *points, 32], []
+    for n in L.ORDERS:
+        for k in range(len(edged) - n + 1):
+            gram = edged[k : k + n]
+            if 32 in gram[1:-1] or n == 2 and gram == [32, 32]:
+                continue
+            h = n
+            for p in gram:
+                h = (h * 0x01000193 + p) & 0xFFFFFFFF
+                h ^= h >> 15
+            out.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> 16 & (L.BUCKETS - 1))
+    return out
+
+
+def test_subwords_and_logits_against_plain_python():
+    rng = np.random.default_rng(1)
+    model = L.Model(["a", "b", "c"], rng.normal(size=(L.BUCKETS, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    for text in ("Ab", "x", "Straße 12, été!", "ǅ İ\u0307", "a" * 500, "  a  b ", "12 - 3", "語言 é\u0301"):
+        want, got = plain_subwords(text), L.subwords(text)
+        assert (got is None) == (want is None)
+        if want:
+            assert sorted(got.tolist()) == sorted(want)
+            logits = [sum(float(model.table[b][k]) for b in want) / len(want) + float(model.bias[k]) for k in range(3)]
+            assert np.allclose(model.logits(got), logits, atol=1e-5)
+            e = np.exp(np.array(logits) - max(logits))
+            assert model.predict(text)[:2] == (model.langs[int(np.argmax(logits))], model.predict(text)[1]) and abs(model.predict(text)[1] - e.max() / e.sum()) < 1e-5
+
+
+def test_steps_of_training_follow_the_numeric_gradient():
+    bags, langs = [L.bag("ab"), L.bag("cd e")], ["x", "y"]
+    model = L.train(bags, langs, epochs=1)
+    rng = np.random.default_rng(L.SEED)
+    order = rng.permutation(2)
+    e, w, b = rng.normal(0, 0.1, (L.BUCKETS, L.DIM)).astype(np.float32).astype(float), rng.normal(0, 0.3, (L.DIM, 2)).astype(np.float32).astype(float), np.zeros(2)
+    for k in rng.permutation(order):
+        (at, n), y = bags[k], k
+        share = n / n.sum()
+
+        def loss():
+            z = (share @ e[at]) @ w + b
+            return np.log(np.exp(z).sum()) - z[y]
+
+        grads = []
+        for a, rows in ((e, at), (w, range(L.DIM)), (b, range(2))):
+            g = np.zeros_like(a)
+            for i in rows:
+                for j in np.ndindex(a[i].shape):
+                    cell = (i, *j)
+                    old = a[cell]
+                    a[cell] = old + 1e-5
+                    high = loss()
+                    a[cell] = old - 1e-5
+                    g[cell] = (high - loss()) / 2e-5
+                    a[cell] = old
+            grads.append(g)
+        for a, g, rate in zip((e, w, b), grads, (1, 0.02, 0.002)):
+            a -= rate * L.RATE * g
+    used = np.unique(np.concatenate([at for at, _ in bags]))
+    assert np.allclose(model.table[used], (e @ w)[used], atol=2e-3) and np.allclose(model.bias, b, atol=1e-4)
