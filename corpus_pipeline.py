@@ -14,27 +14,46 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the forest, calibrated on the table labels."""
+    """Documents that pass the base rules and the forest, calibrated on the table labels.
+
+    Null and empty texts fail the base rules; repeated rows and null ids are judged like any row; without labels only the
+    base rules reject; an empty table gives no rows. All columns stay.
+    """
     return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: that of most code points, then of the least doc_id (null last), then the last place.
+
+    Null counts as empty; of repeated rows one stays. All columns stay; doc_id must be a whole number.
+    """
     return exact.exact_dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, the one with the least doc_id."""
+    """One document, that of the least doc_id, of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles.
+
+    Texts of fewer words are one shingle, texts without a word are alike; repeated rows are near each other, as equal
+    texts are. All columns stay; an empty table gives no rows.
+    """
     return simhash.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights take them; a document taken twice has two rows."""
+    """Documents as often as the target weights take them; a document taken twice has two rows.
+
+    Null sources are a source of their own, the last; texts without a word have no size and are not taken; of documents
+    that tie for a place a seeded hash decides. All columns stay; an empty table gives no rows.
+    """
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenized documents with their place in sequences of 4096."""
+    """Pieces of tokenized documents with their place in sequences of 4096.
+
+    Null and empty texts are the closing id alone; repeated rows are packed each; long texts are cut into pieces; an
+    empty table gives no rows.
+    """
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
