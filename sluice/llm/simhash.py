@@ -234,8 +234,8 @@ def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component, over whole texts.
 
     Null and empty texts have the fingerprint zero and are linked like any other; equal texts have equal fingerprints and
-    one component; repeated rows give a row each, of one component, and a null id is a node of its own kind that no
-    component is named after unless it has no other; an empty table gives no rows.
+    one component; repeated rows give a row each. Rows of a null id are linked by their texts, and component_id is the
+    least id that is not null, null if there is none; an empty table gives no rows.
     """
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
