@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, is_blank, stripped
+from .text import is_blank, stripped
 
 EMPTY, BOOLEAN, INTEGER, FLOAT, DATETIME, STRING = "empty", "boolean", "integer", "float", "datetime", "string"
 KINDS = (EMPTY, BOOLEAN, INTEGER, FLOAT, DATETIME, STRING)
@@ -17,7 +17,7 @@ DATETIME_SHARE = 0.85
 #: From here on a whole number needs more than 64 bits.
 BEYOND_LONG = 2.0**63
 
-NUMBER = rf"^{SPACE}*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity)){SPACE}*$"
+NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 #: Free date forms after ISO: what a text must look like, and the formats then tried in order, day-first only where
 #: month-first fails. Texts of another look, most of all texts, are never parsed.
 DATE_FORMS = (
@@ -40,18 +40,32 @@ _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-
 
 def as_number(c: Column) -> Column:
     """Double, or null: decimal numbers with exponent, and infinity; not "nan" and not Spark's suffixed literals."""
-    return F.when(c.rlike(NUMBER), stripped(c).try_cast("double"))
+    return _number(stripped(c))
 
 
 def as_datetime(c: Column) -> Column:
     """Timestamp, or null: ISO forms first, then DATE_FORMS. Forms without a zone are read in the session's."""
-    text = stripped(c)
+    return _datetime(stripped(c))
+
+
+def is_boolean(c: Column) -> Column:
+    return _boolean(stripped(c))
+
+
+# the same of texts without white space around them
+
+
+def _number(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
+def _datetime(text: Column) -> Column:
     iso = F.when(text.rlike(_ISO), text.try_cast("timestamp"))
     return F.coalesce(iso, *(F.when(text.rlike(look), F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))) for look, formats in DATE_FORMS))
 
 
-def is_boolean(c: Column) -> Column:
-    return F.lower(stripped(c)).isin("true", "false")
+def _boolean(text: Column) -> Column:
+    return F.lower(text).isin("true", "false")
 
 
 @dataclass(frozen=True)
@@ -83,19 +97,23 @@ def counters(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """One row with a struct of counters for each column, all in one pass with partial sums before the shuffle."""
     names = [c for c in df.columns if c not in ("_source", "_pos")] if columns is None else list(columns)
 
-    def one(name: str) -> Column:
-        c = F.col(f"`{name}`").cast("string")
-        filled, number = ~is_blank(c), as_number(c)
+    def one(k: int, name: str) -> Column:
+        filled, text = ~is_blank(F.col(f"c{k}")), F.col(f"s{k}")
+        number = _number(text)
         return F.struct(
             F.count_if(filled).alias("filled"),
-            F.count_if(filled & is_boolean(c)).alias("booleans"),
+            F.count_if(filled & _boolean(text)).alias("booleans"),
             F.count_if(filled & number.isNotNull()).alias("numbers"),
             F.count_if(filled & (number % 1 == 0)).alias("wholes"),
-            F.count_if(filled & number.isNull() & as_datetime(c).isNotNull()).alias("datetimes"),
+            F.count_if(filled & number.isNull() & _datetime(text).isNotNull()).alias("datetimes"),
             F.count_if(F.abs(number) >= BEYOND_LONG).alias("wides"),
         ).alias(name)
 
-    return df.agg(*map(one, names)) if names else df.sparkSession.range(1).select()
+    if not names:
+        return df.sparkSession.range(1).select()
+    cells = [F.col(f"`{n}`").cast("string") for n in names]
+    texts = df.select(*(c.alias(f"c{k}") for k, c in enumerate(cells)), *(stripped(c).alias(f"s{k}") for k, c in enumerate(cells)))  # stripped once
+    return texts.agg(*(one(k, n) for k, n in enumerate(names)))
 
 
 def count_kinds(df: DataFrame, columns: Iterable[str] | None = None) -> dict[str, Counts]:

@@ -15,7 +15,9 @@ SPACE = f"[{WHITE}]"
 
 
 def stripped(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITE))
+    """Without the white space around it, which only texts with an odd first or last character are searched for."""
+    first, last = F.ascii(c), F.ascii(F.right(c, F.lit(1)))
+    return F.when((first <= 32) | (first > 126) | (last <= 32) | (last > 126), F.btrim(c, F.lit(WHITE))).otherwise(c)
 
 
 def null_if_blank(c: Column) -> Column:
