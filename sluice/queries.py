@@ -24,6 +24,7 @@ from .run import run_references as references_of
 from .run import run_stream as stream_all
 from .sinks.tables import Store, write
 from .sources.scan import as_text, combined, origin_counts, origins, read_any, sample_per_source, slice_of, tagged, union_sources
+from .streaming.keyed import keyed_stream
 from .streaming.stream import EntityStream, first_wins, last_wins, run_batches, table_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -502,6 +503,24 @@ def stream_last_wins(spark, sf):
     return _keyed(spark, sf, last_wins)
 
 
+def _by_state(spark, sf, wins):
+    """Winners held in RocksDB by user, over files in no order of time."""
+    stream = table_stream(spark, _several_files(spark, sf)).select("user_id", "event_id", "event_type", "ts")
+    store, work = Store(spark, scratch(spark)), scratch(spark)
+    keyed_stream(store, "users", stream, ["user_id"], ["ts", "event_id"], f"{work}/checkpoint", wins)
+    return store.read("users")
+
+
+@query("SELECT user_id, event_id, event_type, ts FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def stream_state_first(spark, sf):
+    return _by_state(spark, sf, "first")
+
+
+@query("SELECT user_id, event_id, event_type, ts FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_state_last(spark, sf):
+    return _by_state(spark, sf, "last")
+
+
 # loads that follow each other
 
 

@@ -181,11 +181,20 @@ class Store:
             self.store(name, self.read(name), last.keys, last.across, alone=True)
         else:
             for x in loads:
-                if len(batches := self._batches(x)) > 1:
-                    made = f"{BATCH}=-{uuid.uuid4().int >> 64}"
-                    self._write(f"{x.folder}/{made}", self._rows(x), [])
-                    upto = max(int(b.split("=")[1]) for b in batches)
-                    self._tell(Load(x.folder, x.schema, x.keys, x.across, x.wins, x.alone, upto, made))
+                self._settle(x, lambda _, x=x: self._rows(x))
+
+    def settle(self, name: str, load: str, rows: Callable[[int], DataFrame]) -> None:
+        """One folder for a load's batches: its settled rows, which `rows` gives as of the number of its last batch."""
+        for x in self.loads(name):
+            if x.folder.endswith(f"-{load}"):
+                self._settle(x, rows)
+
+    def _settle(self, x: Load, rows: Callable[[int], DataFrame]) -> None:
+        if len(batches := self._batches(x)) > 1:
+            made = f"{BATCH}=-{uuid.uuid4().int >> 64}"
+            upto = max(int(b.split("=")[1]) for b in batches)
+            self._write(f"{x.folder}/{made}", rows(upto).select(*(F.col(f"`{c}`") for c in x.schema.names)), [])
+            self._tell(Load(x.folder, x.schema, x.keys, x.across, x.wins, x.alone, upto, made))
 
     def clean(self, name: str) -> None:
         """Forget all that a target has stored."""

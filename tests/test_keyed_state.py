@@ -1,0 +1,120 @@
+"""First and last wins by keyed state: any order of arrival, restarts, replays, hot keys, ties and nulls."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from sluice.operators.mapping import MappingError
+from sluice.sinks.tables import INSERT, MERGE, Store, write
+from sluice.streaming.keyed import held, keyed_stream
+from sluice.streaming.stream import file_stream
+
+SCHEMA = "k long, o long, v string"
+
+
+def arrive(spark, folder, *files):
+    for values in files:
+        spark.createDataFrame(values, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    return file_stream(spark, folder, SCHEMA)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+FILES = ([(1, 5, "a"), (2, 1, "b")], [(1, 9, "c"), (None, 7, "d"), (1, 2, "e")], [(1, 4, "f"), (2, None, "g"), (3, 3, "h")], [(3, 3, "i")])
+
+
+@pytest.mark.parametrize(
+    ("wins", "want"),
+    [("first", [(1, 2, "e"), (2, None, "g"), (3, 3, "h")]), ("last", [(1, 9, "c"), (2, 1, "b"), (3, 3, "i")])],
+)
+@pytest.mark.parametrize("turned", [False, True])
+def test_the_declared_order_counts_and_not_that_of_arrival(spark, tmp_path, wins, want, turned):
+    store = Store(spark, f"{tmp_path}/s")
+    keyed_stream(store, "t", arrive(spark, f"{tmp_path}/in", *(FILES[::-1] if turned else FILES)), ["k"], ["o"], f"{tmp_path}/c", wins)
+    assert rows(store.read("t")) == want
+    assert rows(held(spark, f"{tmp_path}/c").drop("_place")) == want
+
+
+def test_a_read_after_the_run_aggregates_nothing(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    keyed_stream(store, "t", arrive(spark, f"{tmp_path}/in", *FILES), ["k"], ["o"], f"{tmp_path}/c")
+    assert "Aggregate" not in plan(store.read("t")) and "Exchange" not in plan(store.read("t"))
+
+
+def test_a_later_call_goes_on_with_the_state(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    for k, files in enumerate((FILES[:2], FILES[2:], ())):
+        keyed_stream(store, "t", arrive(spark, f"{tmp_path}/in", *files), ["k"], ["o"], f"{tmp_path}/c", "first")
+        assert len(store.loads("t")) == 1
+        assert "Aggregate" not in plan(store.read("t"))
+        assert rows(store.read("t"))[0] == (1, 2, "e")
+    assert rows(store.read("t")) == [(1, 2, "e"), (2, None, "g"), (3, 3, "h")]
+
+
+def test_a_run_that_fails_between_write_and_commit_is_taken_up(spark, tmp_path, monkeypatch):
+    store, stream, put, calls = Store(spark, f"{tmp_path}/s"), arrive(spark, f"{tmp_path}/in", *FILES), Store.store, []
+
+    def fails(self, *args, **more):
+        put(self, *args, **more)
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(Store, "store", fails)
+    with pytest.raises(Exception, match="lost after the write"):
+        keyed_stream(store, "t", stream, ["k"], ["o"], f"{tmp_path}/c")
+    between = dict((k, o) for k, o, _ in rows(store.read("t")))
+    assert between[1] in (5, 9)  # readers settle what is there by its place
+    keyed_stream(store, "t", stream, ["k"], ["o"], f"{tmp_path}/c")
+    assert rows(store.read("t")) == [(1, 9, "c"), (2, 1, "b"), (3, 3, "i")]
+    assert len(store.loads("t")) == 1
+
+
+def test_a_batch_writes_one_row_for_each_key_that_it_has(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    keyed_stream(store, "t", arrive(spark, f"{tmp_path}/in", [(k, 0, "x") for k in range(500)], [(7, 1, "y")]), ["k"], ["o"], f"{tmp_path}/c")
+    (load,) = store.loads("t")
+    assert spark.read.parquet(f"{load.folder}/_load_batch=1").count() == 1
+    assert store.read("t").where("v = 'y'").count() == 1 and store.read("t").count() == 500
+
+
+def test_a_hot_key_over_all_batches(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    many = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), (F.col("id") * 7919 % 30011).alias("o"), F.col("id").cast("string").alias("v"))
+    many.repartition(4).write.parquet(f"{tmp_path}/in")
+    keyed_stream(store, "t", file_stream(spark, f"{tmp_path}/in", SCHEMA), ["k"], ["o"], f"{tmp_path}/c")
+    want = many.groupBy("k").agg(F.max(F.struct("o", "v")).alias("m")).select("k", "m.*")
+    assert rows(store.read("t")) == rows(want)
+
+
+@pytest.mark.parametrize(("across", "want"), [(INSERT, [(1, 0, "old"), (2, 1, "b")]), (MERGE, [(1, 5, "a"), (2, 1, "b")])])
+def test_rows_of_earlier_loads_are_treated_by_the_rule_given(spark, tmp_path, across, want):
+    store = Store(spark, f"{tmp_path}/s")
+    write(spark.createDataFrame([(1, 0, "old")], SCHEMA), store, "t", "relational" if across == INSERT else "graph", ["k"])
+    keyed_stream(store, "t", arrive(spark, f"{tmp_path}/in", FILES[0]), ["k"], ["o"], f"{tmp_path}/c", across=across)
+    assert rows(store.read("t").select("k", "o", "v")) == want
+
+
+def test_an_empty_stream_stores_nothing_and_several_keys_with_odd_names_hold(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none")
+    keyed_stream(store, "none", file_stream(spark, f"{tmp_path}/none", SCHEMA), ["k"], ["o"], f"{tmp_path}/c0")
+    assert not store.exists("none") or store.read("none").count() == 0
+    odd = "row long, best string, `a.b` long"
+    spark.createDataFrame([(1, "x", 1), (1, "x", 2), (1, "y", 0)], odd).write.parquet(f"{tmp_path}/odd")
+    keyed_stream(store, "odd", file_stream(spark, f"{tmp_path}/odd", odd), ["row", "best"], ["a.b"], f"{tmp_path}/c1")
+    assert rows(store.read("odd")) == [(1, "x", 2), (1, "y", 0)]
+
+
+def test_what_state_cannot_hold_is_refused(spark, tmp_path):
+    stream, store = arrive(spark, f"{tmp_path}/in", FILES[0]), Store(spark, f"{tmp_path}/s")
+    for bad in (dict(keys=["k"], order=[]), dict(keys=[], order=["o"]), dict(keys=["k"], order=["gone"])):
+        with pytest.raises(MappingError):
+            keyed_stream(store, "t", stream, checkpoint=f"{tmp_path}/c", **bad)
+    with pytest.raises(MappingError, match="map"):
+        keyed_stream(store, "t", stream.withColumn("m", F.create_map("v", "v")), ["k"], ["o"], f"{tmp_path}/c")
