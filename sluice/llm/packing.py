@@ -133,18 +133,30 @@ def plan(count: np.ndarray, window: int = WINDOW) -> list[tuple[list[tuple[int,
     return out
 
 
-def intervals(patterns: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, from rank, to rank, first sequence, offset): pieces of a length go by rank to sequences."""
+def most_intervals(window: int) -> int:
+    """The most rows that intervals can give, whatever the input.
+
+    A combination has at most three lengths, and there are at most 11 for each length; every greedy pattern uses up a
+    length, so there are at most `window` of them, each of distinct lengths that together fit the window.
+    """
+    distinct = int((2 * window) ** 0.5) + 1
+    return 1 + window * (11 * 3 + distinct)
+
+
+def intervals(patterns: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, from rank, to rank, copies, first sequence, offset): pieces of a length go by rank to sequences.
+
+    One row for each length of a pattern: `copies` pieces that follow each other by rank lie side by side in a sequence.
+    """
     rank: dict[int, int] = {}
     rows, sequence = [], 0
     for used, n in patterns:
         offset = 0
         for length, copies in used:
-            for _ in range(copies):
-                low = rank.get(length, 0)
-                rank[length] = low + n
-                rows.append((length, low, low + n, sequence, offset))
-                offset += length
+            low = rank.get(length, 0)
+            rank[length] = low + n * copies
+            rows.append((length, low, low + n * copies, copies, sequence, offset))
+            offset += length * copies
         sequence += n
     return rows
 
@@ -164,14 +176,19 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():
         histogram[length] = n
     rows = intervals(plan(histogram, window))
-    places = spark.createDataFrame(pd.DataFrame(rows, columns=["length", "low", "high", "first", "offset"]).astype("int64"), "length long, low long, high long, first long, offset long")
+    if len(rows) > most_intervals(window):
+        raise ValueError("a plan of more rows than lengths allow")
+    names = ["length", "low", "high", "copies", "first", "base"]
+    places = spark.createDataFrame(pd.DataFrame(rows, columns=names).astype("int64"), ", ".join(f"{n} long" for n in names))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     shifts = counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_shift"))
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
     ranked = salted.withColumn("_rank", rank).join(shifts, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_shift"))
-    # the plan has at most a few rows for each of `window` lengths, whatever the input: it may be broadcast
+    # the plan's rows are bounded by the window alone, whatever the input: it may be broadcast
     placed = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high")))
-    return placed.select(*(ranked[c] for c in pieces.columns), (F.col("first") + F.col("_rank") - F.col("low")).alias("sequence_id"), "offset")
+    k = F.col("_rank") - F.col("low")
+    sequence, place = F.col("first") + F.expr("(_rank - low) div copies"), F.col("base") + k % F.col("copies") * places["length"]
+    return placed.select(*(ranked[c] for c in pieces.columns), sequence.alias("sequence_id"), place.alias("offset"))
 
 
 def packed(docs: DataFrame, path: str, text: str = "text", window: int = WINDOW, memo: int = MEMO) -> DataFrame:

@@ -81,6 +81,31 @@ def _check(rows, texts):
     return padding / (4096 * max(1, len(by_sequence)))
 
 
+def test_intervals_place_every_piece_once():
+    rng = np.random.default_rng(3)
+    dense = np.zeros(4097, np.int64)
+    dense[1:] = rng.integers(0, 400, 4096)
+    short = np.zeros(4097, np.int64)
+    short[[1, 2, 3, 1000]] = 9000, 70_000, 5, 2
+    for count in (dense, short):
+        rows = P.intervals(P.plan(count))
+        assert len(rows) <= P.most_intervals(4096)
+        got, spans = np.zeros(4097, np.int64), {}
+        for length, low, high, copies, first, base in rows:
+            assert low == got[length] and (high - low) % copies == 0  # ranks follow each other without a gap
+            got[length] = high
+            for sequence in (first, first + (high - low) // copies - 1):
+                spans.setdefault(sequence, set()).add((base, length * copies))
+        assert (got == count).all()
+        for parts in spans.values():
+            at = 0
+            for base, size in sorted(parts):
+                assert base == at
+                at += size
+            assert at <= 4096
+    assert len(P.intervals(P.plan(short))) < 20  # equal copies are one row
+
+
 def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert _check(P.op10_nnls_packing(spark, SF).collect(), texts) < 0.05
