@@ -54,6 +54,11 @@ def to_keyvalue(df: DataFrame, fields: Sequence[Field], order: Sequence[str] = (
     return dedupe.dedupe(out, _by(out, ["key"]), [f"_o{i}" for i in range(len(places))], drop_blank=False).drop(*(f"_o{i}" for i in range(len(places))))
 
 
+def from_keyvalue(df: DataFrame, schema: str) -> DataFrame:
+    """(key, the value's fields as columns) of stored pairs; a field that a value lacks is null, and so are all of a value that is no object."""
+    return df.select("key", F.from_json("value", schema).alias("_v")).select("key", "_v.*")
+
+
 def to_wide(df: DataFrame, fields: Sequence[Field], partition: Sequence[str], cluster: Sequence[str] = (), order: Sequence[str] = (POSITION,)) -> DataFrame:
     """Rows upserted by partition and cluster keys, the last wins; keys come first. The write puts a partition's rows together, in cluster order."""
     if not partition:

@@ -22,8 +22,9 @@ from .plans.reports import Metrics, empty_ones, medians, overhead, plan_counts,
 from .run import run_batch as load_all
 from .run import run_references as references_of
 from .run import run_stream as stream_all
-from .sinks.tables import Store, write
-from .sources.scan import as_text, combined, origin_counts, origins, read_any, sample_per_source, slice_of, tagged, union_sources
+from .sinks.port import JsonFolder, run_to_port
+from .sinks.tables import Store, preview, write
+from .sources.scan import as_text, combined, load_sources, missing_origins, origin_counts, origins, read_any, sample_per_source, slice_of, tagged, union_sources
 from .streaming.keyed import keyed_stream
 from .streaming.stream import EntityStream, first_wins, last_wins, run_batches, table_stream
 
@@ -788,3 +789,109 @@ def keyvalue_orders(spark, sf):
     fields = (Field("o_orderkey", key=True), Field("customer", "o_custkey"), Field("status", "o_orderstatus"))
     out = shapes.to_keyvalue(table(spark, sf, "orders"), fields, ["o_orderdate"])
     return out.select("key", F.from_json("value", "customer long, status string").alias("v")).select("key", "v.*")
+
+
+# what a store holds and how it lies there
+
+
+@query("SELECT 'seen_' || event_type AS partition, count(*) AS rows, 0::BIGINT AS disordered, 0::BIGINT AS overlaps FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL")
+def wide_order(spark, sf):
+    """Wide rows as they lie on disk: sorted by their keys in each file, the files of a partition with ranges of their own."""
+    store = Store(spark, scratch(spark))
+    rows = partitioned(table(spark, sf, "events").where("user_id is not null"), [Filter("event_type", "each")], "seen")
+    fields = (Field("user_id", key=True), Field("event_id", key=True), Field("ts"))
+    folder = write(shapes.to_wide(rows, fields, ["user_id"], ["event_id"], ["ts"]), store, "seen", "wide", ["user_id", "event_id"])
+    return store.order_report(folder, ["user_id", "event_id"])
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS rows, TRUE AS small FROM orders GROUP BY ALL")
+def flush_size(spark, sf):
+    """Rows of each partition, and whether no file holds more than was asked for."""
+    store = Store(spark, scratch(spark), rows_per_file=1000)
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("_partition"))
+    folder = write(rows, store, "orders", "document")
+    files = spark.read.option("basePath", folder).parquet(folder).groupBy(F.col("_partition").alias("status"), "_metadata.file_path").agg(F.count(F.lit(1)).alias("n"))
+    return files.groupBy("status").agg(F.sum("n").alias("rows"), (F.max("n") <= 1000).alias("small"))
+
+
+@query("SELECT o_custkey::VARCHAR AS key, o_orderkey AS \"order\", o_orderstatus AS status FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def keyvalue_last(spark, sf):
+    """Keys that many rows have, stored and read back: the last row of a key is its value."""
+    store = Store(spark, scratch(spark))
+    fields = (Field("o_custkey", key=True), Field("order", "o_orderkey"), Field("status", "o_orderstatus"))
+    write(shapes.to_keyvalue(table(spark, sf, "orders"), fields, ["o_orderdate", "o_orderkey"]), store, "last", "keyvalue", ["key"])
+    return shapes.from_keyvalue(store.read("last"), "order long, status string")
+
+
+@query("SELECT o_orderkey::VARCHAR AS ref, o_custkey AS who, o_totalprice::DECIMAL(18, 2)::VARCHAR AS price FROM orders")
+def text_coercion(spark, sf):
+    """Numbers in columns that the target declares as text."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"), "o_orderdate")
+    fields = (Field("who", "o_custkey", key=True), Field("ref", "o_orderkey", key=True, type="TEXT"), Field("price", type="TEXT"))
+    return shapes.to_wide(rows, fields, ["who"], ["ref"], ["o_orderdate"]).select("ref", "who", "price")
+
+
+@query("SELECT 'region' AS name, r_name AS shown, count(*) OVER () AS rows FROM region UNION ALL SELECT 'orders', NULL, count(*) FROM orders")
+def preview_or_count(spark, sf):
+    """A small table's rows, and of a large one only how many there are."""
+    out = []
+    for name, column in (("region", "r_name"), ("orders", "o_orderstatus")):
+        rows, n = preview(table(spark, sf, name).select(column))
+        out += [(name, r[0], n) for r in rows] or [(name, None, n)]
+    return spark.createDataFrame(out, "name string, shown string, rows long")
+
+
+# sources
+
+
+@query(
+    "SELECT 'customer' AS entity, count(*) AS rows, 0::BIGINT AS only_combined, 0::BIGINT AS only_files FROM customer UNION ALL SELECT 'supplier', count(*), 0, 0 FROM supplier"
+)
+def mode_equivalence(spark, sf):
+    """Entities of one combined text file and of a file for each, compared row by row both ways."""
+    folder = scratch(spark)
+    parts = {
+        "customer": table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")),
+        "supplier": table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")),
+    }
+    for name, rows in parts.items():
+        rows.write.csv(f"{folder}/{name}", header=True)
+    whole = union_sources(tagged(as_text(rows), name) for name, rows in parts.items())
+    whole.select(F.col("_source").alias("origin"), "id", "name", "segment", "nation").write.csv(f"{folder}/all", header=True)
+    together = Binder(load_sources(spark, {"all": {"file": f"{folder}/all", "origin_column": True}}))
+    apart = Binder(load_sources(spark, {name: f"{folder}/{name}" for name in parts}))
+
+    def one(name: str, rest: str) -> DataFrame:
+        entity = Entity(name, "document", (Field("id"), Field("name"), Field(rest)), name)
+        a, b = (x.bind(entity).shaped().withColumn("n", F.lit(1)) for x in (together, apart))
+        sides = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(-1)))
+        sums = sides.groupBy("id", "name", rest).agg(F.sum("side").alias("d"), F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("n"))
+        return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("only_combined"), F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("only_files")).select(F.lit(name).alias("entity"), "*")
+
+    return one("customer", "segment").unionByName(one("supplier", "nation"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS id, s_name AS name, 'people' AS _source FROM supplier")
+def source_override(spark, sf):
+    """A declared path that another takes the place of when it is loaded."""
+    folder = scratch(spark)
+    for name, key, text in (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name")):
+        table(spark, sf, name).select(F.col(key).alias("id"), F.col(text).alias("name")).write.csv(f"{folder}/{name}", header=True)
+    return load_sources(spark, {"people": "customer"}, {"people": f"{folder}/supplier"}, base=folder)["people"].select("id", "name", "_source")
+
+
+@query("SELECT w AS _source FROM (VALUES ('click'), ('recall')) t(w) WHERE w NOT IN (SELECT event_type FROM events)")
+def origins_absent(spark, sf):
+    """Origins that are asked for and that no row has."""
+    return missing_origins(combined(table(spark, sf, "events"), "event_type"), ["click", "recall"])
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def port_stream(spark, sf):
+    """Documents through a streaming port: a batch for each file, committed as a whole."""
+    work = scratch(spark)
+    table(spark, sf, "customer").repartition(3, "c_custkey").write.parquet(f"{work}/in")
+    stream = apply_filters(table_stream(spark, f"{work}/in"), [Filter("c_mktsegment", "!=", "BUILDING")])
+    out = f"{work}/out".removeprefix("file://")
+    run_to_port(shapes.to_documents(stream, (Field("id", "c_custkey"), Nested("about", (Field("name", "c_name"),)))), JsonFolder(out), f"{work}/checkpoint")
+    return spark.read.schema("id int, about struct<name string>").json(f"file://{out}").select("id", "about.name")

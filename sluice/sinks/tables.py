@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -156,6 +156,24 @@ class Store:
         found = self.spark.read.schema(f"{PARTITION} string").option("basePath", folder).parquet(folder)
         return found.groupBy(F.coalesce(PARTITION, F.lit(name)).alias("partition")).agg(F.count(F.lit(1)).alias("rows"))
 
+    def order_report(self, folder: str, by: Sequence[str]) -> DataFrame:
+        """(partition, rows, disordered, overlaps) of a batch's folder.
+
+        disordered counts the rows that sort below the row before them in their file, overlaps the files that begin below
+        the end of a file before them. A file is one task's, a partition's files are one row each.
+        """
+        found = self.spark.read.option("basePath", folder).parquet(folder)
+        name = folder[: folder.rindex("/load=")].rsplit("/", 1)[1]
+        part = F.col(PARTITION) if PARTITION in found.columns else F.lit(name)
+        rows = found.select(part.alias("partition"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.struct(*(F.col(f"`{c}`") for c in by)).alias("key"))
+        before = F.lag("key").over(Window.partitionBy("partition", "file").orderBy("at"))
+        per_file = rows.withColumn("before", before).groupBy("partition", "file").agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("key") < F.col("before")).alias("disordered"), F.min("key").alias("low"), F.max("key").alias("high")
+        )
+        earlier = F.max("high").over(Window.partitionBy("partition").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
+        out = per_file.withColumn("earlier", earlier).groupBy("partition")
+        return out.agg(F.sum("rows").alias("rows"), F.sum("disordered").alias("disordered"), F.count_if(F.col("low") < F.col("earlier")).alias("overlaps"))
+
     def stored(self, name: str) -> DataFrame | None:
         return self.read(name) if self.exists(name) else None
 
