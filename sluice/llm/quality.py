@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from math import gcd
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut as settled
 from .common import table
 
 #: Fixed values of the base rules.
@@ -17,8 +19,7 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 SPAN = 8
 LEAST_WORDS = 20
-#: Rows that the forest is fitted on, and rows that its threshold is calibrated on, at most: labelled documents, by hash.
-FIT_ROWS = 8192
+#: Trees, and rows that a tree has at least, if there are so many; more where the trees together would not take all rows.
 TREES, TREE_ROWS, DEPTH, SEED = 200, 256, 10, 6
 #: Share of the calibration rows labelled good that the threshold may reject.
 MAX_REJECTED_GOOD = 0.0005
@@ -92,9 +93,31 @@ def _mean_path(n: np.ndarray | int) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+def grow(data: np.ndarray, margins: np.ndarray, rng: np.random.Generator, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """feature, cut, child and length of a tree over all rows of data."""
+    nodes = 2 ** (depth + 1)
+    feature, child = np.zeros(nodes, np.int16), np.zeros(nodes, np.int16)
+    cut, length = np.full(nodes, np.inf), np.zeros(nodes, np.float32)
+    todo, used = [(0, data, 0)], 1
+    while todo:
+        k, own, d = todo.pop()
+        if d == depth or len(own) < 2:
+            child[k], length[k] = k, d + _mean_path(len(own))
+            continue
+        f = int(rng.integers(data.shape[1]))
+        c = rng.uniform(own[:, f].min() - margins[f], own[:, f].max() + margins[f])
+        feature[k], cut[k], child[k] = f, c, used
+        todo += [(used, own[own[:, f] < c], d + 1), (used + 1, own[own[:, f] >= c], d + 1)]
+        used += 2
+    return feature, cut, child, length
+
+
 @dataclass
 class Forest:
-    """Isolation trees as arrays: at node k of a tree, rows below cut[k] in feature[k] go to child[k], others to child[k] + 1."""
+    """Isolation trees as arrays: at node k of a tree, rows below cut[k] in feature[k] go to child[k], others to child[k] + 1.
+
+    rows: those of a tree, on average.
+    """
 
     feature: np.ndarray
     cut: np.ndarray
@@ -103,25 +126,16 @@ class Forest:
     rows: int
     threshold: float = np.inf
 
+    @classmethod
+    def of(cls, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], rows: int) -> Forest:
+        feature, cut, child, length = map(np.stack, zip(*trees))
+        return cls(feature, cut, child, length, rows)
+
     @classmethod
     def fit(cls, data: np.ndarray, margins: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, depth: int = DEPTH, seed: int = SEED) -> Forest:
         rng = np.random.default_rng(seed)
-        rows, nodes = min(rows, len(data)), 2 ** (depth + 1)
-        feature, child = np.zeros((trees, nodes), np.int16), np.zeros((trees, nodes), np.int16)
-        cut, length = np.full((trees, nodes), np.inf), np.zeros((trees, nodes), np.float32)
-        for t in range(trees):
-            todo, used = [(0, data[rng.choice(len(data), rows, replace=False)], 0)], 1
-            while todo:
-                k, own, d = todo.pop()
-                if d == depth or len(own) < 2:
-                    child[t, k], length[t, k] = k, d + _mean_path(len(own))
-                    continue
-                f = int(rng.integers(data.shape[1]))
-                c = rng.uniform(own[:, f].min() - margins[f], own[:, f].max() + margins[f])
-                feature[t, k], cut[t, k], child[t, k] = f, c, used
-                todo += [(used, own[own[:, f] < c], d + 1), (used + 1, own[own[:, f] >= c], d + 1)]
-                used += 2
-        return cls(feature, cut, child, length, rows)
+        rows = min(rows, len(data))
+        return cls.of([grow(data[rng.choice(len(data), rows, replace=False)], margins, rng, depth) for _ in range(trees)], rows)
 
     def score(self, data: np.ndarray) -> np.ndarray:
         """0 to 1, higher for rows that random splits part from the others sooner."""
@@ -138,35 +152,53 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / max(1e-9, float(_mean_path(self.rows))))
 
 
-def calibrate(good: np.ndarray, bad: np.ndarray, most: float = MAX_REJECTED_GOOD) -> float:
-    """The cut between scores that keeps all but a share `most` of the good rows; without bad rows nothing is rejected."""
-    if not len(good) or not len(bad):
+def calibrate(scored: DataFrame, most: float = MAX_REJECTED_GOOD) -> float:
+    """The cut between the scores of rows (good, score) that keeps all but a share `most` of the good ones; without bad rows nothing is rejected."""
+    good, bad = scored.where("good"), scored.where("not good")
+    n, others = scored.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+    if not n or not others:
         return np.inf
-    edge = np.sort(good)[::-1][int(most * len(good))]
-    above = bad[bad > edge]
-    return float((edge + above.min()) / 2) if len(above) else np.inf
+    edge = good.orderBy(F.desc("score")).limit(int(most * n) + 1).agg(F.min("score")).first()[0]
+    above = bad.where(F.col("score") > edge).agg(F.min("score")).first()[0]
+    return np.inf if above is None else float((edge + above) / 2)
+
 
+def dealt(rows: DataFrame, n: int, trees: int = TREES, least: int = TREE_ROWS) -> DataFrame:
+    """The n rows with the trees that they go to (tree), by hash: each row goes to as many different ones as give a tree about `least` rows, to one at least."""
+    times = min(trees, max(1, -(-trees * least // n)))
+    strides = [k for k in range(1, trees + 1) if gcd(k, trees) == 1]  # steps that meet every tree before they come back
+    first = F.pmod(F.xxhash64(F.lit(SEED), F.lit("tree"), "doc_id"), F.lit(trees))
+    stride = F.element_at(F.array(*map(F.lit, strides)), (F.pmod(F.xxhash64(F.lit(SEED), F.lit("stride"), "doc_id"), F.lit(len(strides))) + 1).cast("int"))
+    return rows.withColumn("tree", F.explode(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda k: (first + k * stride) % trees)))
 
-def fit_forest(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest | None:
-    """Fit on the statistics of labelled good documents and calibrate on other labelled ones.
 
-    Both samples together are at most 2 * rows documents, one row of each id: of repeated ids the row with the least
-    statistics. Only counts come to the driver, no texts. Rows that fail the base rules are left out.
+def _grown(rows: pd.DataFrame) -> pd.DataFrame:
+    tree, rows = int(rows["tree"].iloc[0]), rows.sort_values("doc_id")
+    arrays = grow(features(rows), np.array(list(MARGINS.values())), np.random.default_rng((SEED, tree)))
+    return pd.DataFrame([(tree, len(rows), *arrays)], columns=["tree", "rows", "feature", "cut", "child", "length"])
+
+
+def fit_forest(docs: DataFrame, labels: DataFrame) -> Forest | None:
+    """Fit on the statistics of one half of all labelled good documents, calibrate on the other half and on all labelled bad ones.
+
+    Every labelled document that passes the base rules takes part, one row of each id: of repeated ids the row with the
+    least statistics. The statistics are counted before the join with the labels, so no text is shuffled. A tree's rows
+    are a share of the good half and meet in one task; the driver gets the trees, whose size is fixed, and counts.
     """
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(SEED), "doc_id")).limit(2 * rows)  # bounded by the parameter, so it may be broadcast
-    counted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", stats_udf()("text").alias("s"))
-    known = counted.groupBy("doc_id", "quality").agg(F.min("s").alias("s")).select("doc_id", "quality", "s.*").toPandas()
-    if known.empty:
-        return None
-    known = known.sort_values("doc_id").reset_index(drop=True)
-    known = known[~base_failed(known)]
-    data, good = features(known), (known["quality"] > 0).to_numpy()
-    half = np.random.default_rng(SEED).random(len(known)) < 0.5
-    if not (good & half).any():
+    counted = docs.where("doc_id is not null").select("doc_id", stats_udf()("text").alias("s")).join(chosen, "doc_id")
+    half = F.pmod(F.xxhash64(F.lit(SEED), F.lit("half"), "doc_id"), F.lit(2)) == 0
+    known = counted.groupBy("doc_id", "quality").agg(F.min("s").alias("s")).where("not s.base_failed")
+    known = settled(known.select("doc_id", (F.col("quality") > 0).alias("good"), half.alias("half"), "s"), "labelled")
+    fitted = known.where("good and half").select("doc_id", "s.*")
+    if not (n := fitted.count()):
         return None
-    forest = Forest.fit(data[good & half], np.array(list(MARGINS.values())))
-    forest.threshold = calibrate(forest.score(data[good & ~half]), forest.score(data[~good]))
+    schema = "tree int, rows long, feature array<short>, cut array<double>, child array<short>, length array<float>"
+    trees = dealt(fitted, n).groupBy("tree").applyInPandas(_grown, schema).orderBy("tree").toPandas()
+    kinds = {"feature": np.int16, "cut": float, "child": np.int16, "length": np.float32}
+    forest = Forest.of([tuple(np.asarray(t[c], k) for c, k in kinds.items()) for t in trees.to_dict("records")], round(trees["rows"].mean()))
+    scored = known.where("not (good and half)").select("good", score_udf(forest)("s").alias("score"))
+    forest.threshold = calibrate(settled(scored, "scored"))
     return forest
 
 
@@ -174,6 +206,14 @@ def base_failed(stats: pd.DataFrame) -> pd.Series:
     return (stats["n_words"] < LEAST_WORDS) | (100 * stats["n_repeat_words"] > 30 * stats["n_words"])
 
 
+def score_udf(forest: Forest):
+    @F.pandas_udf("double")
+    def run(stats: pd.DataFrame) -> pd.Series:
+        return pd.Series(forest.score(features(stats)), dtype=float)
+
+    return run
+
+
 def stats_udf(forest: Forest | None = None):
     names = [c.split()[0] for c in STATS.split(", ")]
 
