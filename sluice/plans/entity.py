@@ -213,6 +213,5 @@ def entities_from(config: dict) -> list[Entity]:
 
 def sample_kinds(df: DataFrame, rows: int = 8192) -> dict[str, str]:
     """Kinds from the first rows of each source only, as a stream must bind before it has seen all."""
-    order = [POSITION] if POSITION in df.columns else [F.monotonically_increasing_id()]
-    first = sample_per_source(df, rows, order) if SOURCE in df.columns else df.limit(rows)
+    first = sample_per_source(with_places(df), rows, POSITION) if SOURCE in df.columns else df.limit(rows)
     return infer_kinds(first.drop(POSITION))

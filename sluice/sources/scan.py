@@ -166,7 +166,28 @@ def union_sources(parts: Iterable[DataFrame]) -> DataFrame:
     return wide.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in data), *tail)
 
 
+def _first_runs(df: DataFrame, n: int) -> DataFrame:
+    """The rows of each origin up to the run that its n-th one is in, by _pos: at most 2n rows of an origin.
+
+    A run is n row numbers of a block. One pass counts the rows of each run (a row for each n rows of input), the sum
+    before a run tells whether it is needed, and a second pass leaves out what comes after the last one of its origin.
+    The rows must have the same places in both passes, as those of files have.
+    """
+    run = F.struct(F.col(POSITION)["part"].alias("part"), F.col(POSITION)["file"].alias("file"), F.col(POSITION)["block"].alias("block"), F.floor(F.col(POSITION)["row"] / n).alias("run"))
+    counts = df.groupBy(F.col(SOURCE).alias("_origin"), run.alias("_run")).agg(F.count(F.lit(1)).alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("_origin").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    last = counts.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < n).groupBy("_origin").agg(F.max("_run").alias("_last"))
+    return df.join(F.broadcast(last), (F.col(SOURCE).eqNullSafe(F.col("_origin"))) & (run <= F.col("_last"))).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def sample_per_source(df: DataFrame, n: int, order: str | list[str]) -> DataFrame:
-    """The first n rows of each origin. Ranks below n are cut in each task before the shuffle."""
-    by = Window.partitionBy(SOURCE).orderBy(*([order] if isinstance(order, str) else order))
+    """The first n rows of each origin.
+
+    In the order of places, rows that cannot be among them are left out before any is shuffled. In other orders ranks
+    beyond n are cut in each task before the shuffle, where n is at most Spark's windowGroupLimitThreshold (1,000).
+    """
+    order = [order] if isinstance(order, str) else order
+    if order == [POSITION]:
+        df = _first_runs(df, n)
+    by = Window.partitionBy(SOURCE).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= n).drop("_rank")

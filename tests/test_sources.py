@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.sources import scan
 from sluice.sources.generate import SHARES, generate, split_rows
@@ -75,6 +76,22 @@ def test_sample_per_source_finds_late_origins(spark):
     assert {r._source: r["count"] for r in scan.sample_per_source(df, 8, "n").groupBy("_source").count().collect()} == {"a": 8, "b": 8}
 
 
+def test_samples_in_file_order_shuffle_few_rows(spark, tmp_path):
+    for k, (name, origins) in enumerate((("b", "xy"), ("a", "y"), ("c", "xz"))):  # files, in another order than the names'
+        (tmp_path / f"{name}.csv").write_text("n,_source\n" + "".join(f"{k}{i:05},{origins[i % len(origins)]}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        df = scan.with_places(scan.read_text(spark, str(tmp_path)))
+        assert df.rdd.getNumPartitions() > 5
+        every = df.collect()
+        for n in (1, 7, 1000, 2500, 9000):
+            want = [r.n for o in "xyz" for r in sorted((r for r in every if r._source == o), key=lambda r: r._pos)[:n]]
+            assert sorted(r.n for r in scan.sample_per_source(df, n, scan.POSITION).collect()) == sorted(want)
+            assert scan._first_runs(df, n).groupBy("_source").count().where(F.col("count") > 2 * n).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_generated_tables(spark):
     for total in (10, 1000):
         sizes = split_rows(total, 3)
