@@ -28,12 +28,14 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str =
     """
     df = _no_null_key(df, keys, drop_blank)
     place = F.struct(*(F.col(f"`{o}`").alias(f"o{i}") for i, o in enumerate(order))) if order else F.lit(0)
-    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    by = df.groupBy(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)))
     if any("map<" in t for _, t in df.dtypes):
-        pick = (F.max_by if keep == LAST else F.min_by)(whole, place)
-    else:
-        pick = (F.max if keep == LAST else F.min)(F.struct(place.alias("place"), whole.alias("row")))["row"]
-    return df.groupBy(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys))).agg(pick.alias("row")).select("row.*")
+        whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+        return by.agg((F.max_by if keep == LAST else F.min_by)(whole, place).alias("row")).select("row.*")
+    at = {o: f"o{i}" for i, o in enumerate(order)} if set(df.columns) - set(order) else {}  # columns that are in place already
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in at))
+    best = by.agg((F.max if keep == LAST else F.min)(F.struct(place.alias("place"), whole.alias("row"))).alias("best"))
+    return best.select(*((F.col("best")["place"][at[c]] if c in at else F.col("best")["row"][c]).alias(c) for c in df.columns))
 
 
 def skipped_duplicates(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -130,6 +130,7 @@ class Store:
         rows = self.spark.read.schema(x.schema).option("basePath", x.folder).parquet(*(f"{x.folder}/{b}" for b in batches)) if batches else self.spark.createDataFrame([], x.schema)
         rows = rows.select(*(F.col(f"`{c}`") for c in x.schema.names))
         if x.keys and len(batches) > 1:
+            rows = rows.repartition(*(F.col(f"`{k}`") for k in x.keys))  # a key has one row a batch, so tasks that read would sort all theirs for nothing
             return dedupe.dedupe(rows, x.keys, [PLACE] if PLACE in rows.columns else [], x.wins, drop_blank=False)
         return rows
 

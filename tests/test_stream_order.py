@@ -73,3 +73,14 @@ def test_keyed_rules_over_batches(spark, tmp_path, rule, want):
         rule(store, "t", batch(spark, *values), ["k"], ["n"], min(k, 2))
     assert [int(r.n) for r in store.read("t").collect()] == [want]
     assert store.read("t").columns == ["k", "n"]
+
+
+def test_a_read_of_batches_sorts_after_its_shuffle_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for b in (0, 1):
+        rows = spark.range(6).selectExpr("id k", "'p' _partition", f"struct(struct({b} batch, id row) o0) _place", f"{b} v")
+        store.store("t", rows.where(f"k < {3 + 3 * b}"), ["_partition", "k"], "upsert", "a", b)
+    found = store.read("t")
+    below = found._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+    assert len(below) == 2 and "Aggregate" in below[0] and "Aggregate" not in below[1] and "Sort" not in below[1]
+    assert sorted((r.k, r.v) for r in found.collect()) == [(k, 1) for k in range(6)]
