@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 #: The six blank characters of every contract: [\x20\x09-\x0D].
 BLANK = r"[\x20\x09-\x0D]"
+#: Bytes of a batch of rows on its way to a Python worker. Spark counts its rows alone (10,000), so that a batch, its copies
+#: in the worker and the buffer that the executor keeps for it grow with the texts.
+BATCH_BYTES = 2 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +36,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for this session's Python workers end at BATCH_BYTES (one long text is a batch), unless the session has a limit of its own."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)

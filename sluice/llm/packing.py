@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,7 +180,8 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     if len(rows) > most_intervals(window):
         raise ValueError("a plan of more rows than lengths allow")
     names = ["length", "low", "high", "copies", "first", "base"]
-    places = spark.createDataFrame(pd.DataFrame(rows, columns=names).astype("int64"), ", ".join(f"{n} long" for n in names))
+    # an Arrow table becomes rows in the JVM; rows of Python objects would take Python workers of their own on the executors
+    places = spark.createDataFrame(pa.table(dict(zip(names, np.array(rows, np.int64).reshape(-1, len(names)).T))))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     shifts = counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_shift"))
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
